@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repeats
+from . import jaccard, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,12 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_pairs(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_repeated_passages,)}
+    return {f.__name__: f for f in (op3_repeated_passages, op5_near_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:
