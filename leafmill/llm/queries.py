@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, repeats
+from . import jaccard, packing, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,16 @@ def op5_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_repeated_passages, op5_near_pairs)}
+    return {f.__name__: f for f in (op1_quality, op3_repeated_passages, op5_near_pairs, op9_packed_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
