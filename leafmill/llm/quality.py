@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 DICTIONARY, PIECE, LEVEL = 112_640, 512, 3
 #: The labelled rows of each class that the model is fitted on, the lowest by a hash of their id; half train the dictionary, half the curve.
-FIT_ROWS = 1500
+FIT_ROWS = 3000
 #: A text below this probability of being good is rejected.
-KEEP = 0.5
+KEEP = 0.4
 #: Bytes added to a text's size where the difference is normalised: very short texts prove little.
 PRIOR_BYTES = 48
 
