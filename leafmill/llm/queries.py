@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, quality, repeats
+from . import jaccard, packing, pst, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,12 +28,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.scored(_table(spark, sf_dir, "documents"))
+
+
 def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op3_repeated_passages, op5_near_pairs, op9_packed_sequences)}
+    return {f.__name__: f for f in (op1_quality, op3_repeated_passages, op5_near_pairs, op6_suffix_tree_scores, op9_packed_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
