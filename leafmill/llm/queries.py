@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, pst, quality, repeats
+from . import bpe, jaccard, packing, pst, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,12 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op3_repeated_passages, op5_near_pairs, op6_suffix_tree_scores, op9_packed_sequences)}
+    return {f.__name__: f for f in (op1_quality, op3_repeated_passages, op5_near_pairs, op6_suffix_tree_scores, op9_packed_sequences, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
