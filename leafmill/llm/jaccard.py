@@ -1,9 +1,9 @@
 """Exact Jaccard self-join of word n-gram sets through a token-group matrix.
 
 Documents are partitioned into groups by the smallest hash of their grams, so near copies mostly share a group. The matrix holds,
-for each group, the union of the grams that its members must share with any partner (their prefixes in one global order, rarest
-first); it is sharded by gram. A query's overlap with a group is at most its prefix grams found in that union plus what lies beyond
-its prefix; only groups whose bound reaches the overlap the threshold asks for are opened, and there all pairs are counted exactly.
+for each group, the union of the grams that its members' prefixes (half of each, in one global order, rarest first); it is sharded by gram. A query's overlap with a member is at most
+its prefix grams found in that union plus what lies beyond the prefixes; only groups whose bound reaches the overlap the threshold asks
+for are opened, the smaller group travels to the larger, and there all pairs are counted exactly.
 Every document is a query. Documents with equal sets are held as one, the lowest id, and reported as its copies.
 
 The order of the grams is a heuristic - any order is exact - so the list of common grams that it rests on is bounded.
@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, byte_views, checked_join, documents, estimated_bytes, gram_set, mix, saved, signed
 
 N, THRESHOLD = 3, 0.6
-#: Grams that documents must share beyond the first: more of them prune more and ship longer prefixes.
-SLACK = 2
+#: The share of a document's grams that is its prefix, at least 1 - THRESHOLD: the more, the fewer groups are opened and the more grams are shipped.
+PREFIX = 0.5
 #: The common grams kept for the order, and how often one has to occur among a task's documents to be told.
-COMMON, TOLD = 1 << 18, 16
-_FLUSH = 2_000_000
-_EXPAND = 4_000_000
+COMMON, TOLD = 1 << 18, 4
+_FLUSH = 1_500_000
+_EXPAND = 1_000_000
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 _SEEN = "kind byte, a long, sig long, group long, size int"
-_HEAD = np.dtype([("doc_id", "i8"), ("sig", "i8"), ("group", "i8"), ("size", "i4"), ("count", "i2"), ("indexed", "i2")])
+_HEAD = np.dtype([("doc_id", "i8"), ("sig", "i8"), ("group", "i8"), ("size", "i4"), ("count", "i4")])
 
 
 def _summary(grams: np.ndarray) -> tuple[int, int]:
@@ -43,6 +43,10 @@ def _least(threshold: float, size):
     return np.ceil(threshold * size - 1e-9).astype(np.int64)
 
 
+def prefix_length(size: int) -> int:
+    return size - math.floor((1 - PREFIX) * size)
+
+
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard): every pair of distinct n-gram sets at or above ``threshold``, each set under its lowest id, and with
     jaccard 1 every other document of a set beside that id; doc_a < doc_b.
@@ -73,7 +77,7 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     hot, times = common.column("a").to_numpy().view(np.uint64), common.column("n").to_numpy()
     order = np.argsort(hot)
     known = docs.sparkSession.sparkContext.broadcast((hot[order], times[order]))  # at most COMMON * 16 bytes
-    n_buckets = max(8, math.ceil(estimated_bytes(docs) / (12 << 20)))
+    n_buckets = max(8, math.ceil(estimated_bytes(docs) / (8 << 20)))
 
     def prefixes(batches):
         hot, times = known.value
@@ -94,11 +98,9 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 else:
                     g_sorted = g
                 m = len(g)
-                probe = min(m, m - int(_least(threshold, m)) + SLACK)
-                index = min(m, m - int(_least(2 * threshold / (1 + threshold), m)) + SLACK)
-                heads.append((doc, *_summary(g), m, index))
-                held.append(g_sorted[:probe])
-                size += probe
+                heads.append((doc, *_summary(g), m))
+                held.append(g_sorted[: prefix_length(m)])
+                size += len(held[-1])
                 if size >= _FLUSH:
                     yield _packed(heads, held, n_buckets)
                     heads, held, size = [], [], 0
@@ -109,15 +111,24 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         return _overlaps(table, threshold)
 
     bound = docs.mapInArrow(prefixes, "bucket int, rows binary").groupBy("bucket").applyInArrow(overlaps, "doc_id long, group long, size int, found int")
-    # found + (size - prefix) bounds the overlap with anyone in the group; it reaches least(size) if found reaches this
-    visits = saved(bound.groupBy("doc_id", "group").agg(F.sum("found").alias("found"), F.max("size").alias("size")).where(F.col("found") >= F.least(F.lit(SLACK), F.ceil(threshold * F.col("size") - 1e-9))).select("doc_id", "group"))
+    # Of two documents, up to where the shorter-reaching prefix ends all shared grams are found; beyond it lie at most (1 - PREFIX) of the larger
+    # one's grams. So a pair at the threshold has found at least this many, counted against the union of the group:
+    enough = F.greatest(F.lit(1), F.ceil(threshold * F.col("size") - 1e-9) - F.floor((1 - PREFIX) * F.col("size")))
+    visits = saved(bound.groupBy("doc_id", "group").agg(F.sum("found").alias("found"), F.max("size").alias("size")).where(F.col("found") >= enough).select("doc_id", "group"))
 
     alike = Window.partitionBy("sig", "size")
     ranked = saved(meta.withColumn("first", F.min("doc_id").over(alike)))
     copies = ranked.where("doc_id <> first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     members = ranked.where("doc_id = first").select("doc_id", "group")
-    opened = members.groupBy("group").agg(F.count("*").alias("n")).join(visits.select("group", F.lit(True).alias("visited")).distinct(), "group", "left").where("n > 1 OR visited").select("group")
-    needed = saved(members.join(opened, "group", "left_semi").withColumn("member", F.lit(True)).unionByName(visits.withColumn("member", F.lit(False))))
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"))
+    # whichever group is the smaller one travels
+    own = members.join(sizes, "group").select("doc_id", F.col("group").alias("own"), F.col("n").alias("own_n"))
+    met = saved(visits.join(own, "doc_id").join(sizes, "group"))
+    guests = met.where("n >= own_n").select("doc_id", "group")
+    hosts = met.where("n < own_n").select("group", F.col("own").alias("host")).distinct().join(members, "group").select("doc_id", F.col("host").alias("group"))
+    visiting = guests.unionByName(hosts).distinct()
+    opened = sizes.where("n > 1").select("group").unionByName(visiting.select("group")).distinct()
+    needed = saved(members.join(opened, "group", "left_semi").withColumn("member", F.lit(True)).unionByName(visiting.withColumn("member", F.lit(False))))
 
     def sets(batches):
         for b in batches:
@@ -145,29 +156,17 @@ def _seen(rows, held) -> pa.RecordBatch:
 
 
 def _packed(heads, held, n: int) -> pa.RecordBatch:
-    """A row for each bucket: how many documents, their heads, and their prefix grams that belong there, in the global order."""
-    doc, sig, group, size, index = (np.array(x, np.int64) for x in zip(*heads))
-    lengths = np.array([len(x) for x in held])
+    """A row for each bucket: how many documents, their heads, and their prefix grams that belong there."""
+    doc, sig, group, size = (np.array(x, np.int64) for x in zip(*heads))
     grams = np.concatenate(held)
-    who = np.repeat(np.arange(len(held)), lengths)
-    indexed = (np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) < index[who]
+    who = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
     bucket = ((grams >> np.uint64(17)) % np.uint64(n)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    bucket, grams, who, indexed = bucket[order], grams[order], who[order], indexed[order]
+    bucket, grams, who = bucket[order], grams[order], who[order]
     new = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (who[1:] != who[:-1])])
-    count = np.diff(np.r_[new, len(grams)])
-    inside = np.add.reduceat(indexed.astype(np.int64), new)
-    # counts are 16-bit: a document of more grams than that in one bucket has several heads
-    step = 1 << 14
-    if (count > step).any():
-        parts = -(-count // step)
-        starts = np.repeat(new, parts) + step * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        new = starts
-        count = np.diff(np.r_[new, len(grams)])
-        inside = np.add.reduceat(indexed.astype(np.int64), new)
     head = np.empty(len(new), _HEAD)
     w = who[new]
-    head["doc_id"], head["sig"], head["group"], head["size"], head["count"], head["indexed"] = doc[w], sig[w], group[w], size[w], count, inside
+    head["doc_id"], head["sig"], head["group"], head["size"], head["count"] = doc[w], sig[w], group[w], size[w], np.diff(np.r_[new, len(grams)])
     b = bucket[new]
     ends = np.flatnonzero(np.r_[b[1:] != b[:-1], True]) + 1
     starts = np.r_[0, ends[:-1]]
@@ -177,7 +176,7 @@ def _packed(heads, held, n: int) -> pa.RecordBatch:
 
 
 def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
-    """One shard of the matrix: for each query and group of a partner that it may have, how many of the query's prefix grams the group's union holds."""
+    """One shard of the matrix: for each query and each group with a member that may be its smaller partner, how many of the query's prefix grams the group's union holds."""
     heads, grams = [], []
     for chunk in table.column("rows").chunks:
         for x in chunk:
@@ -193,46 +192,44 @@ def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
     lowest = s["doc_id"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
     keep = np.zeros(len(head), bool)
     keep[order] = s["doc_id"] == lowest
-    count = head["count"].astype(np.int64)
-    who = np.repeat(np.arange(len(head)), count)
-    indexed = (np.arange(len(grams)) - np.repeat(np.cumsum(count) - count, count)) < head["indexed"][who]
+    who = np.repeat(np.arange(len(head), dtype=np.int32), head["count"])
     usable = keep[who]
-    grams, who, indexed = grams[usable], who[usable], indexed[usable]
-    # only grams of two documents or more; by gram, then size, then id
+    grams, who = grams[usable], who[usable]
     order = np.argsort(grams, kind="stable")
     g = grams[order]
-    twice = np.zeros(len(g), bool)
+    twice = np.zeros(len(g), bool)  # only grams of two documents or more
     twice[1:] = g[1:] == g[:-1]
     twice[:-1] |= twice[1:].copy()
-    order = order[twice]
-    g, who, indexed = grams[order], who[order], indexed[order]
+    g, who = g[twice], who[order[twice]]
     size, doc, group = head["size"][who].astype(np.int64), head["doc_id"][who], head["group"][who]
-    order = np.lexsort((doc, size, g))
-    g, indexed, size, doc, group = (x[order] for x in (g, indexed, size, doc, group))
-    if len(g):  # repeated rows
-        fresh = np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]
-        g, indexed, size, doc, group = (x[fresh] for x in (g, indexed, size, doc, group))
     run = np.cumsum(np.r_[True, g[1:] != g[:-1]][: len(g)]) - 1
-    wide = np.int64(1) << 32
-    low = np.searchsorted(run * wide + size, run * wide + _least(threshold, size))
-    partners = np.arange(len(g)) - low
+    order = np.lexsort((doc, group, run))
+    run, size, doc, group = (x[order] for x in (run, size, doc, group))
+    if len(run):  # repeated rows
+        fresh = np.r_[True, (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])]
+        run, size, doc, group = (x[fresh] for x in (run, size, doc, group))
+    # the matrix's entries: a gram, a group that has it, and the sizes of its members that have it
+    entry = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (group[1:] != group[:-1])][: len(run)])
+    e_run, e_group = run[entry], group[entry]
+    e_low, e_high = (np.minimum.reduceat(size, entry), np.maximum.reduceat(size, entry)) if len(entry) else (size, size)
+    first = np.searchsorted(e_run, np.arange(int(run[-1]) + 2)) if len(run) else np.zeros(1, np.int64)
+    partners = first[run + 1] - first[run] if len(run) else run
+    least = _least(threshold, size)
     out, total, at = [], np.cumsum(partners), 0
-    while at < len(g):
+    while at < len(run):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _EXPAND, side="right")))
         p = partners[at:stop]
         i = np.repeat(np.arange(at, stop), p)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p) + low[i]
-        ok = indexed[j] & (group[i] != group[j])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p) + first[run[i]]
+        ok = (e_low[j] <= size[i]) & (e_high[j] >= least[i]) & (e_group[j] != group[i])
         i, j = i[ok], j[ok]
+        at = stop
         if len(i):
-            order = np.lexsort((run[i], group[j], doc[i]))
+            order = np.lexsort((e_group[j], doc[i]))  # within a run each pair stands once
             i, j = i[order], j[order]
-            d, G, r = doc[i], group[j], run[i]
-            new = np.r_[True, (d[1:] != d[:-1]) | (G[1:] != G[:-1])]
-            grams_ = new | np.r_[True, r[1:] != r[:-1]]
-            first = np.flatnonzero(new)
-            out.append((d[first], G[first], size[i[first]], np.add.reduceat(grams_.astype(np.int64), first)))
-        at = stop
+            d, G = doc[i], e_group[j]
+            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (G[1:] != G[:-1])])
+            out.append((d[new], G[new], size[i[new]], np.diff(np.r_[new, len(i)])))
     d, G, s, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
     return pa.table({"doc_id": d, "group": G, "size": s.astype(np.int32), "found": c.astype(np.int32)})
 
