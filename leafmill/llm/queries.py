@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, pst, quality, repeats
+from . import arc, bpe, jaccard, metricjoin, mpegts, packing, pst, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.converted(arc.page_archives(_table(spark, sf_dir, "pages"))).drop("offset")
+
+
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,15 @@ def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.scored(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = metricjoin.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return pairs.withColumn("distance", F.round("distance", 5))
+
+
+def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.elementary_units(mpegts.text_streams(_table(spark, sf_dir, "documents")))
+
+
 def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op3_repeated_passages, op5_near_pairs, op6_suffix_tree_scores, op9_packed_sequences, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_arc_to_warc, op3_repeated_passages, op5_near_pairs, op6_suffix_tree_scores, op7_near_vectors, op8_transport_streams, op9_packed_sequences, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
