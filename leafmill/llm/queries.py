@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, bpe, jaccard, metricjoin, mpegts, packing, pst, quality, repeats
+from . import arc, bpe, jaccard, metricjoin, mpegts, packing, pst, quality, repeats, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urlrules.filtered(_table(spark, sf_dir, "pages"))
+    return found.withColumn("rules", F.concat_ws(",", F.col("rules").cast("array<string>")))
+
+
 def op5_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_pairs(_table(spark, sf_dir, "documents"))
 
@@ -55,8 +60,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_arc_to_warc, op3_repeated_passages, op5_near_pairs, op6_suffix_tree_scores, op7_near_vectors, op8_transport_streams, op9_packed_sequences, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_arc_to_warc, op3_repeated_passages, op4_url_rules, op5_near_pairs, op6_suffix_tree_scores, op7_near_vectors, op8_transport_streams, op9_packed_sequences, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
+    return {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))} | {"op4_url_rules": urlrules.sql()}
