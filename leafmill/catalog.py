@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "wrt_token_estimates"
+FLAGSHIP = "site_files"
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -26,16 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _load() -> None:
+    from .plans import container_queries, layout_queries, link_queries, structure_queries, text_queries  # noqa: F401  each registers its own
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
-
-
-register(
-    "wrt_token_estimates",
-    lambda spark, d: table(spark, d, "documents").groupBy("lang").agg(F.sum(F.expr("(octet_length(text) + 3) div 4")).alias("tokens"), F.count("*").alias("docs")),
-    "SELECT lang, sum((octet_length(encode(text)) + 3) // 4)::BIGINT AS tokens, count(*) AS docs FROM documents GROUP BY lang",
-)
