@@ -12,7 +12,9 @@ import base64
 import functools
 import mmap
 import os
+import re
 import tempfile
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -26,7 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The share of all words from which a word is frequent.
 FREQUENT = 2e-6
-_MEMO = 250_000
+#: The words that a worker remembers.
+_MEMO = 900_000
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -89,6 +92,74 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p, a in zip(parts, alive) if a]
 
 
+class PairTable:
+    """Which pairs of ids join to which id, sorted, and the merging of many words in step: in every round each word joins its lowest pair, the leftmost of equals."""
+
+    LONGEST = 24
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, values = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    values.append(rank)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The id that each pair joins to; a huge one for none."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], _NONE)
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes; words have at most LONGEST bytes. Those of like length go together."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((0, 6), (6, 8), (8, 10), (10, 13), (13, 17), (17, self.LONGEST)):
+            some = np.flatnonzero((size > low) & (size <= high)).tolist()
+            if some:
+                for k, ids in zip(some, self._merged([words[k] for k in some], size[some], high)):
+                    out[k] = ids
+        return out
+
+    def _merged(self, words: list[bytes], size: np.ndarray, width: int) -> list[bytes]:
+        columns = np.arange(width + 1, dtype=np.int32)[None]
+        ids = np.zeros((len(words), width + 1), np.int32)
+        ids[columns < size[:, None]] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        pair = np.full((len(words), width), _NONE, np.int32)
+        r, c = np.nonzero(columns[:, 1:] < size[:, None])
+        pair[r, c] = self.joined(ids[r, c], ids[r, c + 1])
+        final, left_over = ids.copy(), size.copy()
+        where, size = np.arange(len(words)), size.copy()
+        while True:
+            p = pair.argmin(1)
+            best = pair[np.arange(len(p)), p]
+            going = best < _NONE
+            if not going.all():
+                stop = ~going
+                final[where[stop]], left_over[where[stop]] = ids[stop], size[stop]
+                ids, pair, size, where, p, best = ids[going], pair[going], size[going], where[going], p[going], best[going]
+            if not len(where):
+                return [row[:k].tobytes() for row, k in zip(final, left_over.tolist())]
+            rows = np.arange(len(p))
+            right = columns > p[:, None]
+            ids[:, :-1] = np.where(right[:, :-1], ids[:, 1:], ids[:, :-1])  # what follows moves up
+            pair[:, :-1] = np.where(columns[:, : width - 1] >= p[:, None], pair[:, 1:], pair[:, :-1])
+            pair[:, -1] = _NONE
+            ids[rows, p] = best
+            size -= 1
+            pair[rows, np.minimum(p, width - 1)] = _NONE
+            i = rows[p + 1 < size]
+            pair[i, p[i]] = self.joined(best[i], ids[i, p[i] + 1])
+            i = rows[p > 0]
+            pair[i, p[i] - 1] = self.joined(ids[i, p[i] - 1], best[i])
+
+
+_NONE = np.int32(1 << 30)
 _BYTES = [bytes([i]) for i in range(256)]
 
 
@@ -183,56 +254,128 @@ def _mapped(name: str) -> Transducer:
     return Transducer.mapped(SparkFiles.get(name))
 
 
-class _Chunks(dict):
-    """A text's part between two spaces -> its ids as bytes, with the space before it. Parts met before are remembered, up to _MEMO; that changes nothing but speed."""
+_MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_FIND = regex.compile(PATTERN).findall
+_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+
+
+def _words(part: str) -> list[str]:
+    """The pattern's words of a part between two spaces, with the space before it. The common kinds, letters with or without a mark after them, need no search."""
+    if part.isalpha():
+        return [" " + part]
+    if part[-1] in _MARKS and part[:-1].isalpha():
+        return [" " + part[:-1], part[-1]]
+    return _FIND(" " + part)
+
+
+def _parts(text: str) -> list[str] | None:
+    """The parts between the spaces of a text in which each space stands alone, so that no word of the pattern reaches across two of them; None for other texts."""
+    if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or text[-1] == "\n":
+        return None
+    if _ODD(text):
+        parts = text.split(" ")
+        return parts if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts) else None
+    return text.split(" ")
+
+
+class _Ids(dict):
+    """A word -> its ids as bytes. Words met before are remembered, up to _MEMO; that changes nothing but speed."""
 
     def __init__(self, ranks: dict[bytes, int], transducer: Transducer | None):
-        self.find, self.ranks, self.transducer = regex.compile(PATTERN).findall, ranks, transducer
+        self.ranks, self.transducer = ranks, transducer
 
-    def ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for w in self.find(chunk):
+    def learn(self, words: set[str], table: PairTable) -> None:
+        """Look up new words in the transducer, and merge those that it lacks in step."""
+        if len(self) + len(words) > _MEMO:
+            self.clear()
+        names, lacking = [], []
+        for w in words:
             data = w.encode("utf-8", "replace")
             ids = self.transducer.get(data) if self.transducer else None
-            out += merge(data, self.ranks) if ids is None else ids
+            if ids is not None:
+                self[w] = array("i", ids).tobytes()
+            elif len(data) <= PairTable.LONGEST:
+                names.append(w)
+                lacking.append(data)
+        if lacking:
+            self.update(zip(names, table.merged(lacking)))
+
+    def __missing__(self, word: str) -> bytes:
+        data = word.encode("utf-8", "replace")
+        ids = self.transducer.get(data) if self.transducer else None
+        out = array("i", merge(data, self.ranks) if ids is None else ids).tobytes()
+        if len(self) >= _MEMO:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = out
         return out
 
+
+class _Chunks(dict):
+    """The same of a part, with the space before it."""
+
+    def __init__(self, ids: _Ids):
+        self.ids = ids
+
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= _MEMO:
+        out = b"".join(map(self.ids.__getitem__, _words(part)))
+        if len(self) >= _MEMO // 2:
             self.clear()
-        ids = np.array(self.ids(" " + part), np.int32).tobytes()
         if len(part) <= 64:
-            self[part] = ids
-        return ids
+            self[part] = out
+        return out
 
 
-def _regular(parts: list[str]) -> bool:
-    """Whether every space stands alone, so that no word of the pattern reaches across two parts."""
-    return all(p and not p[0].isspace() and not p[-1].isspace() for p in parts)
+@functools.lru_cache(maxsize=2)
+def _pairs(vocabulary: str) -> PairTable:
+    return PairTable(_vocabulary(vocabulary)[0])
 
 
 def _encoder(vocabulary: str, transducer: Transducer | None):
-    """str -> ids, as an array."""
-    chunks = _Chunks(_vocabulary(vocabulary)[0], transducer)
-
-    def encode(text: str) -> np.ndarray:
-        parts = text.split(" ")
-        if not _regular(parts):
-            return np.array(chunks.ids(text), np.int32)
-        return np.frombuffer(np.array(chunks.ids(parts[0]), np.int32).tobytes() + b"".join(map(chunks.__getitem__, parts[1:])), np.int32)
+    """list of str -> list of ids, as arrays; None for None."""
+    ids = _Ids(_vocabulary(vocabulary)[0], transducer)
+    chunks, table = _Chunks(ids), _pairs(vocabulary)
+
+    def encode(texts: list[str | None]) -> list[np.ndarray | None]:
+        cut = [None if t is None else _parts(t) for t in texts]
+        fresh: set[str] = set()
+        for parts in cut:
+            if parts:
+                fresh.update(parts)
+        cuts = {p: _words(p) for p in fresh if p not in chunks}
+        ids.learn({w for ws in cuts.values() for w in ws if w not in ids}, table)
+        if len(chunks) + len(cuts) > _MEMO // 2:
+            chunks.clear()
+        chunks.update((p, b"".join(map(ids.__getitem__, ws))) for p, ws in cuts.items() if len(p) <= 64)
+        out: list[np.ndarray | None] = []
+        for t, parts in zip(texts, cut):
+            if t is None:
+                out.append(None)
+            elif parts is None:
+                out.append(np.frombuffer(b"".join(map(ids.__getitem__, _FIND(t))), np.int32))
+            else:
+                first = map(ids.__getitem__, _FIND(parts[0]))
+                out.append(np.frombuffer(b"".join([*first, *map(chunks.__getitem__, parts[1:])]), np.int32))
+        return out
 
     return encode
 
 
+@functools.lru_cache(maxsize=1)
+def _worker_encoder(vocabulary: str, name: str):
+    """A worker's tasks share what it remembers."""
+    return _encoder(vocabulary, _mapped(name))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts of a (text) table."""
 
     def count(batches):
-        find, held, odd = regex.compile(PATTERN).findall, Counter(), Counter()
+        held, odd = Counter(), Counter()
 
         def words() -> pa.RecordBatch:
             for part, n in held.items():
-                for w in find(" " + part):
+                for w in _words(part):
                     odd[w] += n
             out = pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), pa.array(list(odd.values()), pa.int64())], names=["word", "n"])
             held.clear()
@@ -241,13 +384,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                parts = t.split(" ") if t else []
-                if _regular(parts):
-                    odd.update(find(parts[0]) if parts else ())
-                    held.update(parts[1:])
+                if not t:
+                    continue
+                parts = _parts(t)
+                if parts is None:
+                    odd.update(_FIND(t))
                 else:
-                    odd.update(find(t))
-                if len(held) + len(odd) > 400_000:
+                    odd.update(_FIND(parts[0]))
+                    held.update(parts[1:])
+                if len(held) + len(odd) > 600_000:
                     yield words()
         yield words()
 
@@ -279,14 +424,13 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     spark.sparkContext.addFile(path)  # the driver serves it; each executor fetches it once and its workers map it
 
     def encode(batches):
-        run, (_, back) = _encoder(vocabulary, _mapped(name)), _vocabulary(vocabulary)
+        run, (_, back) = _worker_encoder(vocabulary, name), _vocabulary(vocabulary)
         for b in batches:
             for a in range(0, len(b), 512):
                 part = b.slice(a, 512)
-                ids, same = [], []
-                for t in part.column(1).to_pylist():
-                    x = None if t is None else run(t)
-                    ids.append(x)
+                texts_ = part.column(1).to_pylist()
+                ids, same = run(texts_), []
+                for t, x in zip(texts_, ids):
                     same.append(None if x is None else b"".join(map(back.__getitem__, x.tolist())) == t.encode("utf-8", "replace"))
                 ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids]).astype(np.int32)
                 values = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
