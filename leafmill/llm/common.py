@@ -64,8 +64,12 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """How many buckets a hash-partitioned intermediate gets: they grow with the input, what one holds doesn't."""
-    return max(8, math.ceil(estimated_bytes(df) / bytes_each))
+    """How many buckets a hash-partitioned intermediate of a (doc_id, text) table gets: they grow with the input, what one holds doesn't. Where Catalyst knows no size, as of
+    rows that come from the driver, the texts' bytes are summed."""
+    size = estimated_bytes(df)
+    if size >= 1 << 55:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, math.ceil(size / bytes_each))
 
 
 def checked_join(big: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner", row_bytes: int = 48) -> DataFrame:
