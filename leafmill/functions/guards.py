@@ -51,6 +51,9 @@ def decode_percent(text: str) -> str:
         return text
 
 
-@F.pandas_udf("string")
-def percent_decode(texts: pd.Series) -> pd.Series:
+def _decoded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else decode_percent(t) if "%" in t else t)
+
+
+def percent_decode(x: Column | str) -> Column:
+    return F.pandas_udf(_decoded, "string")(_c(x))

@@ -84,12 +84,15 @@ def slug_of(title: str, most: int = 64) -> str:
     return data.rstrip("-") or "section"
 
 
-@F.pandas_udf("string")
-def path_slug(titles: pd.Series) -> pd.Series:
-    """``slug_of`` each title."""
+def _slugs(titles: pd.Series) -> pd.Series:
     return titles.map(lambda t: None if t is None else slug_of(t))
 
 
+def path_slug(x: Column | str) -> Column:
+    """``slug_of`` each title."""
+    return F.pandas_udf(_slugs, "string")(_c(x))
+
+
 def ascii_path_slug(x: Column | str) -> Column:
     """``path_slug`` for titles of ASCII alone, inside the JVM."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(_c(x)), r"[^a-z0-9_]+", "-"), "^-|-$", "")
