@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, byte_views, checked_join, documents, estimated_bytes, gram_set, mix, saved, signed
+from .common import BROADCAST_BYTES, buckets_for, byte_views, checked_join, documents, gram_set, mix, saved, signed
 
 N, THRESHOLD = 3, 0.6
 #: The share of a document's grams that is its prefix, at least 1 - THRESHOLD: the more, the fewer groups are opened and the more grams are shipped.
@@ -27,6 +27,8 @@ PREFIX = 0.5
 COMMON, TOLD = 1 << 18, 4
 _FLUSH = 1_500_000
 _EXPAND = 1_000_000
+#: In an opened group, grams that so many have or fewer are counted pair by pair.
+RARE = 16
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 _SEEN = "kind byte, a long, sig long, group long, size int"
@@ -77,7 +79,7 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     hot, times = common.column("a").to_numpy().view(np.uint64), common.column("n").to_numpy()
     order = np.argsort(hot)
     known = docs.sparkSession.sparkContext.broadcast((hot[order], times[order]))  # at most COMMON * 16 bytes
-    n_buckets = max(8, math.ceil(estimated_bytes(docs) / (8 << 20)))
+    n_buckets = buckets_for(docs, 8 << 20)
 
     def prefixes(batches):
         hot, times = known.value
@@ -251,11 +253,16 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
     twice[1:] = g[1:] == g[:-1]
     twice[:-1] |= twice[1:].copy()
     g, who = g[twice], who[twice]
-    column = np.cumsum(np.r_[True, g[1:] != g[:-1]][: len(g)]) - 1
+    run = np.cumsum(np.r_[True, g[1:] != g[:-1]][: len(g)]) - 1
+    often = np.bincount(run)[run] > RARE if len(run) else np.zeros(0, bool)
+    rare = _pair_counts(run[~often], who[~often])  # of grams that few have, their pairs; of the others, columns of a matrix
+    who, column = who[often], np.unique(run[often], return_inverse=True)[1]
     m, step, wide = int(member.sum()), 1024, 4096
     a_, b_, c_ = [], [], []
     cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + wide, wide))
     for x in range(0, len(doc), step):
+        lo_, hi_ = np.searchsorted(rare[0], [x, x + step])
+        ri, rj, rc = (v[lo_:hi_] for v in rare)
         for y in range(0, min(m, x + step), step):  # members come first; a pair is counted with its later row
             acc = np.zeros((min(step, len(doc) - x), min(step, m - y)), np.float32)
             for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -267,6 +274,8 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
                     A[w[left] - x, col[left]] = 1
                     B[w[right] - y, col[right]] = 1
                     acc += A @ B.T
+            here = (rj >= y) & (rj < y + acc.shape[1])
+            acc[ri[here] - x, rj[here] - y] += rc[here]
             i, j = np.nonzero(acc)
             c = acc[i, j].astype(np.int64)
             i, j = i + x, j + y
@@ -278,6 +287,24 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"doc_a": np.minimum(a, b).astype(np.int64), "doc_b": np.maximum(a, b).astype(np.int64), "jaccard": c.astype(np.float64)})
 
 
+def _pair_counts(run: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, n): how many runs each pair i > j shares, by i then j; within a run, ``who`` ascends."""
+    n = np.int64(int(who.max()) + 1 if len(who) else 1)
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
+    place = np.arange(len(run)) - np.repeat(first, np.diff(np.r_[first, len(run)]))
+    keys, counts, total, at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.cumsum(place), 0
+    while at < len(run):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _EXPAND, side="right")))
+        p = place[at:stop]
+        i = np.repeat(np.arange(at, stop), p)
+        j = i - 1 - (np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p))
+        k, c = np.unique(who[i] * n + who[j], return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
+        at = stop
+    return keys // n, keys % n, counts
+
+
 def groups(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """(doc_id, first): the lowest id that each document is joined to through ``pairs``, directly or not, for all but that lowest
     one. Large-star and small-star steps alternate until no edge changes; each keeps one row an edge, and their number grows with
