@@ -1 +1,166 @@
-"""To come."""
+"""Queries of the container parsers: conversations written as EPUB, PPTX, MOBI and PDF files and read back, pages as HTML."""
+
+from __future__ import annotations
+
+import io
+import struct
+import zipfile
+import zlib
+from html import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..catalog import register, table
+from ..functions.inline import inline_markdown, inline_text
+from ..sources import containers as C
+from ..sources import markup, math
+
+
+def _zip(entries: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in entries.items():
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text)
+    return out.getvalue()
+
+
+def epub(title: str, turns: list[tuple[str, str]]) -> bytes:
+    """A book of a chapter for each turn."""
+    pages = {f"OPS/c{k}.xhtml": f'<html xmlns="http://www.w3.org/1999/xhtml"><body><h2 id="t{k}">{escape(a)}</h2><p>{escape(b)}</p></body></html>' for k, (a, b) in enumerate(turns)}
+    manifest = "".join(f'<item id="c{k}" href="c{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(len(turns)))
+    spine = "".join(f'<itemref idref="c{k}"/>' for k in range(len(turns)))
+    opf = f'<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{escape(title)}</dc:title></metadata><manifest>{manifest}</manifest><spine>{spine}</spine></package>'
+    return _zip({"mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>', "OPS/book.opf": opf} | pages)
+
+
+def pptx(title: str, turns: list[tuple[str, str]]) -> bytes:
+    """A deck of a slide for each turn."""
+    ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    base = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    text = lambda t: f"<p:txBody><a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p></p:txBody>"
+    slides = {f"ppt/slides/slide{k}.xml": f'<p:sld {ns}><p:cSld><p:spTree><p:sp><p:nvSpPr><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr>{text(a)}</p:sp><p:sp>{text(b)}</p:sp></p:spTree></p:cSld></p:sld>' for k, (a, b) in enumerate(turns)}
+    order = "".join(f'<p:sldId id="{256 + k}" r:id="rId{k}"/>' for k in range(len(turns)))
+    rels = "".join(f'<Relationship Id="rId{k}" Type="{base}/slide" Target="slides/slide{k}.xml"/>' for k in range(len(turns)))
+    return _zip({"ppt/presentation.xml": f"<p:presentation {ns}><p:sldIdLst>{order}</p:sldIdLst></p:presentation>", "ppt/_rels/presentation.xml.rels": f"<Relationships>{rels}</Relationships>"} | slides)
+
+
+def mobi(title: str, turns: list[tuple[str, str]]) -> bytes:
+    """A book of plain records."""
+    body = ("<html><body>" + "".join(f"<h2>{escape(a)}</h2><p>{escape(b)}</p>" for a, b in turns) + "</body></html>").encode()
+    texts = [body[k : k + 4096] for k in range(0, len(body), 4096)]
+    name = title.encode()
+    head = struct.pack(">HHIHHHH", 1, 0, len(body), len(texts), 4096, 0, 0) + b"MOBI" + struct.pack(">IIIII", 232, 2, 65001, 1, 6)
+    head = head.ljust(84, b"\0") + struct.pack(">II", 256, len(name)) + b"\0" * 16 + struct.pack(">I", 0)
+    head = head.ljust(256, b"\0") + name
+    records, at, table_ = [head, *texts], 78 + 8 * (len(texts) + 1) + 2, b""
+    for k, r in enumerate(records):
+        table_ += struct.pack(">II", at, k)
+        at += len(r)
+    return title.encode()[:31].ljust(32, b"\0") + b"\0" * 28 + b"BOOKMOBI" + b"\0" * 8 + struct.pack(">H", len(records)) + table_ + b"\0\0" + b"".join(records)
+
+
+def pdf(title: str, turns: list[tuple[str, str]]) -> bytes:
+    """A page for each turn: a large line and small ones."""
+    out, objects = io.BytesIO(b"%PDF-1.4\n"), []
+    quoted = lambda t: t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    kids = " ".join(f"{4 + 2 * k} 0 R" for k in range(len(turns))).encode()
+    objects += [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + kids + b"] /Count %d >>" % len(turns), b"<< /Title (" + quoted(title) + b") >>"]
+    for k, (a, b) in enumerate(turns):
+        text = b"BT /F1 24 Tf 72 720 Td (" + quoted(a) + b") Tj /F1 12 Tf 0 -60 Td (" + quoted(" ".join(b.split())) + b") Tj 0 -40 Td (end of page) Tj 0 -14 Td (end of turn) Tj ET"
+        packed = zlib.compress(text)
+        objects += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (5 + 2 * k), b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream"]
+    out.seek(0, 2)
+    for k, o in enumerate(objects, 1):
+        out.write(b"%d 0 obj\n" % k + o + b"\nendobj\n")
+    out.write(b"trailer << /Root 1 0 R /Info 3 0 R >>\n%%EOF")
+    return out.getvalue()
+
+
+def files(conversations: DataFrame, make, extension: str) -> DataFrame:
+    """(doc_id, path, content): a file for each conversation."""
+    books = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    def run(batches):
+        for pdf_ in batches:
+            made = [make(f"Conversation {c}", [(f"Turn {t['turn']} by {t['role']}", t["text"]) for t in turns]) for c, turns in zip(pdf_["conv_id"], pdf_["turns"])]
+            yield pd.DataFrame({"doc_id": pdf_["conv_id"], "path": [f"in/{c}.{extension}" for c in pdf_["conv_id"]], "content": made})
+
+    return books.mapInPandas(run, "doc_id long, path string, content binary")
+
+
+def _converted(make, extension):
+    return lambda s, d: C.block_rows(C.documents(files(table(s, d, "conversations"), make, extension))).select("doc_id", "ord", "kind", "text")
+
+
+_TWO = r"""SELECT conv_id AS doc_id, (2 * n - 1 + k)::INTEGER AS ord, ['heading', 'para'][k + 1] AS kind, CASE k WHEN 0 THEN 'Turn ' || turn || ' by ' || role ELSE {} END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) CROSS JOIN range(0, 2) r(k)"""
+register("epb_convert", _converted(epub, "epub"), _TWO.format(r"trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))"))
+register("ppt_convert", _converted(pptx, "pptx"), _TWO.format("text"))
+register("mob_convert", _converted(mobi, "mobi"), _TWO.format(r"trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))"))
+register(
+    "pdf_convert",
+    _converted(pdf, "pdf"),
+    r"""SELECT conv_id AS doc_id, (3 * n - 2 + k)::INTEGER AS ord, ['heading', 'para', 'para'][k + 1] AS kind, CASE k WHEN 0 THEN 'Turn ' || turn || ' by ' || role WHEN 1 THEN trim(regexp_replace(text, '\s+', ' ', 'g')) ELSE 'end of page end of turn' END AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) CROSS JOIN range(0, 3) r(k)""",
+)
+
+
+def outcomes(s, d):
+    """Good files, protected ones, broken ones and none at all, in one batch."""
+    x = files(table(s, d, "conversations"), mobi, "mobi")
+    bad = F.when(F.col("doc_id") % 4 == 1, F.concat(F.substring("content", 1, 200), F.lit(b"x"))).when(F.col("doc_id") % 4 == 2, F.lit(b"plain text")).when(F.col("doc_id") % 4 == 3, F.lit(None)).otherwise(F.col("content"))
+    return C.documents(x.withColumn("content", bad).withColumn("path", F.when(F.col("doc_id") % 4 == 2, "a.txt").otherwise(F.col("path")))).select("doc_id", "status", "error", "title")
+
+
+register("bat_outcomes", outcomes, "SELECT DISTINCT conv_id AS doc_id, CASE WHEN conv_id % 4 = 0 THEN 'ok' ELSE 'failed' END AS status, [NULL, 'malformed input: record offsets', 'unsupported or unrecognized format', 'malformed input: not a MOBI file'][conv_id % 4 + 1] AS error, CASE WHEN conv_id % 4 = 0 THEN 'Conversation ' || conv_id END AS title FROM conversations")
+
+
+def html_blocks(s, d):
+    schema = f"page_id long, {markup.BLOCK}"
+
+    def run(batches):
+        for pdf_ in batches:
+            rows = [(p, *(b[k] for k in markup.NAMES)) for p, html in zip(pdf_["page_id"], pdf_["html"]) for b in markup.blocks(html or "")]
+            yield pd.DataFrame(rows, columns=["page_id", *markup.NAMES])
+
+    x = table(s, d, "pages").select("page_id", "html").mapInPandas(run, schema)
+    return x.select("page_id", "ord", "kind", "level", "text", inline_markdown("spans").alias("markdown"), inline_text("spans").alias("plain"))
+
+
+register("epb_html_blocks", html_blocks)
+
+
+def inline(s, d):
+    """The words of a line as spans of every kind, by their place."""
+    w = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t")).where("t <> ''").withColumn("w", F.split("t", " "))
+    kind = lambda i: F.element_at(F.array(*map(F.lit, ("text", "emph", "text", "strong", "text", "code", "text", "link"))), (i % 8 + 1).cast("int"))
+    piece = lambda x, i: F.array(F.struct(F.lit(0).alias("depth"), kind(i).alias("kind"), F.when(kind(i) == "text", F.concat(F.lit(" "), x, F.lit(" "))).otherwise("").alias("text"), F.when(kind(i) == "link", "http://x.y").alias("target")), F.struct(F.lit(1).alias("depth"), F.lit("text").alias("kind"), F.when(kind(i) == "text", "").otherwise(x).alias("text"), F.lit(None).cast("string").alias("target")))
+    return w.select("doc_id", "k", inline_markdown(F.flatten(F.transform("w", piece))).alias("markdown"))
+
+
+register("wrt_inline_markdown", inline)
+
+
+def formulas(s, d):
+    p = table(s, d, "part").select("p_partkey", F.format_string("<math><mfrac><mi>%s</mi><msqrt><mn>%d</mn></msqrt></mfrac></math>", F.substring("p_name", 1, 1), "p_size").alias("xml"))
+
+    def latex(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: math.mathml_latex(x)[0])
+
+    return p.select("p_partkey", F.pandas_udf(latex, "string")("xml").alias("latex"))
+
+
+register("mth_mathml_latex", formulas, "SELECT p_partkey, '\\frac{' || substr(p_name, 1, 1) || '}{\\sqrt{' || p_size || '}}' AS latex FROM part".replace("\\\\", "\\"))
+
+
+def omml(s, d):
+    p = table(s, d, "part").select("p_partkey", F.format_string("<oMath><sSup><e><r><t>%s</t></r></e><sup><r><t>%d</t></r></sup></sSup></oMath>", F.substring("p_name", 1, 1), "p_size").alias("xml"))
+
+    def latex(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: math.omml_latex(x)[0])
+
+    return p.select("p_partkey", F.pandas_udf(latex, "string")("xml").alias("latex"))
+
+
+register("mth_omml_latex", omml, "SELECT p_partkey, '{' || substr(p_name, 1, 1) || '}^{' || p_size || '}' AS latex FROM part")

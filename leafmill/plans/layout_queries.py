@@ -70,7 +70,7 @@ def words(s, d):
     )
 
 
-_OCR = _WORDS + """, l AS (SELECT doc_id, page, block, par, line, min("left") AS "left", min(top) AS top, max("left" + width) AS "right", max(top + height) AS bottom, avg(conf) AS conf, string_agg(text, ' ' ORDER BY word) AS text FROM w WHERE conf >= 0 AND trim(text) <> '' GROUP BY doc_id, page, block, par, line)"""
+_OCR = _WORDS + """, l AS (SELECT doc_id, page, block, par, line, min("left") AS "left", min(top) AS top, max("left" + width) AS "right", max(top + height) AS bottom, avg(conf) AS conf, string_agg(text, ' ' ORDER BY word, text) AS text FROM w WHERE conf >= 0 AND trim(text) <> '' GROUP BY doc_id, page, block, par, line)"""
 register("ocr_lines", lambda s, d: L.recognised_lines(words(s, d)).withColumn("conf", F.round("conf", 6)), f'WITH {_OCR} SELECT doc_id, page, block, par, line, "left", top, "right", bottom, round(conf, 6) AS conf, text FROM l')
 register("ocr_outcome", lambda s, d: L.recognition_outcome(L.recognised_lines(words(s, d)).withColumn("conf", F.round("conf", 6))).withColumn("conf", F.round("conf", 5)), f"WITH {_OCR}, o AS (SELECT doc_id, page, sum(len(trim(text)))::BIGINT AS chars, avg(round(conf, 6)) AS c FROM l GROUP BY ALL) SELECT doc_id, page, chars, round(c, 5) AS conf, CASE WHEN chars >= 8 AND c >= 60 THEN 'text' ELSE 'fallback' END AS outcome FROM o")
 
