@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, byte_views, documents, saved
 
-DEPTH, BITS = 4, 7
+DEPTH, BITS = 5, 7
 #: Nats for each symbol of the corpus, and nats in all, that a retained context gains at least.
 GAIN, SIGNIFICANT = 1e-6, 8.0
 #: The weight, in observations, of the suffix's distribution in a smoothed one.
@@ -131,10 +131,10 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def retained(table: DataFrame, gain: float = GAIN, significant: float = SIGNIFICANT) -> DataFrame:
     """(length, key, n): the counts of the root and of every context that passes the divergence tests, or is a suffix of one that does; key packs the context and the next symbol."""
-    levels = [table]
+    levels = [saved(table)]
     for d in range(DEPTH - 1, -1, -1):
-        levels.append(levels[-1].groupBy(F.col("key").bitwiseAND((1 << BITS * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")))
-    levels = [saved(x) if d == DEPTH else x for d, x in zip(range(DEPTH, -1, -1), levels)][::-1]  # by length of the context
+        levels.append(saved(levels[-1].groupBy(F.col("key").bitwiseAND((1 << BITS * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))))
+    levels.reverse()  # by length of the context
     total = levels[0].agg(F.sum("n")).first()[0] or 0
     least = max(significant, gain * total)
     passed = None
