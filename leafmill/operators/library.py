@@ -42,10 +42,9 @@ def site(parsed: DataFrame, min_tokens: int = structure.MIN_TOKENS, max_tokens:
     own_title = (F.col("kind") == "heading") & (F.col("into") == F.col("ord"))
     text = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "markdown")).otherwise(F.col("markdown"))
     joined = body.where(~own_title).groupBy("doc_id", F.col("into").alias("section")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("body"))
-    toc = structure.contents(files.select("doc_id", "section", "parent", "ordinal", "title", "path"))
-    heads = structure.frontmatter(files)
+    heads = structure.toc(structure.frontmatter(files))
     title = F.concat(F.repeat(F.lit("#"), F.least(F.size("breadcrumb") + 1, F.lit(6))), F.lit(" "), "title", F.lit("\n\n"))
-    pages = heads.join(toc, ["doc_id", "section"], "left").join(joined, ["doc_id", "section"], "left").select("doc_id", "path", F.concat("yaml", F.lit("\n"), title, F.coalesce(F.concat("toc", F.lit("\n\n")), F.lit("")), F.coalesce(F.concat("body", F.lit("\n")), F.lit(""))).alias("markdown"))
+    pages = heads.join(joined, ["doc_id", "section"], "left").select("doc_id", "path", F.concat("yaml", F.lit("\n"), title, F.coalesce(F.concat("toc", F.lit("\n\n")), F.lit("")), F.coalesce(F.concat("body", F.lit("\n")), F.lit(""))).alias("markdown"))
     top = files.where("parent = 0").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(")")).alias("l")))), lambda x: x["l"]), "\n").alias("toc"))
     root = parsed.where("status = 'ok'").select("doc_id", "title").join(top, "doc_id", "left").join(joined.where("section = 0").drop("section"), "doc_id", "left")
     index = root.select("doc_id", F.lit("index.md").alias("path"), F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit("\n\n"), F.coalesce(F.concat("toc", F.lit("\n\n")), F.lit("")), F.coalesce(F.concat("body", F.lit("\n")), F.lit(""))).alias("markdown"))

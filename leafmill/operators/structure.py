@@ -18,13 +18,17 @@ MAX_TOKENS, MIN_TOKENS = 2000, 200
 
 def fold_sections(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``section`` (the ord of the heading that each block stands under; a heading's own; 0 before any) and ``parent`` (for a heading, that of the
-    nearest one before it with a lower level; 0 for none)."""
+    nearest one before it with a lower level; 0 for none) and ``parent_level``."""
     before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     last = {k: F.max(F.when((F.col("kind") == "heading") & (F.col("level") == k), F.col("ord"))).over(before) for k in LEVELS}
-    parent = F.greatest(F.lit(0), *(F.when(F.col("level") > k, last[k]) for k in LEVELS))
     section = F.coalesce(F.max(F.when(F.col("kind") == "heading", F.col("ord"))).over(upto), F.lit(0))
-    return blocks.withColumn("section", section).withColumn("parent", F.when(F.col("kind") == "heading", parent))
+    folded = blocks.select("*", section.alias("section"), *(x.alias(f"_last{k}") for k, x in last.items()))
+    heading = F.col("kind") == "heading"
+    parent = F.greatest(F.lit(0), *(F.when(F.col("level") > k, F.col(f"_last{k}")) for k in LEVELS))
+    folded = folded.withColumn("parent", F.when(heading, parent))
+    level = F.coalesce(*(F.when((F.col("parent") > 0) & (F.col(f"_last{k}") == F.col("parent")), F.lit(k)) for k in LEVELS))
+    return folded.withColumn("parent_level", level).drop(*(f"_last{k}" for k in LEVELS))
 
 
 def section_pages(folded: DataFrame) -> DataFrame:
@@ -40,8 +44,8 @@ def tokens(kind: Column | str = "kind", text: Column | str = "text") -> Column:
 
 
 def sections(folded: DataFrame) -> DataFrame:
-    """(doc_id, section, parent, level, title, body_tokens) of every heading."""
-    heads = folded.where("kind = 'heading'").select("doc_id", F.col("ord").alias("section"), "parent", "level", F.col("text").alias("title"))
+    """(doc_id, section, parent, parent_level, level, title, body_tokens) of every heading."""
+    heads = folded.where("kind = 'heading'").select("doc_id", F.col("ord").alias("section"), "parent", "parent_level", "level", F.col("text").alias("title"))
     body = folded.where("kind <> 'heading'").groupBy("doc_id", "section").agg(F.sum(tokens()).alias("body_tokens"))
     return heads.join(body, ["doc_id", "section"], "left").withColumn("body_tokens", F.coalesce("body_tokens", F.lit(0)))
 
@@ -50,8 +54,7 @@ def merge_small(tree: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int =
     """``sections`` with ``into``: the section whose file holds each one's blocks, itself or, if it has no child left and less than ``min_tokens``, its parent's, from
     the deepest level up; a section at the root stays. A merged heading counts in its new section's ``body_tokens``; a section over ``max_tokens`` will
     be split and so is no longer childless. One window a level and direction, all over one partitioning by document."""
-    levels = tree.select("doc_id", F.col("section").alias("parent"), F.col("level").alias("parent_level"))
-    x = tree.join(levels, ["doc_id", "parent"], "left").repartition("doc_id")
+    x = tree.repartition("doc_id")
     x = x.withColumn("alive", F.lit(True)).withColumn("children", F.lit(0).cast("long"))
     family = lambda level: Window.partitionBy("doc_id", F.when(F.col("parent_level") == level, F.col("parent")).otherwise(F.col("section")))
     for level in reversed(LEVELS):  # parents of this level take their small children
@@ -71,7 +74,7 @@ def merge_small(tree: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int =
         kid = F.coalesce(F.col("parent_level") == level, F.lit(False))
         up = F.max(F.when(~kid & (F.col("level") == level), F.col("into"))).over(family(level))
         x = x.withColumn("up", up).withColumn("into", F.when(kid & ~F.col("alive"), F.col("up")).otherwise(F.col("into")))
-    return x.select("doc_id", "section", "parent", "level", "title", "body_tokens", "into", "alive")
+    return x.select("doc_id", "section", "parent", "parent_level", "level", "title", "body_tokens", "into", "alive")
 
 
 def split_parts(items: DataFrame, keys: list[str], order: str, weight: str, most: int = MAX_TOKENS) -> DataFrame:
@@ -89,25 +92,25 @@ def split_parts(items: DataFrame, keys: list[str], order: str, weight: str, most
 
 
 def assign_paths(tree: DataFrame, ascii_titles: bool = False) -> DataFrame:
-    """``sections`` with ``ordinal`` among its siblings, ``ordinal_path``, ``path`` and ``breadcrumb``: children of a section live in its folder, which a section with
-    children has, ``NN-slug/index.md``; others are ``NN-slug.md``. Level by level, by windows over one partitioning by document."""
+    """``sections`` with ``ordinal`` among its siblings, ``ordinal_path``, ``path``, ``breadcrumb``, ``parent_path`` and ``kids`` (ordinal, title, path): children of a section live in its
+    folder, which a section with children has, ``NN-slug/index.md``; others are ``NN-slug.md``. Level by level, by windows over one partitioning by document; later steps need no join."""
     slug = (ascii_path_slug if ascii_titles else path_slug)("title")
-    siblings = Window.partitionBy("doc_id", "parent").orderBy("section")
-    levels = tree.select("doc_id", F.col("section").alias("parent"), F.col("level").alias("parent_level"))
     has = tree.where("parent > 0").select("doc_id", F.col("parent").alias("section"), F.lit(True).alias("has")).distinct()
-    x = tree.join(levels, ["doc_id", "parent"], "left").join(has, ["doc_id", "section"], "left").repartition("doc_id")
-    x = x.withColumn("ordinal", F.row_number().over(siblings)).withColumn("number", F.col("ordinal").cast("string"))
-    x = x.withColumn("name", F.concat(F.when(F.col("ordinal") < 10, F.lit("0")).otherwise(F.lit("")), F.col("number"), F.lit("-"), slug))
+    x = tree.join(has, ["doc_id", "section"], "left").repartition("doc_id")
+    x = x.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("section")))
+    x = x.withColumn("name", F.concat(F.when(F.col("ordinal") < 10, F.lit("0")).otherwise(F.lit("")), F.col("ordinal").cast("string"), F.lit("-"), slug))
+    x = x.withColumn("file", F.concat("name", F.when(F.col("has"), F.lit("/index.md")).otherwise(F.lit(".md"))))
     root = F.struct(F.concat("name", F.lit("/")).alias("dir"), F.array("ordinal").alias("ordinal_path"), F.array("title").alias("breadcrumb"))
-    x = x.withColumn("at", F.when(F.col("parent") == 0, root))
-    for level in LEVELS[:-1]:  # parents of this level hand their place down
+    x = x.withColumn("at", F.when(F.col("parent") == 0, root)).withColumn("up_dir", F.lit("")).withColumn("below", F.expr("cast(array() AS array<struct<ordinal:int,title:string,file:string>>)"))
+    for level in LEVELS[:-1]:  # parents of this level hand their place down and gather their children
         kid = F.coalesce(F.col("parent_level") == level, F.lit(False))
         family = Window.partitionBy("doc_id", F.when(kid, F.col("parent")).otherwise(F.col("section")))
-        x = x.withColumn("up", F.first(F.when(~kid, F.col("at")), ignorenulls=True).over(family))
-        mine = F.struct(F.concat("up.dir", "name", F.lit("/")).alias("dir"), F.concat("up.ordinal_path", F.array("ordinal")).alias("ordinal_path"), F.concat("up.breadcrumb", F.array("title")).alias("breadcrumb"))
-        x = x.withColumn("at", F.when(kid, mine).otherwise(F.col("at")))
-    path = F.when(F.col("has"), F.concat("at.dir", F.lit("index.md"))).otherwise(F.concat(F.regexp_replace("at.dir", "/$", ""), F.lit(".md")))
-    return x.select("doc_id", "section", "parent", "level", "title", "ordinal", "at.ordinal_path", "at.breadcrumb", path.alias("path"))
+        x = x.select("*", kid.alias("kid"), F.first(F.when(~kid, F.col("at")), ignorenulls=True).over(family).alias("up"), F.collect_list(F.when(kid, F.struct("ordinal", "title", "file"))).over(family).alias("mine"))
+        place = F.struct(F.concat("up.dir", "name", F.lit("/")).alias("dir"), F.concat("up.ordinal_path", F.array("ordinal")).alias("ordinal_path"), F.concat("up.breadcrumb", F.array("title")).alias("breadcrumb"))
+        x = x.withColumn("at", F.when(F.col("kid"), place).otherwise(F.col("at"))).withColumn("up_dir", F.when(F.col("kid"), F.col("up.dir")).otherwise(F.col("up_dir")))
+        x = x.withColumn("below", F.when(~F.col("kid") & (F.col("level") == level), F.sort_array("mine")).otherwise(F.col("below"))).drop("kid", "up", "mine")
+    kids = F.transform("below", lambda k: F.struct(k["ordinal"].alias("ordinal"), k["title"].alias("title"), F.concat("at.dir", k["file"]).alias("path")))
+    return x.select("doc_id", "section", "parent", "level", "title", "ordinal", "at.ordinal_path", "at.breadcrumb", F.concat("up_dir", "file").alias("path"), F.concat("up_dir", F.lit("index.md")).alias("parent_path"), kids.alias("kids"))
 
 
 def anchors(headings: DataFrame, file: list[str], order: str, title: str = "text") -> DataFrame:
@@ -137,21 +140,19 @@ def resolve_refs(links: DataFrame, anchors_: DataFrame) -> DataFrame:
 def navigation(files: DataFrame) -> DataFrame:
     """``files`` with their place in reading order and the relative links to the file before and after, the parent's, and the children's paths from the tree's root."""
     order = Window.partitionBy("doc_id").orderBy("ordinal_path")
-    up = files.select("doc_id", F.col("section").alias("parent"), F.col("path").alias("up"))
-    kids = files.where("parent > 0").groupBy("doc_id", F.col("parent").alias("section")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "path"))), lambda x: x["path"]).alias("children"))
-    return (
-        files.withColumn("reading", F.row_number().over(order)).withColumn("prev", F.lag("path").over(order)).withColumn("next", F.lead("path").over(order))
-        .join(up, ["doc_id", "parent"], "left").join(kids, ["doc_id", "section"], "left")
-        .withColumn("prev", relativize("path", "prev")).withColumn("next", relativize("path", "next"))
-        .withColumn("parent_link", relativize("path", F.coalesce("up", F.lit("index.md")))).withColumn("children", F.coalesce("children", F.array().cast("array<string>"))).drop("up")
-    )
+    x = files.select("*", F.row_number().over(order).alias("reading"), F.lag("path").over(order).alias("before"), F.lead("path").over(order).alias("after"))
+    return x.select("*", relativize("path", "before").alias("prev"), relativize("path", "after").alias("next"), relativize("path", "parent_path").alias("parent_link"), F.transform("kids", lambda k: k["path"]).alias("children")).drop("before", "after")
 
 
 def contents(files: DataFrame) -> DataFrame:
     """(doc_id, section, toc): the list of links to the children that a file with children begins with."""
-    kid = files.where("parent > 0").select("doc_id", F.col("parent").alias("section"), "ordinal", F.col("title").alias("kid"), F.col("path").alias("kid_path"))
-    line = F.concat(F.lit("- ["), F.col("kid"), F.lit("]("), relativize("path", "kid_path"), F.lit(")"))
-    return kid.join(files.select("doc_id", "section", "path"), ["doc_id", "section"]).groupBy("doc_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("l")))), lambda x: x["l"]), "\n").alias("toc"))
+    return toc(files).where("toc IS NOT NULL").select("doc_id", "section", "toc")
+
+
+def toc(files: DataFrame) -> DataFrame:
+    """``files`` with ``toc``, null for a file without children."""
+    line = lambda k: F.concat(F.lit("- ["), k["title"], F.lit("]("), relativize(F.col("path"), k["path"]), F.lit(")"))
+    return files.withColumn("toc", F.when(F.size("kids") > 0, F.array_join(F.transform("kids", line), "\n")))
 
 
 def frontmatter(files: DataFrame) -> DataFrame:

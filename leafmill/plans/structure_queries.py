@@ -21,7 +21,7 @@ def _crumbs(df):
 
 register("core_fold_sections", lambda s, d: S.fold_sections(atlas.blocks(s, d)).select("doc_id", "ord", "kind", "section", "parent"), f"WITH {atlas.FOLDED} SELECT doc_id, ord, kind, section, parent FROM folded")
 register("core_section_pages", lambda s, d: S.section_pages(S.fold_sections(atlas.blocks(s, d))), f"WITH {atlas.FOLDED} SELECT doc_id, section, min(page_from) AS page_from, max(page_to) AS page_to FROM folded WHERE kind <> 'heading' GROUP BY ALL")
-register("core_section_tokens", lambda s, d: S.sections(S.fold_sections(atlas.blocks(s, d))), f"WITH {atlas.SECTIONS} SELECT * FROM sections")
+register("core_section_tokens", lambda s, d: S.sections(S.fold_sections(atlas.blocks(s, d))).drop("parent_level"), f"WITH {atlas.SECTIONS} SELECT * FROM sections")
 
 
 def token_estimate(spark, d):
@@ -113,10 +113,9 @@ def site(spark, d):
     from ..functions.text import escape_flow
 
     folded = S.fold_sections(atlas.blocks(spark, d))
-    files = S.frontmatter(S.navigation(S.assign_paths(S.sections(folded), ascii_titles=True)))
+    files = S.toc(S.frontmatter(S.navigation(S.assign_paths(S.sections(folded), ascii_titles=True))))
     body = folded.where("kind <> 'heading'").groupBy("doc_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", escape_flow("text").alias("t")))), lambda x: x["t"]), "\n\n").alias("body"))
-    toc = S.contents(files.select("doc_id", "section", "parent", "ordinal", "title", "path"))
-    x = files.join(toc, ["doc_id", "section"], "left").join(body, ["doc_id", "section"], "left")
+    x = files.join(body, ["doc_id", "section"], "left")
     text = F.concat("yaml", F.lit("\n"), F.repeat(F.lit("#"), F.least(F.greatest(F.size("breadcrumb"), F.lit(1)), F.lit(6))), F.lit(" "), "title", F.lit("\n\n"), F.coalesce(F.concat("toc", F.lit("\n\n")), F.lit("")), F.coalesce(F.concat("body", F.lit("\n")), F.lit("")))
     return x.select("doc_id", "path", text.alias("markdown"))
 
