@@ -12,24 +12,26 @@ import base64
 import functools
 import mmap
 import os
-import re
 import tempfile
 from array import array
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_views, saved
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The share of all words from which a word is frequent.
 FREQUENT = 2e-6
 #: The words that a worker remembers.
-_MEMO = 900_000
+_MEMO = 500_000
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -160,7 +162,6 @@ class PairTable:
 
 
 _NONE = np.int32(1 << 30)
-_BYTES = [bytes([i]) for i in range(256)]
 
 
 class Transducer:
@@ -168,10 +169,10 @@ class Transducer:
 
     FIELDS = ("final", "first", "label", "target", "skip", "at", "ids")
 
-    def __init__(self, arrays: dict[str, np.ndarray], file: mmap.mmap | None = None, labels_at: int = 0):
+    def __init__(self, arrays: dict[str, np.ndarray]):
         self.arrays = arrays
         self.final, self.first, _, self.target, self.skip, self.at, self.ids = (memoryview(arrays[k]) for k in self.FIELDS)
-        self.find, self.labels_at = (file or arrays["label"].tobytes()).find, labels_at
+        self.find = arrays["label"].tobytes().find
 
     @classmethod
     def compiled(cls, words: dict[bytes, list[int]]) -> Transducer:
@@ -218,10 +219,10 @@ class Transducer:
         return cls({"final": np.array([f for f, _ in states], np.uint8), "first": first, "label": np.array(label, np.uint8), "target": np.array(target, np.int32), "skip": np.array(skip, np.int32), "at": np.cumsum([0] + [len(x) for x in ids]).astype(np.int32), "ids": np.array([y for x in ids for y in x], np.int32)})
 
     def get(self, word: bytes) -> list[int] | None:
-        first, find, target, skip, base = self.first, self.find, self.target, self.skip, self.labels_at
+        first, find, target, skip = self.first, self.find, self.target, self.skip
         state, rank = len(self.final) - 1, 0
         for byte in word:
-            e = find(_BYTES[byte], base + first[state], base + first[state + 1]) - base
+            e = find(byte, first[state], first[state + 1])
             if e < 0:
                 return None
             rank += skip[e]
@@ -240,13 +241,12 @@ class Transducer:
         with open(path, "rb") as f:
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         sizes = np.frombuffer(data, np.int64, len(cls.FIELDS))
-        at, arrays, labels_at = sizes.nbytes, {}, 0
+        at, arrays = sizes.nbytes, {}
         for k, n in zip(cls.FIELDS, sizes.tolist()):
             kind = np.dtype(np.uint8 if k in ("final", "label") else np.int32)
             arrays[k] = np.frombuffer(data, kind, n, at)
-            labels_at = at if k == "label" else labels_at
             at += -(-n * kind.itemsize // 8) * 8
-        return cls(arrays, data, labels_at)
+        return cls(arrays)
 
 
 @functools.lru_cache(maxsize=2)
@@ -256,7 +256,8 @@ def _mapped(name: str) -> Transducer:
 
 _MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _FIND = regex.compile(PATTERN).findall
-_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+_ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_ODD_ASCII = _ODD[:8]
 
 
 def _words(part: str) -> list[str]:
@@ -272,7 +273,7 @@ def _parts(text: str) -> list[str] | None:
     """The parts between the spaces of a text in which each space stands alone, so that no word of the pattern reaches across two of them; None for other texts."""
     if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or text[-1] == "\n":
         return None
-    if _ODD(text):
+    if any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)):
         parts = text.split(" ")
         return parts if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts) else None
     return text.split(" ")
@@ -401,8 +402,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def lexicon(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: float = FREQUENT) -> Transducer:
     """The transducer of the words that make up at least ``frequent`` of the words of a (text) table: at most 1 / frequent come to the driver."""
-    from .common import saved
-
     counts = saved(word_counts(docs))
     total = counts.agg(F.sum("n")).first()[0] or 0
     words = [r.word.encode() for r in counts.where(F.col("n") >= max(2, frequent * total)).select("word").collect()]
@@ -424,26 +423,45 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     spark.sparkContext.addFile(path)  # the driver serves it; each executor fetches it once and its workers map it
 
     def encode(batches):
-        run, (_, back) = _worker_encoder(vocabulary, name), _vocabulary(vocabulary)
+        run, back = _worker_encoder(vocabulary, name), _flat_vocabulary(vocabulary)
         for b in batches:
             for a in range(0, len(b), 512):
                 part = b.slice(a, 512)
-                texts_ = part.column(1).to_pylist()
-                ids, same = run(texts_), []
-                for t, x in zip(texts_, ids):
-                    same.append(None if x is None else b"".join(map(back.__getitem__, x.tolist())) == t.encode("utf-8", "replace"))
+                ids = run(part.column(1).to_pylist())
                 ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids]).astype(np.int32)
                 values = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([x is None for x in ids]))
+                same = [None if x is None else back.spells(x, view) for x, view in zip(ids, byte_views(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
 
     return texts.mapInArrow(encode, "doc_id long, ids array<int>, n_ids int, round_trip boolean")
 
 
+class _Flat:
+    """The vocabulary's bytes in one array."""
+
+    def __init__(self, back: list[bytes]):
+        self.size = np.array([len(x) for x in back], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(back), np.uint8)
+
+    def spells(self, ids: np.ndarray, text: np.ndarray) -> bool:
+        """Whether ``ids`` decode to the bytes of ``text``."""
+        size = self.size[ids]
+        if int(size.sum()) != len(text):
+            return False
+        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
+        at += np.arange(len(text))
+        return bool((self.bytes[at] == text).all())
+
+
+@functools.lru_cache(maxsize=2)
+def _flat_vocabulary(path: str) -> _Flat:
+    return _Flat(_vocabulary(path)[1])
+
+
 def decoded(df: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
     """``df`` and the text that ``ids_col`` stands for, as ``text``: null for null ids or an id that the vocabulary lacks; bytes that aren't UTF-8 become replacement characters."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(batch: pd.Series) -> pd.Series:
         _, back = _vocabulary(vocabulary)
