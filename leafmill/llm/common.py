@@ -7,7 +7,9 @@ space). Words are compared through 64-bit hashes, so everything that follows sta
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast up to this estimate; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -77,8 +81,33 @@ def checked_join(big: DataFrame, side: DataFrame, on: str | list[str], how: str
     return big.join(F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side.hint("merge"), on, how)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of texts go to Python 2000 at a time instead of Spark's 10,000, unless the session says otherwise: buffers on both sides stay at a few MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
+def trim() -> None:
+    """Give what a Python worker has freed back to the machine: workers live on between tasks, beside their executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def lean(f):
+    """A function over batches that trims its worker when it has ended."""
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return run
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id bigint, text string) alone, so that no other column can clash; rows without id or text are left out."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 

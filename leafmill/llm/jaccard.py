@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, buckets_for, byte_views, checked_join, documents, gram_set, mix, saved, signed
+from .common import BROADCAST_BYTES, buckets_for, byte_views, checked_join, documents, gram_set, lean, mix, saved, signed, trim
 
 N, THRESHOLD = 3, 0.6
 #: The share of a document's grams that is its prefix, at least 1 - THRESHOLD: the more, the fewer groups are opened and the more grams are shipped.
 PREFIX = 0.5
 #: The common grams kept for the order, and how often one has to occur among a task's documents to be told.
 COMMON, TOLD = 1 << 18, 4
-_FLUSH = 1_500_000
-_EXPAND = 1_000_000
+_FLUSH = 800_000
+_EXPAND = 500_000
 #: In an opened group, grams that so many have or fewer are counted pair by pair.
 RARE = 16
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -67,13 +67,13 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                     rows.append((doc, *_summary(g), len(g)))
                     held.append(g)
                     size += len(g)
-                if size >= 2 * _FLUSH:
+                if size >= 4 * _FLUSH:
                     yield _seen(rows, held)
                     rows, held, size = [], [], 0
         if rows:
             yield _seen(rows, held)
 
-    seen = saved(docs.mapInArrow(look, _SEEN))
+    seen = saved(docs.mapInArrow(lean(look), _SEEN))
     meta = seen.where("kind = 0").select(F.col("a").alias("doc_id"), "sig", "group", "size").distinct()
     common = seen.where("kind = 1").groupBy("a").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON).toArrow()
     hot, times = common.column("a").to_numpy().view(np.uint64), common.column("n").to_numpy()
@@ -110,9 +110,11 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
             yield _packed(heads, held, n_buckets)
 
     def overlaps(key, table):
-        return _overlaps(table, threshold)
+        out = _overlaps(table, threshold)
+        trim()
+        return out
 
-    bound = docs.mapInArrow(prefixes, "bucket int, rows binary").groupBy("bucket").applyInArrow(overlaps, "doc_id long, group long, size int, found int")
+    bound = docs.mapInArrow(lean(prefixes), "bucket int, rows binary").groupBy("bucket").applyInArrow(overlaps, "doc_id long, group long, size int, found int")
     # Of two documents, up to where the shorter-reaching prefix ends all shared grams are found; beyond it lie at most (1 - PREFIX) of the larger
     # one's grams. So a pair at the threshold has found at least this many, counted against the union of the group:
     enough = F.greatest(F.lit(1), F.ceil(threshold * F.col("size") - 1e-9) - F.floor((1 - PREFIX) * F.col("size")))
@@ -141,13 +143,15 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         return _verify(table, threshold)
 
     texts = checked_join(docs, needed, "doc_id").select("doc_id", "text", "group", "member")
-    near = texts.mapInArrow(sets, "group long, doc_id long, member boolean, grams binary").groupBy("group").applyInArrow(verify, "doc_a long, doc_b long, jaccard double")
+    near = texts.mapInArrow(lean(sets), "group long, doc_id long, member boolean, grams binary").groupBy("group").applyInArrow(verify, "doc_a long, doc_b long, jaccard double")
     return near.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).unionByName(copies.distinct())
 
 
 def _seen(rows, held) -> pa.RecordBatch:
     a, sig, group, size = (np.array(x, np.int64) for x in zip(*rows))
-    grams = np.sort(np.concatenate(held))
+    grams = np.concatenate(held)
+    held.clear()
+    grams.sort()
     first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
     times = np.diff(np.r_[first, len(grams)])
     told = times >= TOLD

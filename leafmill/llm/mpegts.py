@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views
+from .common import byte_views, small_batches
 
 PACKET, SYNC, NULL_PID = 188, 0x47, 0x1FFF
 _CRC = []
@@ -302,6 +302,8 @@ def stream_summary(df: DataFrame, id_col: str = "doc_id", media_col: str = "medi
 def text_streams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tick: int = 3600, every: int = 8) -> DataFrame:
     """(doc_id, media): each row's text as a transport stream, a unit for each line, ``tick`` 90 kHz ticks apart, every ``every``-th one a random-access point. A null text gives null media."""
 
+    small_batches(df.sparkSession)
+
     def write(batches):
         for b in batches:
             for a in range(0, len(b), 1024):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 
 CAPACITY = 2048
 #: Items of a block, islands of a block, epochs, generations in an epoch, individuals of an island, of which so many move on.
@@ -115,6 +115,7 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     Words are runs of anything but ASCII white space. Each row is packed, repeated rows too. Null and blank texts have no word and rows without
     id no name: they are left out. An empty table gives an empty result. Other columns are ignored."""
     lengths = df.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(F.col(text_col), F.lit(r"[^ \t\n\x0B\f\r]+")).alias("n")).where("doc_id IS NOT NULL AND n > 0")
+    small_batches(df.sparkSession)
     lengths = saved(lengths)
     n_blocks = max(1, round(lengths.count() / BLOCK))
     blocks = lengths.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("n", "doc_id")), asc=False).alias("items"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, byte_views, documents, saved
+from .common import buckets_for, byte_views, documents, lean, saved
 
 DEPTH, BITS = 5, 7
 #: Nats for each symbol of the corpus, and nats in all, that a retained context gains at least.
@@ -126,7 +126,7 @@ def counts(docs: DataFrame) -> DataFrame:
         k, n = _merged(held)
         return pa.table({"key": k.view(np.int64), "n": n})
 
-    return docs.mapInArrow(count, "bucket int, rows binary").groupBy("bucket").applyInArrow(add, "key long, n long")
+    return docs.mapInArrow(lean(count), "bucket int, rows binary").groupBy("bucket").applyInArrow(add, "key long, n long")
 
 
 def retained(table: DataFrame, gain: float = GAIN, significant: float = SIGNIFICANT) -> DataFrame:
@@ -252,4 +252,4 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     names=["doc_id", "n_bytes", "log_likelihood", "bits_per_byte"],
                 )
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, "doc_id long, n_bytes long, log_likelihood double, bits_per_byte double")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(score), "doc_id long, n_bytes long, log_likelihood double, bits_per_byte double")

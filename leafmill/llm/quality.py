@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DICTIONARY, PIECE, LEVEL = 112_640, 512, 3
 #: The labelled rows of each class that the model is fitted on, the lowest by a hash of their id; half train the dictionary, half the curve.
 FIT_ROWS = 3000
@@ -104,6 +106,7 @@ def with_score(df: DataFrame, model: Model | None, text_col: str = "text", score
     """``df`` and the probability that its text is good, as ``score``: null where the text is null or blank, or where there is no model."""
     if model is None:
         return df.withColumn(score, F.lit(None).cast("double"))
+    small_batches(df.sparkSession)
     told = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries
 
     @F.pandas_udf("double")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Grams, buckets_for, byte_views, checked_join, documents, saved, signed, words
+from .common import Grams, buckets_for, byte_views, checked_join, documents, lean, saved, signed, trim, words
 from .sais import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 50, 16
@@ -81,9 +81,11 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def group(key, table):
         rows = np.concatenate([np.frombuffer(x.as_buffer(), _ANCHOR) for c in table.column("rows").chunks for x in c])
-        return pa.Table.from_batches([_grouped(rows)])
+        out = pa.Table.from_batches([_grouped(rows)])
+        trim()
+        return out
 
-    packed = docs.mapInArrow(anchors, "bucket int, rows binary")
+    packed = docs.mapInArrow(lean(anchors), "bucket int, rows binary")
     grouped = saved(packed.groupBy("bucket").applyInArrow(group, _GROUPED))
 
     wanted = grouped.where("shared AND NOT is_copy").select("doc_id", F.struct("owner", "at", "runs").alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("contexts"))
@@ -104,9 +106,11 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["runs"], pa.int32()), pa.array(out["words"], pa.binary())], names=list(out))
 
     def shard(key, table):
-        return pa.Table.from_batches([_pieces(table, length)])
+        out = pa.Table.from_batches([_pieces(table, length)])
+        trim()
+        return out
 
-    pieces = saved(texts.select("doc_id", "text", "contexts").mapInArrow(cut, _CONTEXT).groupBy("shard").applyInArrow(shard, _PIECE))
+    pieces = saved(texts.select("doc_id", "text", "contexts").mapInArrow(lean(cut), _CONTEXT).groupBy("shard").applyInArrow(shard, _PIECE))
 
     # a first context keeps what is new in it; a copy of it has all from elsewhere: from where the first context has it, or from that context
     own = pieces.where("first_doc <> doc_id OR first_start <> at + offset").select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "runs", "first_doc", "first_start")
