@@ -33,13 +33,13 @@ class Model(NamedTuple):
     bad: bytes
     slope: float
     level: float
-    raw: bool
+    #: Whether the good and the bad dictionary are raw text, not trained.
+    raw: tuple[bool, bool]
 
     def scorer(self):
-        kind = zstandard.DICT_TYPE_RAWCONTENT if self.raw else zstandard.DICT_TYPE_AUTO
         compressors = []
-        for data in (self.good, self.bad):
-            d = zstandard.ZstdCompressionDict(data, dict_type=kind)
+        for data, raw in zip((self.good, self.bad), self.raw):
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT)
             d.precompute_compress(level=LEVEL)
             compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
         good, bad = compressors
@@ -56,10 +56,23 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.level, -40, 40)))
 
 
-def _dictionary(texts: list[bytes], raw: bool) -> bytes:
-    if raw:
-        return b"".join(texts)[-DICTIONARY:]
-    return zstandard.train_dictionary(DICTIONARY, [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]).as_bytes()
+def _dictionary(texts: list[bytes]) -> tuple[bytes, bool]:
+    """(dictionary, whether it is raw): trained on all pieces of the texts; raw only where zstandard refuses to train on so little."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]).as_bytes(), False
+    except zstandard.ZstdError:
+        return _raw(texts), True
+
+
+def _raw(texts: list[bytes]) -> bytes:
+    """The beginnings of all texts, each of at most so many bytes that DICTIONARY holds them."""
+    most, left = 0, DICTIONARY
+    for k, size in enumerate(sorted(map(len, texts))):
+        most = max(1, left // (len(texts) - k))
+        if most < size:
+            break
+        left -= size
+    return b"".join(t[:most] for t in texts)[:DICTIONARY]
 
 
 def fit_texts(good: list[str], bad: list[str], share_good: float) -> Model | None:
@@ -67,8 +80,8 @@ def fit_texts(good: list[str], bad: list[str], share_good: float) -> Model | Non
     if min(len(good), len(bad)) < 2:
         return None
     halves = {k: ([x.encode("utf-8", "replace") for x in v[::2]], v[1::2]) for k, v in (("good", good), ("bad", bad))}
-    raw = min(sum(map(len, h[0])) for h in halves.values()) < 8 * DICTIONARY  # too little to train a dictionary of that size: the texts themselves are one
-    model = Model(_dictionary(halves["good"][0], raw), _dictionary(halves["bad"][0], raw), 1.0, 0.0, raw)
+    (good_, good_raw), (bad_, bad_raw) = (_dictionary(halves[k][0]) for k in ("good", "bad"))
+    model = Model(good_, bad_, 1.0, 0.0, (good_raw, bad_raw))
     measure = model.scorer()
     x = np.array([measure(t) for t in halves["good"][1] + halves["bad"][1]])
     y = np.r_[np.ones(len(halves["good"][1])), np.zeros(len(halves["bad"][1]))]

@@ -164,6 +164,20 @@ def test_classifier(spark):
     assert quality.classified(docs, labels.where("quality = 1")).where("keep").count() == docs.count()
 
 
+def test_small_classes_are_trained_on_too():
+    """A class of few labelled texts gets a trained dictionary, and what the other class has isn't cut for it; a raw one holds all texts."""
+    good, bad = labelled(400)
+    model = quality.fit_texts(good, bad[:40], 0.9)
+    assert model.raw == (False, False)
+    few = quality.fit_texts(good, bad[:2], 0.9)
+    assert few.raw == (False, True) and few.good == model.good and few.bad == bad[0].encode()
+    texts = [b"%d " % i * 40 for i in range(100)] + [b"long " * 100_000]
+    raw = quality._raw(texts)
+    assert len(raw) <= quality.DICTIONARY and all(t in raw for t in texts[:100])
+    many = quality._raw([b"%04d" % i * 1000 for i in range(300)])
+    assert len(many) <= quality.DICTIONARY and all(b"%04d" % i * 50 in many for i in range(300))
+
+
 def test_suffix_tree_counts_and_scores(spark):
     texts = [(1, "abab abab abra"), (2, "abra ab"), (3, None), (4, ""), (5, "é" * 3000), (1, "abab abab abra")]
     views = [np.frombuffer(t.encode(), np.uint8) for _, t in texts if t is not None]
