@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast up to this estimate; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
+#: Of ids of one thing that meet each other, about so many go to a part.
+COPIES = 1024
+
 _LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +84,25 @@ def checked_join(big: DataFrame, side: DataFrame, on: str | list[str], how: str
     return big.join(F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side.hint("merge"), on, how)
 
 
+def all_pairs(near: DataFrame, copies: DataFrame, same: float) -> DataFrame:
+    """Every pair of rows, the lower id first, of ``near``: (a, b, value) of distinct things, each under its lowest id, and ``copies``: the same columns, a thing's lowest id
+    and one other of its ids. Pairs of one thing's ids have the value ``same``. As many rows as there are pairs: a thing of m ids alone gives m * (m - 1) / 2.
+
+    One side of a thing's join with itself is cut into parts of about COPIES ids, so that no task has all pairs of a large one."""
+    a, b, value = near.columns
+    near, copies = saved(near), saved(copies.select(F.col(a).alias("first"), F.col(b).alias("id")).distinct())
+    firsts = near.select(F.col(a).alias("first")).unionByName(near.select(F.col(b).alias("first"))).unionByName(copies.select("first")).distinct()
+    members = saved(copies.unionByName(firsts.select("first", F.col("first").alias("id"))))
+    half = checked_join(near, members.select(F.col("first").alias(a), F.col("id").alias("x")), a)
+    between = checked_join(half, members.select(F.col("first").alias(b), F.col("id").alias("y")), b).select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b), value)
+    parts = saved(copies.groupBy("first").agg(F.ceil((F.count("*") + 1) / COPIES).cast("int").alias("parts")))
+    own = saved(checked_join(members, parts, "first"))
+    left = own.select("first", F.col("id").alias(a), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    right = own.select("first", F.col("id").alias(b), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = left.join(right, ["first", "part"]).where(F.col(a) < F.col(b)).select(a, b, F.lit(same).alias(value))
+    return between.unionByName(within)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows of texts go to Python 2000 at a time instead of Spark's 10,000, unless the session says otherwise: buffers on both sides stay at a few MB."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

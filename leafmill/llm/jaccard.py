@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, buckets_for, byte_views, checked_join, documents, gram_set, lean, mix, saved, signed, trim
+from .common import BROADCAST_BYTES, all_pairs, buckets_for, byte_views, checked_join, documents, gram_set, lean, mix, saved, signed, trim
 
 N, THRESHOLD = 3, 0.6
 #: The share of a document's grams that is its prefix, at least 1 - THRESHOLD: the more, the fewer groups are opened and the more grams are shipped.
@@ -56,6 +56,18 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     Words are runs of anything but ASCII white space; a text of fewer than ``n`` words has one gram, of all of them. Null and blank
     texts and rows without id pair with nothing. Repeated rows of one doc_id are one document. An empty table gives an empty result.
     """
+    near, copies = _near_and_copies(df, id_col, text_col, n, threshold)
+    return near.unionByName(copies)
+
+
+def all_near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard): every pair of documents at or above ``threshold``, of all copies of a set with each other and with all near copies; else as ``near_pairs``.
+    An id with several texts has its greatest jaccard, and none with itself."""
+    pairs = all_pairs(*_near_and_copies(df, id_col, text_col, n, threshold), 1.0)
+    return pairs.where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def _near_and_copies(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     docs = documents(df, id_col, text_col)
 
     def look(batches):
@@ -144,7 +156,7 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     texts = checked_join(docs, needed, "doc_id").select("doc_id", "text", "group", "member")
     near = texts.mapInArrow(lean(sets), "group long, doc_id long, member boolean, grams binary").groupBy("group").applyInArrow(verify, "doc_a long, doc_b long, jaccard double")
-    return near.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).unionByName(copies.distinct())
+    return near.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")), copies.distinct()
 
 
 def _seen(rows, held) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, saved
+from .common import BROADCAST_BYTES, all_pairs, saved
 
 RADIUS, CELL = 0.3, 512
 _BLOCK = 1024
@@ -41,6 +41,18 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Rows whose id or vector is null, or whose vector is empty or has a null or NaN component, pair with nothing; vectors of different lengths are
     in no distance of each other. Repeated rows of one id are one. An empty table gives an empty result. Other columns are ignored."""
+    near, copies = _near_and_copies(df, id_col, vector_col, radius, cell)
+    return near.unionByName(copies)
+
+
+def all_near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", radius: float = RADIUS, cell: int = CELL) -> DataFrame:
+    """(vec_a, vec_b, distance): every pair of ids whose vectors are at most ``radius`` apart, of all ids of a vector with each other and with all near ones; else as ``near_vectors``.
+    An id with several vectors has its least distance, and none from itself."""
+    pairs = all_pairs(*_near_and_copies(df, id_col, vector_col, radius, cell), 0.0)
+    return pairs.where("vec_a < vec_b").groupBy("vec_a", "vec_b").agg(F.min("distance").alias("distance"))
+
+
+def _near_and_copies(df: DataFrame, id_col: str, vector_col: str, radius: float, cell: int) -> tuple[DataFrame, DataFrame]:
     v = F.col(vector_col).cast("array<float>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = float('inf'))")
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))  # -0 is 0
@@ -48,10 +60,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     copies = ranked.where("id <> first").select(F.col("first").alias("vec_a"), F.col("id").alias("vec_b"), F.lit(0.0).alias("distance")).distinct()
     points = ranked.where("id = first").select("id", "v", F.size("v").alias("n"))
     lengths = [r.n for r in points.select("n").distinct().collect()]
-    found = copies
+    near = df.sparkSession.createDataFrame([], "vec_a long, vec_b long, distance double")
     for n in sorted(lengths):
-        found = found.unionByName(_joined(points.where(F.col("n") == n).select("id", "v"), n, radius, cell))
-    return found
+        near = near.unionByName(_joined(points.where(F.col("n") == n).select("id", "v"), n, radius, cell))
+    return near, copies
 
 
 def _joined(points: DataFrame, n: int, radius: float, cell: int) -> DataFrame:

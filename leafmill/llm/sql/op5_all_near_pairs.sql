@@ -1,0 +1,6 @@
+WITH w AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g'), '[ \t\n\r\f\v]+') AS w
+           FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '[^ \t\n\r\f\v]'))),
+s AS (SELECT row_number() OVER () AS k, doc_id, list_distinct(list_transform(range(0, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS s FROM w),
+t AS (SELECT k, doc_id AS d, len(s) AS n, unnest(s) AS g FROM s),
+o AS (SELECT a.d AS doc_a, b.d AS doc_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.g = b.g AND a.d < b.d GROUP BY a.k, b.k, a.d, b.d)
+SELECT doc_a, doc_b, max(c / (na + nb - c)) AS jaccard FROM o WHERE c / (na + nb - c) >= 0.6 - 1e-12 GROUP BY doc_a, doc_b

@@ -1,0 +1,3 @@
+WITH v AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+d AS (SELECT a.id AS vec_a, b.id AS vec_b, list_distance(a.v::DOUBLE[], b.v::DOUBLE[]) AS d FROM v a JOIN v b ON a.id < b.id AND len(a.v) = len(b.v))
+SELECT vec_a, vec_b, round(min(d), 5) AS distance FROM d WHERE d <= 0.3 GROUP BY vec_a, vec_b

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from leafmill.llm import arc, metricjoin, mpegts, urlrules
+from leafmill.llm import arc, common, metricjoin, mpegts, urlrules
 
 # ---------------------------------------------------------------- vectors
 
@@ -41,6 +41,19 @@ def test_near_vectors(spark, radius, cell):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+@pytest.mark.parametrize("radius,part", [(0.3, 1024), (1.5, 2), (0.0, 2)])
+def test_all_near_vectors(spark, monkeypatch, radius, part):
+    monkeypatch.setattr(common, "COPIES", part)
+    rows = vectors()
+    rows += [(600 + k, rows[7][1], 0) for k in range(5)] + [(610 + k, rows[27][1], 0) for k in range(4)]
+    ok = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows if i is not None and v and all(x is not None and x == x for x in v)}
+    want = {(a, b): float(np.sqrt(((ok[a] - ok[b]) ** 2).sum())) for a in ok for b in ok if a < b and len(ok[a]) == len(ok[b])}
+    want = {k: d for k, d in want.items() if d <= radius}
+    out = metricjoin.all_near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), radius=radius, cell=16).collect()
+    got = {(r.vec_a, r.vec_b): r.distance for r in out}
+    assert len(out) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and (601, 604) in got
+
+
 def test_no_vectors(spark):
     assert metricjoin.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, cell string, first string")).count() == 0
 

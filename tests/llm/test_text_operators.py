@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from leafmill.llm import bpe, jaccard, packing, pst, quality, repeats
+from leafmill.llm import bpe, common, jaccard, packing, pst, quality, repeats
 from leafmill.llm.sais import permuted_lcp, suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -115,6 +115,21 @@ def test_near_pairs(spark, threshold):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
 
+@pytest.mark.parametrize("part", [3, 1024])
+def test_all_near_pairs(spark, monkeypatch, part):
+    """Copies are paired with each other, and a near copy with every copy, not with the lowest alone."""
+    monkeypatch.setattr(common, "COPIES", part)
+    texts = corpus()
+    by = dict(texts)
+    texts += [(100 + k, by[1]) for k in range(10)] + [(120 + k, by[40]) for k in range(3)]
+    s = brute_sets(texts)
+    want = {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])}
+    rows = jaccard.all_near_pairs(frame(spark, texts)).collect()
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    assert (105, 121) in got and (103, 107) in got and not got.keys() <= {(r.doc_a, r.doc_b) for r in jaccard.near_pairs(frame(spark, texts)).collect()}
+
+
 def test_many_near_copies(spark):
     rng = random.Random(3)
     base = [rng.choice(VOCABULARY) for _ in range(120)]
