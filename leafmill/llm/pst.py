@@ -2,26 +2,32 @@
 
 The symbols are 128 classes of bytes. The corpus is counted whole: how often each symbol follows each context of up to ``DEPTH`` symbols. A
 context is retained if its next-symbol distribution diverges from that of its suffix one symbol shorter: if the log-likelihood gained in the corpus
-by telling them apart, N(s) * KL(s || suffix), is significant and at least ``GAIN`` nats for each symbol of the corpus. Gains add up to less than the entropy of
-the corpus, so the second test bounds the tree whatever the corpus's size, while what is counted grows with it. Each retained
-distribution is smoothed with its suffix's. Closed under prefixes, the contexts are the states of an automaton: a text is scored by following
+by telling them apart, N(s) * KL(s || suffix), is significant. That doesn't depend on what else the corpus holds, so the tree grows with it, and the automaton lies in files
+that the workers map. Each retained distribution is smoothed with its suffix's. Closed under prefixes, the contexts are the states of an automaton: a text is scored by following
 its longest suffix states, many texts in step.
 """
 
 from __future__ import annotations
 
+import atexit
+import functools
+import os
+import shutil
+import tempfile
 from typing import NamedTuple
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, byte_views, documents, lean, saved
+from .common import buckets_for, byte_views, documents, lean, saved, shared_dir
 
 DEPTH, BITS = 5, 7
-#: Nats for each symbol of the corpus, and nats in all, that a retained context gains at least.
-GAIN, SIGNIFICANT = 1e-6, 8.0
+#: Nats that a retained context gains at least.
+SIGNIFICANT = 8.0
 #: The weight, in observations, of the suffix's distribution in a smoothed one.
 PRIOR = 8.0
 EDGE = 61
@@ -129,21 +135,19 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(count), "bucket int, rows binary").groupBy("bucket").applyInArrow(add, "key long, n long")
 
 
-def retained(table: DataFrame, gain: float = GAIN, significant: float = SIGNIFICANT) -> DataFrame:
-    """(length, key, n): the counts of the root and of every context that passes the divergence tests, or is a suffix of one that does; key packs the context and the next symbol."""
+def retained(table: DataFrame, significant: float = SIGNIFICANT) -> DataFrame:
+    """(length, key, n): the counts of the root and of every context that passes the divergence test, or is a suffix of one that does; key packs the context and the next symbol."""
     levels = [saved(table)]
     for d in range(DEPTH - 1, -1, -1):
         levels.append(saved(levels[-1].groupBy(F.col("key").bitwiseAND((1 << BITS * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))))
     levels.reverse()  # by length of the context
-    total = levels[0].agg(F.sum("n")).first()[0] or 0
-    least = max(significant, gain * total)
     passed = None
     for d in range(1, DEPTH + 1):
         own = levels[d].withColumn("context", F.shiftright("key", BITS)).withColumn("parent", F.col("key").bitwiseAND((1 << BITS * d) - 1))
         up = levels[d - 1].select(F.col("key").alias("parent"), F.col("n").alias("pn"), F.shiftright("key", BITS).alias("pc"))
         upn = levels[d - 1].groupBy(F.shiftright("key", BITS).alias("pc")).agg(F.sum("n").alias("pt"))
         both = own.join(up.join(upn, "pc"), "parent")
-        kl = both.groupBy("context").agg(F.sum("n").alias("t"), F.sum(F.col("n") * (F.log("n") - F.log("pn") + F.log("pt"))).alias("x")).where(F.col("x") - F.col("t") * F.log("t") >= least)
+        kl = both.groupBy("context").agg(F.sum("n").alias("t"), F.sum(F.col("n") * (F.log("n") - F.log("pn") + F.log("pt"))).alias("x")).where(F.col("x") - F.col("t") * F.log("t") >= significant)
         this = kl.select(F.lit(d).alias("length"), "context")
         passed = this if passed is None else passed.unionByName(this)
     passed = saved(passed)
@@ -154,8 +158,8 @@ def retained(table: DataFrame, gain: float = GAIN, significant: float = SIGNIFIC
     return rows
 
 
-def automaton(lengths: np.ndarray, keys: np.ndarray, n: np.ndarray, prior: float = PRIOR) -> Model:
-    """The model of the counts of a set of contexts closed under suffixes."""
+def automaton(lengths: np.ndarray, keys: np.ndarray, n: np.ndarray, folder: str, prior: float = PRIOR) -> Model:
+    """The model of the counts of a set of contexts closed under suffixes; its tables are mapped files of ``folder``."""
     lengths, keys, n = lengths.astype(np.int64), keys.astype(np.int64), n.astype(np.float64)
     sets = {d: np.unique(keys[lengths == d] >> BITS) for d in range(DEPTH + 1)}
     for d in range(DEPTH, 1, -1):  # a context's prefixes are states too
@@ -163,26 +167,29 @@ def automaton(lengths: np.ndarray, keys: np.ndarray, n: np.ndarray, prior: float
     sets[0] = np.zeros(1, np.int64)
     base = np.cumsum([0] + [len(sets[d]) for d in range(DEPTH + 1)])
     size = int(base[-1])
-    logp = np.empty((size, _ONE), np.float64)
-    step = np.zeros((size, _ONE), np.int32)
+    logp, step = (np.lib.format.open_memmap(os.path.join(folder, name), "w+", kind, (size, _ONE)) for name, kind in zip(_files(folder), (np.float32, np.int32)))
     root = np.bincount(keys[lengths == 0], n[lengths == 0], minlength=_ONE)
-    logp[0] = (root + 1) / (root.sum() + _ONE)
+    logp[0] = np.log((root + 1) / (root.sum() + _ONE))
     for d in range(1, DEPTH + 1):
-        states = sets[d]
-        if not len(states):
-            continue
-        up = _longest(sets, base, states, d - 1)
-        table = np.zeros((len(states), _ONE))
-        own = lengths == d
-        table[np.searchsorted(states, keys[own] >> BITS), keys[own] & (_ONE - 1)] = n[own]
-        logp[base[d] : base[d + 1]] = (table + prior * logp[up]) / (table.sum(1, keepdims=True) + prior)
+        own = np.flatnonzero(lengths == d)
+        own = own[np.argsort(keys[own])]
+        context, symbol, times = keys[own] >> BITS, keys[own] & (_ONE - 1), n[own]
+        for a in range(0, len(sets[d]), 4096):
+            states = sets[d][a : a + 4096]
+            up = _longest(sets, base, states, d - 1)
+            table = np.zeros((len(states), _ONE))
+            lo, hi = np.searchsorted(context, [states[0], states[-1] + 1])
+            table[np.searchsorted(states, context[lo:hi]), symbol[lo:hi]] = times[lo:hi]
+            logp[base[d] + a : base[d] + a + len(states)] = np.log((table + prior * np.exp(logp[up].astype(np.float64))) / (table.sum(1, keepdims=True) + prior))
     for d in range(DEPTH + 1):
         for a in range(0, len(sets[d]), 4096):
             states = sets[d][a : a + 4096]
             after = ((states[:, None] << BITS) | np.arange(_ONE)).ravel()
             step[base[d] + a : base[d] + a + len(states)] = _longest(sets, base, after, min(DEPTH, d + 1)).reshape(-1, _ONE)
     all_keys = np.concatenate([sets[d] for d in range(DEPTH + 1)])
-    return Model(np.log(logp).astype(np.float32).ravel(), step.ravel(), np.repeat(np.arange(DEPTH + 1), np.diff(base)), all_keys)
+    logp.flush()
+    step.flush()
+    return Model(np.asarray(logp).ravel(), np.asarray(step).ravel(), np.repeat(np.arange(DEPTH + 1), np.diff(base)), all_keys)
 
 
 def _longest(sets: dict[int, np.ndarray], base: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
@@ -226,9 +233,31 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return np.bincount(who, score, minlength=len(texts))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> Model:
     rows = retained(counts(documents(df, id_col, text_col))).toArrow()
-    return automaton(*(rows.column(k).to_numpy() for k in ("length", "key", "n")))
+    return automaton(*(rows.column(k).to_numpy() for k in ("length", "key", "n")), folder or _folder(df.sparkSession))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for a model: in the shared one if that is of the file system, else the driver's own."""
+    root = urlparse(shared_dir(spark))
+    if root.scheme == "file":
+        os.makedirs(root.path, exist_ok=True)
+    path = tempfile.mkdtemp(prefix="leafmill-pst-", dir=root.path if root.scheme == "file" else None)
+    os.chmod(path, 0o755)
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
+def _files(folder: str) -> tuple[str, str]:
+    """The names of its tables, unlike those of any other model."""
+    return f"{os.path.basename(folder)}.logp.npy", f"{os.path.basename(folder)}.step.npy"
+
+
+@functools.lru_cache(maxsize=2)
+def _mapped(paths: tuple[str, str]) -> Model:
+    logp, step = (np.asarray(np.load(p if os.path.isabs(p) else SparkFiles.get(p), mmap_mode="r")).ravel() for p in paths)
+    return Model(logp, step, np.zeros(0, np.int64), np.zeros(0, np.int64))  # scoring needs no more
 
 
 def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,11 +265,18 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Null ids and texts don't enter the model; a null text's scores are null, an empty one's likelihood is 1 and its bits per byte null. Repeated rows
     count as often as they occur. An empty table gives an empty result. Other columns are ignored."""
-    model = fit(df, id_col, text_col)
-    told = df.sparkSession.sparkContext.broadcast(model)  # bounded by GAIN: the states don't grow with the corpus
+    spark = df.sparkSession
+    folder = _folder(spark)
+    fit(df, id_col, text_col, folder)
+    names = _files(folder)
+    paths = tuple(os.path.join(folder, name) for name in names)
+    if urlparse(shared_dir(spark)).scheme != "file":
+        for p in paths:
+            spark.sparkContext.addFile(p)  # the driver serves it; each executor fetches it once and its workers map it
+        paths = names
 
     def score(batches):
-        model = told.value
+        model = _mapped(paths)
         for b in batches:
             for a in range(0, len(b), 1024):
                 part = b.slice(a, 1024)

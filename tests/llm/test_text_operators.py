@@ -229,6 +229,15 @@ def test_suffix_tree_counts_and_scores(spark):
     assert np.allclose(np.exp(model.logp.reshape(-1, 128).astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_rare_contexts_stay_in_a_large_corpus(spark):
+    """What is retained of a rare passage doesn't depend on the size of the rest."""
+    key = lambda *s: sum(c << pst.BITS * i for i, c in enumerate(reversed(s)))
+    rare = [(key(1, 2, 3, 4, 5, 6), 200), (key(9, 2, 3, 4, 5, 7), 200)]
+    for rest in (1000, 2_000_000_000):
+        table = spark.createDataFrame([*rare, (key(*[27] * 6), rest)], "key long, n long")
+        assert set(rare) <= {(r.key, r.n) for r in pst.retained(table).where("length = 5").collect()}
+
+
 def test_packing(spark):
     rng = random.Random(2)
     texts = [(i, " ".join(["w"] * rng.randint(1, 90))) for i in range(300)] + [(900, " ".join(["w"] * 1234)), (901, None), (902, ""), (None, "w"), (5, "w w w"), (903, " \n")]
