@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import register, table
@@ -95,6 +96,27 @@ def relativize(spark, d):
 
 register("core_relativize", relativize, f"{atlas.FILES}, f AS (SELECT doc_id, path FROM tree WHERE level < 3) SELECT doc_id, a.path AS source, b.path AS target, {atlas.relative_sql('a.path', 'b.path')} AS link FROM f a JOIN f b USING (doc_id)")
 
+def relativize_all(spark, d):
+    """Every file with its parent, its children, the files before and after it, its region's file, and itself: a number of pairs in proportion to the files."""
+    f = _files(spark, d).select("doc_id", "section", "parent", "level", "path", "ordinal_path")
+    reading = Window.partitionBy("doc_id").orderBy("ordinal_path")
+    near = f.withColumn("before", F.lag("path").over(reading)).withColumn("after", F.lead("path").over(reading)).withColumn("target", F.explode(F.array("path", "before", "after"))).where("target IS NOT NULL").select("doc_id", F.col("path").alias("source"), "target")
+    up = f.select("doc_id", F.col("parent").alias("section"), F.col("path").alias("source")).join(f.select("doc_id", "section", F.col("path").alias("target")), ["doc_id", "section"]).drop("section")
+    down = up.select("doc_id", F.col("target").alias("source"), F.col("source").alias("target"))
+    region = f.select("doc_id", F.col("path").alias("source")).join(f.where("level = 1").select("doc_id", F.col("path").alias("target")), "doc_id")
+    return near.unionByName(up).unionByName(down).unionByName(region).distinct().withColumn("link", S.relativize("source", "target"))
+
+
+register(
+    "core_relativize_all",
+    relativize_all,
+    f"""{atlas.FILES}, n AS (SELECT doc_id, path, lag(path) OVER w AS p, lead(path) OVER w AS x FROM tree WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal_path)),
+up AS (SELECT k.doc_id, k.path AS a, u.path AS b FROM tree k JOIN tree u ON u.doc_id = k.doc_id AND u.section = k.parent),
+e AS (SELECT doc_id, path AS a, path AS b FROM tree UNION SELECT doc_id, path, p FROM n WHERE p IS NOT NULL UNION SELECT doc_id, path, x FROM n WHERE x IS NOT NULL UNION SELECT * FROM up UNION SELECT doc_id, b, a FROM up
+ UNION SELECT t.doc_id, t.path, r.path FROM tree t JOIN tree r ON r.doc_id = t.doc_id AND r.level = 1)
+SELECT doc_id, a AS source, b AS target, {atlas.relative_sql('a', 'b')} AS link FROM e""",
+)
+
 _NAV = f"""{atlas.FILES}, n AS (SELECT *, row_number() OVER w AS reading, lag(path) OVER w AS p, lead(path) OVER w AS x FROM tree WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal_path)),
 nav AS (SELECT n.*, CASE WHEN p IS NOT NULL THEN {atlas.relative_sql("n.path", "p")} END AS prev, CASE WHEN x IS NOT NULL THEN {atlas.relative_sql("n.path", "x")} END AS next, {atlas.relative_sql("n.path", "coalesce(u.path, 'index.md')")} AS parent_link, coalesce(k.c, []) AS children
   FROM n LEFT JOIN (SELECT doc_id, section, path FROM tree) u ON u.doc_id = n.doc_id AND u.section = n.parent LEFT JOIN (SELECT doc_id, parent AS section, list(path ORDER BY ordinal) AS c FROM tree GROUP BY ALL) k ON k.doc_id = n.doc_id AND k.section = n.section)"""

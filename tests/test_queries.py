@@ -39,3 +39,11 @@ def test_query(spark, duck, name):
     assert sorted(rel.columns) == names
     want = Counter(tuple(plain(r[rel.columns.index(c)]) for c in names) for r in rel.fetchall())
     assert got == want
+
+
+@pytest.mark.skipif(not DIR.exists(), reason="the tables are not here")
+def test_every_file_is_linked(spark):
+    """The customers' files, which grow with the data, are linked too."""
+    paths = {(r.doc_id, r.path) for r in QUERIES["core_assign_paths"](spark, str(DIR)).collect()}
+    rows = QUERIES["core_relativize_all"](spark, str(DIR)).collect()
+    assert {(r.doc_id, r.source) for r in rows} == {(r.doc_id, r.target) for r in rows} == paths and len(paths) > 30
