@@ -8,13 +8,15 @@ exactly, by rank. The automaton is bounded by ``FREQUENT`` - there cannot be mor
 
 from __future__ import annotations
 
+import atexit
 import base64
 import functools
+import itertools
 import mmap
 import os
+import shutil
 import tempfile
 from array import array
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -24,14 +26,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, saved
+from .common import _BYTES, buckets_for, byte_views, lean, mix, saved, trim
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The share of all words from which a word is frequent.
 FREQUENT = 2e-6
-#: The words that a worker remembers.
-_MEMO = 500_000
+#: The words that a worker remembers, and the bytes that it cuts at once. They change nothing but speed.
+_MEMO, _STEP = 1_500_000, 400_000
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -254,77 +256,119 @@ def _mapped(name: str) -> Transducer:
     return Transducer.mapped(SparkFiles.get(name))
 
 
-_MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_LETTER, _NUMBER, _OTHER, _WHITE, _END = range(5)
 _FIND = regex.compile(PATTERN).findall
-_ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-_ODD_ASCII = _ODD[:8]
+_CODE = np.uint64(0xA24BAED4963EE407)
 
 
-def _words(part: str) -> list[str]:
-    """The pattern's words of a part between two spaces, with the space before it. The common kinds, letters with or without a mark after them, need no search."""
-    if part.isalpha():
-        return [" " + part]
-    if part[-1] in _MARKS and part[:-1].isalpha():
-        return [" " + part[:-1], part[-1]]
-    return _FIND(" " + part)
-
-
-def _parts(text: str) -> list[str] | None:
-    """The parts between the spaces of a text in which each space stands alone, so that no word of the pattern reaches across two of them; None for other texts."""
-    if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or text[-1] == "\n":
-        return None
-    if any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)):
-        parts = text.split(" ")
-        return parts if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts) else None
-    return text.split(" ")
-
-
-class _Ids(dict):
-    """A word -> its ids as bytes. Words met before are remembered, up to _MEMO; that changes nothing but speed."""
-
-    def __init__(self, ranks: dict[bytes, int], transducer: Transducer | None):
-        self.ranks, self.transducer = ranks, transducer
-
-    def learn(self, words: set[str], table: PairTable) -> None:
-        """Look up new words in the transducer, and merge those that it lacks in step."""
-        if len(self) + len(words) > _MEMO:
-            self.clear()
-        names, lacking = [], []
-        for w in words:
-            data = w.encode("utf-8", "replace")
-            ids = self.transducer.get(data) if self.transducer else None
-            if ids is not None:
-                self[w] = array("i", ids).tobytes()
-            elif len(data) <= PairTable.LONGEST:
-                names.append(w)
-                lacking.append(data)
-        if lacking:
-            self.update(zip(names, table.merged(lacking)))
-
-    def __missing__(self, word: str) -> bytes:
-        data = word.encode("utf-8", "replace")
-        ids = self.transducer.get(data) if self.transducer else None
-        out = array("i", merge(data, self.ranks) if ids is None else ids).tobytes()
-        if len(self) >= _MEMO:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = out
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Code point -> what the pattern takes it for; one more for what stands between two texts."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(0x110001, _OTHER, np.uint8)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            kinds[m.start() : m.end()] = kind
+    kinds[-1] = _END
+    return kinds
+
+
+def cut(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts with a line feed after each, its code points, start and end of each word of the pattern, words up to the end of each text): the words that the pattern's search
+    finds, from the kinds of neighbouring characters alone, all at once."""
+    whole = "\n".join([*texts, ""])
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[code]
+    stop = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    kind[stop] = _END
+    begins = np.empty(len(kind), bool)
+    begins[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins[stop] = True
+    begins[stop[:-1] + 1] = True
+    white = kind == _WHITE
+    # of white space before something else, the last character stands alone; if it is a space, what follows belongs to it
+    last = np.flatnonzero(white[:-1] & ~white[1:] & (kind[1:] != _END))
+    begins[last] = True
+    begins[last[code[last] == 32] + 1] = False
+    # an apostrophe that a word of the pattern begins with takes s, t, m, d, re, ve or ll after it
+    mark = np.flatnonzero((code[:-1] == 39) & begins[:-1] & (kind[1:] == _LETTER))
+    if len(mark):
+        one = code[mark + 1]
+        two = code[np.minimum(mark + 2, len(code) - 1)]
+        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        short = (one == 115) | (one == 116) | (one == 109) | (one == 100)
+        begins[mark[long | short] + 1] = False
+        begins[mark[short] + 2] = True
+        begins[mark[long] + 3] = True
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], len(kind))
+    inside = kind[start] != _END
+    start, end = start[inside], end[inside]
+    return whole, code, start, end, np.searchsorted(start, stop)
+
+
+def _hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = _BYTES.to(len(code))
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code + np.uint64(1)) * _CODE * up[: len(code)], out=sums[1:])
+    h = mix((sums[end] - sums[start]) * down[start])
+    return np.where(h == 0, np.uint64(1), h)
+
+
+class Table:
+    """Word hash -> number of the word, by open addressing: all searches of a batch go on in step."""
+
+    def __init__(self, most: int = _MEMO):
+        self.bits = max(8, int(most).bit_length() + 1)
+        self.mask = np.int64((1 << self.bits) - 1)
+        self.most, self.n = most, 0
+        self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash; -1 for one that isn't there."""
+        slot = self._slots(h)
+        key = self.keys[slot]
+        out = np.where(key == h, self.place[slot], np.int32(-1))
+        open_ = np.flatnonzero((key != h) & (key != 0))
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & self.mask
+            at = slot[open_]
+            key = self.keys[at]
+            hit = key == h[open_]
+            out[open_[hit]] = self.place[at[hit]]
+            open_ = open_[~hit & (key != 0)]
         return out
 
+    def add(self, h: np.ndarray) -> None:
+        """Distinct hashes that aren't there get the next numbers."""
+        number = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n += len(h)
+        slot = self._slots(h)
+        while len(h):
+            free = self.keys[slot] == 0
+            taken, first = np.unique(slot[free], return_index=True)
+            who = np.flatnonzero(free)[first]
+            self.keys[taken], self.place[taken] = h[who], number[who]
+            left = np.ones(len(h), bool)
+            left[who] = False
+            h, number, slot = h[left], number[left], slot[left] + 1 & self.mask
 
-class _Chunks(dict):
-    """The same of a part, with the space before it."""
 
-    def __init__(self, ids: _Ids):
-        self.ids = ids
+class _Store:
+    """A growing array."""
 
-    def __missing__(self, part: str) -> bytes:
-        out = b"".join(map(self.ids.__getitem__, _words(part)))
-        if len(self) >= _MEMO // 2:
-            self.clear()
-        if len(part) <= 64:
-            self[part] = out
-        return out
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(self.n + len(x), self.data.dtype)])
+        self.data[self.n : self.n + len(x)] = x
+        self.n += len(x)
 
 
 @functools.lru_cache(maxsize=2)
@@ -332,79 +376,170 @@ def _pairs(vocabulary: str) -> PairTable:
     return PairTable(_vocabulary(vocabulary)[0])
 
 
-def _encoder(vocabulary: str, transducer: Transducer | None):
-    """list of str -> list of ids, as arrays; None for None."""
-    ids = _Ids(_vocabulary(vocabulary)[0], transducer)
-    chunks, table = _Chunks(ids), _pairs(vocabulary)
-
-    def encode(texts: list[str | None]) -> list[np.ndarray | None]:
-        cut = [None if t is None else _parts(t) for t in texts]
-        fresh: set[str] = set()
-        for parts in cut:
-            if parts:
-                fresh.update(parts)
-        cuts = {p: _words(p) for p in fresh if p not in chunks}
-        ids.learn({w for ws in cuts.values() for w in ws if w not in ids}, table)
-        if len(chunks) + len(cuts) > _MEMO // 2:
-            chunks.clear()
-        chunks.update((p, b"".join(map(ids.__getitem__, ws))) for p, ws in cuts.items() if len(p) <= 64)
-        out: list[np.ndarray | None] = []
-        for t, parts in zip(texts, cut):
-            if t is None:
-                out.append(None)
-            elif parts is None:
-                out.append(np.frombuffer(b"".join(map(ids.__getitem__, _FIND(t))), np.int32))
+class Encoder:
+    """Texts -> ids. A word is looked up by its hash; a word that is new to the worker is looked up in the transducer, and merged if that lacks it. What the ids spell is held against
+    the text afterwards, so that two words of one hash can't be mistaken for each other: such a text is encoded word by word."""
+
+    def __init__(self, vocabulary: str, transducer: Transducer | None, most: int = _MEMO):
+        self.ranks, self.transducer, self.table, self.most = _vocabulary(vocabulary)[0], transducer, _pairs(vocabulary), most
+        self.back = _flat_vocabulary(vocabulary)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.start, self.size, self.flat = Table(self.most), _Store(np.int32), _Store(np.int32), _Store(np.int32)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        out, lacking = [b""] * len(words), []
+        get = self.transducer.get if self.transducer else lambda _: None
+        for k, w in enumerate(words):
+            data = w.encode("utf-8", "replace")
+            ids = get(data)
+            if ids is None and len(data) <= PairTable.LONGEST:
+                lacking.append((k, data))
             else:
-                first = map(ids.__getitem__, _FIND(parts[0]))
-                out.append(np.frombuffer(b"".join([*first, *map(chunks.__getitem__, parts[1:])]), np.int32))
+                out[k] = array("i", merge(data, self.ranks) if ids is None else ids).tobytes()
+        if lacking:
+            for (k, _), ids in zip(lacking, self.table.merged([d for _, d in lacking])):
+                out[k] = ids
         return out
 
-    return encode
+    def _numbers(self, whole: str, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        numbers = self.known.find(h)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            fresh, first = np.unique(h[new], return_index=True)
+            if self.known.n + len(fresh) > self.most:
+                self._forget()
+                numbers[:] = -1
+                if len(h) == len(new) or len(np.unique(h)) > self.most:
+                    self.known = Table(len(h))
+                return self._numbers(whole, h, start, end)
+            w = new[first]
+            ids = self._ids([whole[a:b] for a, b in zip(start[w].tolist(), end[w].tolist())])
+            size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+            self.start.extend((np.cumsum(size) - size + self.flat.n).astype(np.int32))
+            self.size.extend(size)
+            self.flat.extend(np.frombuffer(b"".join(ids), np.int32))
+            self.known.add(fresh)
+            numbers[new] = self.known.find(h[new])
+        return numbers
+
+    def __call__(self, texts: list[str], views: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has, whether they spell it)."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
+        whole, code, start, end, stop = cut(texts)
+        numbers = self._numbers(whole, _hashes(code, start, end), start, end)
+        size = self.size.data[numbers].astype(np.int64)
+        ends = np.cumsum(size)
+        at = np.repeat(self.start.data[numbers] - (ends - size), size)
+        at += np.arange(len(at))
+        ids = self.flat.data[at]
+        count = np.diff(np.r_[0, np.r_[0, ends][stop]])
+        same = self.back.spell(ids, count, views)
+        if same.all():
+            return ids, count, same
+        parts = np.split(ids, np.cumsum(count)[:-1])  # hashes were mistaken, or the text is no UTF-8
+        for k in np.flatnonzero(~same).tolist():
+            parts[k] = np.array([x for w in _FIND(texts[k]) for x in merge(w.encode("utf-8", "replace"), self.ranks)], np.int32)
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.concatenate(parts), count, self.back.spell(np.concatenate(parts), count, views)
 
 
 @functools.lru_cache(maxsize=1)
-def _worker_encoder(vocabulary: str, name: str):
+def _worker_encoder(vocabulary: str, name: str) -> Encoder:
     """A worker's tasks share what it remembers."""
-    return _encoder(vocabulary, _mapped(name))
+    return Encoder(vocabulary, _mapped(name))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts of a (text) table."""
+def _slices(column: pa.Array, size: int = _STEP):
+    """(place, texts, bytes of each) of runs of a column's values that aren't null, of about ``size`` bytes."""
+    places, held, views = [], [], []
+    total = 0
+    for k, (x, view) in enumerate(zip(column, byte_views(column))):
+        if view is None:
+            continue
+        places.append(k)
+        held.append(x.as_py())
+        views.append(view)
+        total += len(view)
+        if total >= size:
+            yield places, held, views
+            places, held, views, total = [], [], [], 0
+    if places:
+        yield places, held, views
 
-    def count(batches):
-        held, odd = Counter(), Counter()
 
-        def words() -> pa.RecordBatch:
-            for part, n in held.items():
-                for w in _words(part):
-                    odd[w] += n
-            out = pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), pa.array(list(odd.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            odd.clear()
-            return out
+_COUNT = np.dtype([("hash", "u8"), ("n", "i8")])
+
+
+def word_counts(docs: DataFrame, frequent: float = FREQUENT) -> DataFrame:
+    """(word, n) of a (text) table: how often each word occurs that makes up ``frequent`` of the words of some task or more - every word that makes up so much of all is one of
+    them - and, under no word, how many words there are. Tasks count what they read by hash; a row a bucket carries their counts and the words told."""
+    n_buckets = buckets_for(docs)
+
+    def count(batches):
+        known, n, words, total = Table(_MEMO), _Store(np.int64), [], 0
+        hashes = _Store(np.uint64)
+
+        def rows() -> pa.RecordBatch:
+            told = np.flatnonzero(n.data[: n.n] >= frequent * total)
+            bucket = ((hashes.data[: n.n] >> np.uint64(9)) % np.uint64(n_buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            packed = np.empty(n.n, _COUNT)
+            packed["hash"], packed["n"] = hashes.data[: n.n][order], n.data[: n.n][order]
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            names = [[] for _ in range(n_buckets)]
+            for k in told.tolist():
+                names[bucket[k]].append({"hash": int(hashes.data[k : k + 1].view(np.int64)[0]), "word": words[k]})
+            used = np.flatnonzero(np.diff(cuts)).tolist()
+            kind = pa.list_(pa.struct([("hash", pa.int64()), ("word", pa.string())]))
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()), pa.array([names[b] for b in used], kind)], names=["bucket", "rows", "names"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                parts = _parts(t)
-                if parts is None:
-                    odd.update(_FIND(t))
-                else:
-                    odd.update(_FIND(parts[0]))
-                    held.update(parts[1:])
-                if len(held) + len(odd) > 600_000:
-                    yield words()
-        yield words()
-
-    return docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            for _, texts, _ in _slices(b.column(0)):
+                whole, code, start, end, _ = cut(texts)
+                h = _hashes(code, start, end)
+                found = known.find(h)
+                new = np.flatnonzero(found < 0)
+                fresh, first = np.unique(h[new], return_index=True)
+                if known.n + len(fresh) > known.most:
+                    if known.n:
+                        yield rows()
+                    fresh, first = np.unique(h, return_index=True)
+                    new = np.arange(len(h))
+                    known, n, words, total, hashes = Table(max(_MEMO, len(fresh))), _Store(np.int64), [], 0, _Store(np.uint64)
+                if len(fresh):
+                    w = new[first]
+                    words += [whole[x:y] for x, y in zip(start[w].tolist(), end[w].tolist())]
+                    known.add(fresh)
+                    n.extend(np.zeros(len(fresh), np.int64))
+                    hashes.extend(fresh)
+                    found[new] = known.find(h[new])
+                n.data[: n.n] += np.bincount(found, minlength=n.n)
+                total += len(h)
+        if known.n:
+            yield rows()
+
+    def add(key, table):
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), _COUNT) for c in table.column("rows").chunks for x in c])
+        fresh, back = np.unique(rows["hash"], return_inverse=True)
+        n = np.bincount(back, rows["n"]).astype(np.int64)
+        names = {x["word"]: x["hash"] for x in itertools.chain.from_iterable(table.column("names").to_pylist())}
+        at = np.searchsorted(fresh, np.fromiter(names.values(), np.int64, len(names)).view(np.uint64))
+        trim()
+        return pa.table({"word": pa.array([None, *names], pa.string()), "n": np.r_[rows["n"].sum(), n[at]].astype(np.int64)})
+
+    packed = docs.mapInArrow(lean(count), "bucket int, rows binary, names array<struct<hash: long, word: string>>")
+    return packed.groupBy("bucket").applyInArrow(add, "word string, n long")
 
 
 def lexicon(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: float = FREQUENT) -> Transducer:
-    """The transducer of the words that make up at least ``frequent`` of the words of a (text) table: at most 1 / frequent come to the driver."""
-    counts = saved(word_counts(docs))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    words = [r.word.encode() for r in counts.where(F.col("n") >= max(2, frequent * total)).select("word").collect()]
+    """The transducer of the words that make up at least ``frequent`` of the words of a (text) table: at most 1 / frequent come to the driver. Words of one hash count as one, which
+    may let a rarer word in and changes no id."""
+    counts = saved(word_counts(docs, frequent))
+    total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    words = [r.word.encode() for r in counts.where(F.col("word").isNotNull() & (F.col("n") >= max(2, frequent * total))).select("word").collect()]
     ranks, _ = _vocabulary(vocabulary)
     return Transducer.compiled({w: merge(w, ranks) for w in words})
 
@@ -416,6 +551,7 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     folder = tempfile.mkdtemp(prefix="leafmill-")
+    atexit.register(shutil.rmtree, folder, True)  # served as long as the session lasts
     handle, path = tempfile.mkstemp(prefix="lexicon-", suffix=".mat", dir=folder)
     os.close(handle)
     lexicon(texts.select("text"), vocabulary, frequent).save(path)
@@ -423,18 +559,26 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     spark.sparkContext.addFile(path)  # the driver serves it; each executor fetches it once and its workers map it
 
     def encode(batches):
-        run, back = _worker_encoder(vocabulary, name), _flat_vocabulary(vocabulary)
+        run = _worker_encoder(vocabulary, name)
         for b in batches:
-            for a in range(0, len(b), 512):
-                part = b.slice(a, 512)
-                ids = run(part.column(1).to_pylist())
-                ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids]).astype(np.int32)
-                values = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([x is None for x in ids]))
-                same = [None if x is None else back.spells(x, view) for x, view in zip(ids, byte_views(part.column(1)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
+            done = 0
+            for places, held, views in _slices(b.column(1)):
+                yield _encoded(run, b.slice(done, places[-1] + 1 - done), [k - done for k in places], held, views)
+                done = places[-1] + 1
+            if done < len(b):
+                yield _encoded(run, b.slice(done), [], [], [])
 
-    return texts.mapInArrow(encode, "doc_id long, ids array<int>, n_ids int, round_trip boolean")
+    return texts.mapInArrow(lean(encode), "doc_id long, ids array<int>, n_ids int, round_trip boolean")
+
+
+def _encoded(run: Encoder, part: pa.RecordBatch, places: list[int], texts: list[str], views: list[np.ndarray]) -> pa.RecordBatch:
+    ids, count, same = run(texts, views)
+    there = np.zeros(len(part), bool)
+    there[places] = True
+    n, ok = np.zeros(len(part), np.int32), np.zeros(len(part), bool)
+    n[places], ok[places] = count, same
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids), mask=pa.array(~there))
+    return pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n, mask=~there), pa.array(ok, mask=~there)], names=["doc_id", "ids", "n_ids", "round_trip"])
 
 
 class _Flat:
@@ -445,14 +589,24 @@ class _Flat:
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(back), np.uint8)
 
-    def spells(self, ids: np.ndarray, text: np.ndarray) -> bool:
-        """Whether ``ids`` decode to the bytes of ``text``."""
+    def spell(self, ids: np.ndarray, count: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+        """Of each text, given as bytes, whether its ``count`` ids decode to it."""
         size = self.size[ids]
-        if int(size.sum()) != len(text):
-            return False
-        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
-        at += np.arange(len(text))
-        return bool((self.bytes[at] == text).all())
+        ends = np.cumsum(size)
+        after = np.r_[0, ends][np.cumsum(count)]
+        spelt = np.diff(np.r_[0, after])
+        same = spelt == np.fromiter(map(len, texts), np.int64, len(texts))
+        if len(ids):
+            at = np.repeat(self.start[ids] - (ends - size), size)
+            at += np.arange(len(at))
+            got = self.bytes[at]
+            if same.all():
+                wrong = np.flatnonzero(got != np.concatenate(texts))
+                same[np.searchsorted(after, wrong, side="right")] = False
+            else:
+                for k in np.flatnonzero(same).tolist():
+                    same[k] = bool((got[after[k] - spelt[k] : after[k]] == texts[k]).all())
+        return same
 
 
 @functools.lru_cache(maxsize=2)

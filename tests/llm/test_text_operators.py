@@ -318,3 +318,34 @@ def test_clashing_columns(spark):
         assert out.columns == names and out.count() > 0
     for out in (repeats.repeated_passages(docs), jaccard.near_pairs(docs), pst.scored(docs), packing.packed(docs), bpe.encoded(docs), quality.classified(docs, labels)):
         assert out.count() > 0
+
+
+def test_words_are_cut_as_by_the_pattern():
+    rng = random.Random(1)
+    for _ in range(500):
+        texts = ["".join(rng.choice("ab's tremdlv'' \n\t  .!9é日　\xa0½ '") for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(1, 4))]
+        whole, _, start, end, stop = bpe.cut(texts)
+        words = [whole[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        assert [words[a:b] for a, b in zip([0, *stop.tolist()], stop.tolist())] == [bpe._FIND(t) for t in texts]
+
+
+def test_words_of_one_hash_are_not_mistaken(monkeypatch):
+    ranks = bpe.read_vocabulary(bpe.VOCABULARY)
+    texts = ["some words of one hash", "", "words of some", "日本 x"]
+    want = [[x for w in bpe._FIND(t) for x in bpe.merge(w.encode(), ranks)] for t in texts]
+    hashes = bpe._hashes
+    for odd in (lambda c, s, e: np.full(len(s), 7, np.uint64), lambda c, s, e: (hashes(c, s, e) % np.uint64(3)) + np.uint64(1), hashes):
+        monkeypatch.setattr(bpe, "_hashes", odd)
+        for most in (2, 1000):
+            ids, count, same = bpe.Encoder(bpe.VOCABULARY, None, most)(texts, [np.frombuffer(t.encode(), np.uint8) for t in texts])
+            assert same.all() and [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want
+
+
+def test_word_counts(spark):
+    texts = [(t,) for _, t in corpus()]
+    want = Counter(w for (t,) in texts if t for w in bpe._FIND(t))
+    rows = bpe.word_counts(spark.createDataFrame(texts, "text string").repartition(3), 1e-3).collect()
+    total = sum(r.n for r in rows if r.word is None)
+    got = {r.word: r.n for r in rows if r.word is not None}
+    assert total == sum(want.values()) and all(want[w] == n for w, n in got.items())
+    assert {w for w, n in want.items() if n >= 1e-3 * total} <= got.keys()
