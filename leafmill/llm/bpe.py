@@ -385,8 +385,8 @@ class Encoder:
         self.back = _flat_vocabulary(vocabulary)
         self._forget()
 
-    def _forget(self) -> None:
-        self.known, self.start, self.size, self.flat = Table(self.most), _Store(np.int32), _Store(np.int32), _Store(np.int32)
+    def _forget(self, least: int = 0) -> None:
+        self.known, self.start, self.size, self.flat = Table(max(self.most, least)), _Store(np.int32), _Store(np.int32), _Store(np.int32)
 
     def _ids(self, words: list[str]) -> list[bytes]:
         out, lacking = [b""] * len(words), []
@@ -408,11 +408,8 @@ class Encoder:
         new = np.flatnonzero(numbers < 0)
         if len(new):
             fresh, first = np.unique(h[new], return_index=True)
-            if self.known.n + len(fresh) > self.most:
-                self._forget()
-                numbers[:] = -1
-                if len(h) == len(new) or len(np.unique(h)) > self.most:
-                    self.known = Table(len(h))
+            if self.known.n + len(fresh) > self.known.most:
+                self._forget(len(np.unique(h)))
                 return self._numbers(whole, h, start, end)
             w = new[first]
             ids = self._ids([whole[a:b] for a, b in zip(start[w].tolist(), end[w].tolist())])
