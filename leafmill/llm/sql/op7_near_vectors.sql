@@ -1,5 +1,5 @@
-WITH v AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
-f AS (SELECT v, min(id) AS id FROM v GROUP BY v),
-d AS (SELECT a.id AS vec_a, b.id AS vec_b, list_distance(a.v::DOUBLE[], b.v::DOUBLE[]) AS d FROM f a JOIN f b ON a.id < b.id AND len(a.v) = len(b.v))
-SELECT vec_a, vec_b, round(d, 5) AS distance FROM d WHERE d <= 0.3
-UNION ALL SELECT DISTINCT f.id, v.id, 0.0::DOUBLE FROM v JOIN f USING (v) WHERE v.id <> f.id
+WITH RECURSIVE v AS (SELECT DISTINCT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND len(a.v) = len(b.v) AND list_distance(a.v::DOUBLE[], b.v::DOUBLE[]) <= 0.3),
+r AS (SELECT id, id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT id AS vec_id, min(c) AS class_id, coalesce(any_value(n), 0)::BIGINT AS n_links FROM r LEFT JOIN n ON n.a = id GROUP BY id

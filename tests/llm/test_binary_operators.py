@@ -5,11 +5,12 @@ import gzip
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from leafmill.llm import arc, common, metricjoin, mpegts, urlrules
+from leafmill.llm import arc, metricjoin, mpegts, urlrules
 
 # ---------------------------------------------------------------- vectors
 
@@ -22,40 +23,84 @@ def vectors(seed=3, n=220, dim=8):
     return rows + [(500, same, 0), (501, same, 0), (4, same, 9), (502, [0.0] * dim, 0), (503, [-0.0] * dim, 0), (510, None, 0), (511, [], 0), (512, [float("nan")] * dim, 0), (513, [1.0, None] * (dim // 2), 0), (None, same, 0), (520, [1.0, 2.0], 0), (521, [1.0, 2.1], 0)]
 
 
-@pytest.mark.parametrize("radius,cell", [(0.3, 16), (0.3, 4096), (1.5, 32), (0.0, 16)])
-def test_near_vectors(spark, radius, cell):
-    rows = vectors()
-    got = {(r.vec_a, r.vec_b): r.distance for r in metricjoin.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), radius=radius, cell=cell).collect()}
-    ok = {i: tuple(np.array(v, np.float32).astype(float) + 0.0) for i, v, _ in rows if i is not None and v and all(x is not None and x == x for x in v)}
+def usable(rows):
+    """The different (id, vector) of rows."""
+    return sorted({(i, tuple(np.array(v, np.float32).astype(float) + 0.0)) for i, v, _ in rows if i is not None and v and all(x is not None and x == x for x in v)})
+
+
+def distance(a, b):
+    return float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())) if len(a) == len(b) else float("inf")
+
+
+def brute_classes(items, radius):
+    """Of each item, (id, lowest id of its class, links)."""
+    near = [[k for k, y in enumerate(items) if k != i and distance(x[1], y[1]) <= radius] for i, x in enumerate(items)]
+    out, seen = [], {}
+    for i in range(len(items)):
+        if i not in seen:
+            open_, found = [i], {i}
+            while open_:
+                for k in near[open_.pop()]:
+                    if k not in found:
+                        found.add(k)
+                        open_.append(k)
+            seen |= dict.fromkeys(found, min(items[k][0] for k in found))
+        out.append((items[i][0], seen[i], len(near[i])))
+    return sorted(out)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+@pytest.mark.parametrize("radius,cell,part", [(0.3, 16, 16_384), (0.3, 4096, 16_384), (1.5, 32, 5), (0.0, 16, 16_384), (0.3, 40, 7)])
+def test_near_classes(spark, monkeypatch, radius, cell, part):
+    monkeypatch.setattr(metricjoin, "PART", part)
+    rows = vectors() + [(600 + k, vectors()[7][1], 0) for k in range(5)] + [(30, [9.0] * 8, 0), (31, [9.0] * 7 + [9.01], 0), (30, [9.0] * 7 + [9.02], 0)]
+    items = usable(rows)
+    got = sorted(tuple(r) for r in metricjoin.near_classes(spark.createDataFrame(rows, VECTORS), radius=radius, cell=cell).select("vec_id", "class_id", "n_links").collect())
+    assert got == brute_classes(items, radius)
+    pairs = sorted((r.vec_a, r.vec_b, round(r.distance, 6)) for r in metricjoin.near_vectors(spark.createDataFrame(rows, VECTORS), radius=radius, cell=cell).collect())
     first = {}
-    for i in sorted(ok):
-        first.setdefault(ok[i], i)
-    want = {(first[v], i): 0.0 for i, v in ok.items() if first[v] != i}
-    reps = sorted(first.values())
-    for a in reps:
-        for b in reps:
-            if a < b and len(ok[a]) == len(ok[b]):
-                d = float(np.sqrt(((np.array(ok[a]) - np.array(ok[b])) ** 2).sum()))
-                if d <= radius:
-                    want[a, b] = d
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
-
-
-@pytest.mark.parametrize("radius,part", [(0.3, 1024), (1.5, 2), (0.0, 2)])
-def test_all_near_vectors(spark, monkeypatch, radius, part):
-    monkeypatch.setattr(common, "COPIES", part)
-    rows = vectors()
-    rows += [(600 + k, rows[7][1], 0) for k in range(5)] + [(610 + k, rows[27][1], 0) for k in range(4)]
-    ok = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows if i is not None and v and all(x is not None and x == x for x in v)}
-    want = {(a, b): float(np.sqrt(((ok[a] - ok[b]) ** 2).sum())) for a in ok for b in ok if a < b and len(ok[a]) == len(ok[b])}
-    want = {k: d for k, d in want.items() if d <= radius}
-    out = metricjoin.all_near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), radius=radius, cell=16).collect()
-    got = {(r.vec_a, r.vec_b): r.distance for r in out}
-    assert len(out) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and (601, 604) in got
+    for i, v in items:
+        first.setdefault(v, i)
+    reps = sorted((i, v) for v, i in first.items())
+    assert pairs == sorted((a[0], b[0], round(distance(a[1], b[1]), 6)) for k, a in enumerate(reps) for b in reps[k + 1 :] if distance(a[1], b[1]) <= radius)
+
+
+def test_planted_vectors_at_production_parameters(spark):
+    """Near vectors across cells, and a hot class, among vectors without structure: 64 dimensions, the radius and the cells of the registered query."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    step = rng.normal(size=(3000, 64))
+    step *= rng.uniform(0.05, 0.295, 3000)[:, None] / np.linalg.norm(step, axis=1)[:, None]
+    hot = x[0] + rng.normal(size=(1500, 64)) * 0.012
+    x = np.concatenate([x, x[:3000] + step, hot]).astype(np.float32)
+    rows = metricjoin.near_classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas().sort_values("vec_id")
+    y = x.astype(float)
+    near = ((y * y).sum(1)[:, None] + (y * y).sum(1) - 2 * y @ y.T) <= 0.09
+    assert (rows.n_links.to_numpy() == near.sum(1) - 1).all() and rows.n_links.sum() > 2 * 3000
+    assert all(rows.class_id.to_numpy()[9000:12000] <= np.arange(3000)) and set(rows.class_id[12_000:]) == {0}
+
+
+def test_sql_of_classes(spark):
+    """The registered SQL at a radius at which the smallest tables have links, against the operator."""
+    duckdb = pytest.importorskip("duckdb")
+    path = Path("/root/testdata/sf0.001/embeddings.parquet")
+    if not path.exists():
+        pytest.skip("the tables are not here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    sql = (Path(metricjoin.__file__).parent / "sql" / "op7_near_vectors.sql").read_text()
+    assert "<= 0.3" in sql
+    want = sorted(con.sql(sql.replace("<= 0.3", "<= 1.08")).fetchall())
+    got = metricjoin.near_classes(spark.read.parquet(str(path)), radius=1.08, cell=64)
+    assert sorted(tuple(r) for r in got.select("vec_id", "class_id", "n_links").collect()) == want and sum(n for *_, n in want) > 20
 
 
 def test_no_vectors(spark):
-    assert metricjoin.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, cell string, first string")).count() == 0
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, cell string, first string")
+    assert metricjoin.near_vectors(none).count() == metricjoin.near_classes(none).count() == 0
 
 
 # ---------------------------------------------------------------- URL rules
