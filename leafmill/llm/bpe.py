@@ -473,7 +473,7 @@ _COUNT = np.dtype([("hash", "u8"), ("n", "i8")])
 def word_counts(docs: DataFrame, frequent: float = FREQUENT) -> DataFrame:
     """(word, n) of a (text) table: how often each word occurs that makes up ``frequent`` of the words of some task or more - every word that makes up so much of all is one of
     them - and, under no word, how many words there are. Tasks count what they read by hash; a row a bucket carries their counts and the words told."""
-    n_buckets = buckets_for(docs)
+    n_buckets = buckets_for(docs, 4 << 20)
 
     def count(batches):
         known, n, words, total = Table(_MEMO), _Store(np.int64), [], 0

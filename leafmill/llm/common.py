@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast up to this estimate; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
-#: Of ids of one thing that meet each other, about so many go to a part.
-COPIES = 1024
-
 _LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -84,23 +81,73 @@ def checked_join(big: DataFrame, side: DataFrame, on: str | list[str], how: str
     return big.join(F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side.hint("merge"), on, how)
 
 
-def all_pairs(near: DataFrame, copies: DataFrame, same: float) -> DataFrame:
-    """Every pair of rows, the lower id first, of ``near``: (a, b, value) of distinct things, each under its lowest id, and ``copies``: the same columns, a thing's lowest id
-    and one other of its ids. Pairs of one thing's ids have the value ``same``. As many rows as there are pairs: a thing of m ids alone gives m * (m - 1) / 2.
-
-    One side of a thing's join with itself is cut into parts of about COPIES ids, so that no task has all pairs of a large one."""
-    a, b, value = near.columns
-    near, copies = saved(near), saved(copies.select(F.col(a).alias("first"), F.col(b).alias("id")).distinct())
-    firsts = near.select(F.col(a).alias("first")).unionByName(near.select(F.col(b).alias("first"))).unionByName(copies.select("first")).distinct()
-    members = saved(copies.unionByName(firsts.select("first", F.col("first").alias("id"))))
-    half = checked_join(near, members.select(F.col("first").alias(a), F.col("id").alias("x")), a)
-    between = checked_join(half, members.select(F.col("first").alias(b), F.col("id").alias("y")), b).select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b), value)
-    parts = saved(copies.groupBy("first").agg(F.ceil((F.count("*") + 1) / COPIES).cast("int").alias("parts")))
-    own = saved(checked_join(members, parts, "first"))
-    left = own.select("first", F.col("id").alias(a), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    right = own.select("first", F.col("id").alias(b), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    within = left.join(right, ["first", "part"]).where(F.col(a) < F.col(b)).select(a, b, F.lit(same).alias(value))
-    return between.unionByName(within)
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, first): the lowest id that each id is joined to through ``edges``, directly or not, for all but that lowest one. Large-star and small-star steps alternate until no edge
+    changes; each keeps one row an edge, and their number grows with the logarithm of the longest chain. Least neighbours are aggregated before they are joined back, so an id with
+    many edges is split among tasks."""
+    edges = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = saved(both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        after = saved(low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
+            return after.select(F.col("u").alias("id"), F.col("v").alias("first"))
+        edges = after
+
+
+class Links:
+    """The links among the rows of one task: how many each row has, weighted by what its partner stands for, and which rows they join, directly or not. Pairs come in blocks and
+    aren't kept."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight, self.count = weight.astype(np.int64), np.zeros(len(weight), np.int64)
+        self.root = np.arange(len(weight))
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Each of these pairs is a link; no pair may come twice."""
+        for x, y in ((i, j), (j, i)):
+            self.count += np.bincount(x, self.weight[y], len(self.count)).astype(np.int64)
+        a, b = self.root[i], self.root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        n = np.int64(len(self.root))
+        pairs = np.unique(np.maximum(a, b)[apart] * n + np.minimum(a, b)[apart])
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for x, y in zip((pairs // n).tolist(), (pairs % n).tolist()):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        to = np.arange(n)
+        moved = np.fromiter(up, np.int64, len(up))
+        to[moved] = np.fromiter(map(top, up), np.int64, len(up))
+        self.root = to[self.root]
+
+    def table(self, ids: np.ndarray) -> pa.Table:
+        """(id, links, root) of the rows that have links."""
+        some = np.flatnonzero(self.count)
+        return pa.table({"id": ids[some], "links": self.count[some], "root": ids[self.root[some]]})
+
+
+LINKS = "id long, links long, root long"
+
+
+def classes(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, class_id, links) of the ids that have links: of what the tasks' ``Links`` say, how many each id has in all, and the lowest ``first`` of ``nodes`` (id, first) in its class."""
+    links = saved(links)
+    joined = components(links.select("id", "root"), "id", "root")
+    total = links.groupBy("id").agg(F.sum("links").alias("links")).join(joined, "id", "left").select("id", "links", F.coalesce("first", "id").alias("root"))
+    named = saved(total.join(nodes.select("id", F.col("first").alias("name")), "id"))
+    return named.join(named.groupBy("root").agg(F.min("name").alias("class_id")), "root").select("id", "class_id", "links")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -179,19 +226,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random number for each byte at each place of a word, the places counted modulo 64; beyond, another factor for each 64 places.
+_RANDOM = np.random.default_rng(0x1EAF).integers(0, 1 << 64, (64, 256), np.uint64)
+
+
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, byte after the last) of each word of a text given as bytes."""
+    """(hash, first byte, byte after the last) of each word of a text given as bytes. The hash is a sum of random numbers, one for each byte and its place: tabulation, which no
+    pattern of bytes cancels out."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = _BYTES.to(n)
     solid = np.zeros(n + 2, dtype=np.int8)
     solid[1:-1] = ~_SPACE[data]
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     start, end = edge[::2], edge[1::2]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start]), start, end
+    if not len(start):
+        return np.zeros(0, np.uint64), start, end
+    place = np.arange(n, dtype=np.int32)
+    size = end - start
+    place -= np.repeat(start.astype(np.int32), np.diff(np.r_[0, start[1:], n]))  # what stands before the first word isn't summed
+    value = _RANDOM.ravel()[(place & 63) << 8 | data]
+    if size.max() > 64:
+        far = np.flatnonzero(place > 63)
+        value[far] *= mix((place[far] >> 6).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
+    value[~solid[1:-1].view(bool)] = 0
+    return mix(np.add.reduceat(value, start)), start, end
 
 
 class Grams:

@@ -3,8 +3,8 @@
 Documents are partitioned into groups by the smallest hash of their grams, so near copies mostly share a group. The matrix holds,
 for each group, the union of the grams that its members' prefixes (half of each, in one global order, rarest first); it is sharded by gram. A query's overlap with a member is at most
 its prefix grams found in that union plus what lies beyond the prefixes; only groups whose bound reaches the overlap the threshold asks
-for are opened, the smaller group travels to the larger, and there all pairs are counted exactly.
-Every document is a query. Documents with equal sets are held as one, the lowest id, and reported as its copies.
+for are opened, the smaller group travels to the larger, and there all pairs are counted exactly, in parts of at most about ``PART`` documents against as many. Every document is
+a query. Documents with equal sets are held as one. What leaves a part are a row for each linked set - how many links, and one set that it is joined to - not the pairs.
 
 The order of the grams is a heuristic - any order is exact - so the list of common grams that it rests on is bounded.
 """
@@ -15,10 +15,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, all_pairs, buckets_for, byte_views, checked_join, documents, gram_set, lean, mix, saved, signed, trim
+from .common import BROADCAST_BYTES, LINKS, Links, buckets_for, byte_views, checked_join, classes, documents, gram_set, lean, mix, saved, signed, trim
 
 N, THRESHOLD = 3, 0.6
 #: The share of a document's grams that is its prefix, at least 1 - THRESHOLD: the more, the fewer groups are opened and the more grams are shipped.
@@ -26,19 +26,25 @@ PREFIX = 0.5
 #: The common grams kept for the order, and how often one has to occur among a task's documents to be told.
 COMMON, TOLD = 1 << 18, 4
 _FLUSH = 800_000
+#: The sets that a task remembers so as not to ship copies.
+_TOLD_SETS = 200_000
 _EXPAND = 500_000
 #: In an opened group, grams that so many have or fewer are counted pair by pair.
 RARE = 16
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
-_SEEN = "kind byte, a long, sig long, group long, size int"
-_HEAD = np.dtype([("doc_id", "i8"), ("sig", "i8"), ("group", "i8"), ("size", "i4"), ("count", "i4")])
+#: Documents of a part of an opened group.
+PART = 4096
 
+_SEEN = "kind byte, a long, fp long, sig long, sig2 long, grp long, size int"
+_HEAD = np.dtype([("sig", "i8"), ("grp", "u4"), ("size", "u4"), ("count", "u2")])
+_SETS = "grp long, low int, high int, left boolean, id long, n long, grams binary"
 
-def _summary(grams: np.ndarray) -> tuple[int, int]:
-    """(signature of the set, group): a sum of mixed hashes, and the smallest hash in an order of its own."""
+
+def _summary(grams: np.ndarray) -> tuple[int, int, int]:
+    """(signature of the set, in two halves, group): sums of mixed hashes, and the smallest hash in an order of its own."""
     m = mix(grams ^ _SEED)
-    return int(signed(m.sum(keepdims=True))[0]), int(signed(m.min(keepdims=True))[0])
+    return int(signed(m.sum(keepdims=True))[0]), int(signed(mix(grams + _SEED).sum(keepdims=True))[0]), int(m.min() >> np.uint64(32))
 
 
 def _least(threshold: float, size):
@@ -49,34 +55,47 @@ def prefix_length(size: int) -> int:
     return size - math.floor((1 - PREFIX) * size)
 
 
-def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard): every pair of distinct n-gram sets at or above ``threshold``, each set under its lowest id, and with
-    jaccard 1 every other document of a set beside that id; doc_a < doc_b.
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links): each document with the number of others whose n-gram sets are at or above ``threshold``, equal sets too, and its class, named by the lowest id in it:
+    documents are of one class if links join them, directly or not. A document without links is a class of its own.
+
+    Words are runs of anything but ASCII white space; a text of fewer than ``n`` words has one gram, of all of them. Null and blank texts link to nothing. Rows without id are left out,
+    and repeated rows are one. An id with several texts has a row for each; they are documents like any others. An empty table gives an empty result. Other columns
+    are ignored, whatever their names. Sets are equal if 128 bits of their grams' hashes are."""
+    sets, items, blank, common = _sets(df, id_col, text_col, n)
+    found = saved(classes(saved(_verified(df, sets, common, id_col, text_col, n, threshold, False)), sets.select("id", "first")))
+    known = saved(checked_join(sets, found, "id", "left").select("sig", "sig2", "first", "n", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    alone = known.where("n = 1").select("first.doc_id", "class_id.doc_id", "n_links").toDF("doc_id", "class_id", "n_links")
+    several = checked_join(items, known.where("n > 1").select("sig", "sig2", F.col("class_id.doc_id").alias("class_id"), "n_links"), ["sig", "sig2"])
+    return alone.unionByName(several.select("doc_id", "class_id", "n_links")).unionByName(blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
-    Words are runs of anything but ASCII white space; a text of fewer than ``n`` words has one gram, of all of them. Null and blank
-    texts and rows without id pair with nothing. Repeated rows of one doc_id are one document. An empty table gives an empty result.
-    """
-    near, copies = _near_and_copies(df, id_col, text_col, n, threshold)
-    return near.unionByName(copies)
+
+def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard): every pair of different n-gram sets at or above ``threshold``, each set under its lowest id; doc_a <= doc_b, equal only where one id has both sets. As
+    many rows as there are pairs; rows are treated as by ``near_classes``."""
+    sets, _, _, common = _sets(df, id_col, text_col, n)
+    pairs = _verified(df, sets, common, id_col, text_col, n, threshold, True)
+    named = sets.select("id", "first.doc_id")
+    both = pairs.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
 
 
-def all_near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard): every pair of documents at or above ``threshold``, of all copies of a set with each other and with all near copies; else as ``near_pairs``.
-    An id with several texts has its greatest jaccard, and none with itself."""
-    pairs = all_pairs(*_near_and_copies(df, id_col, text_col, n, threshold), 1.0)
-    return pairs.where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents(df, id_col, text_col).withColumn("fp", F.xxhash64("text"))
 
 
-def _near_and_copies(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    docs = documents(df, id_col, text_col)
+def _sets(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The different gram sets (id, sig, sig2, grp, size, n, first): a number of its own, signature, group, grams, documents, and the lowest (doc_id, fp) that has it; the
+    documents (doc_id, fp, sig, sig2), fp being the hash of the text; the ids of blank texts; the
+    common grams (a, n), at most COMMON."""
 
     def look(batches):
         rows, held, size = [], [], 0
         for b in batches:
-            for doc, data in zip(b.column(0).to_pylist(), byte_views(b.column(1))):
+            for doc, fp, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), byte_views(b.column(1))):
                 g = gram_set(data, n)
                 if len(g):
-                    rows.append((doc, *_summary(g), len(g)))
+                    rows.append((doc, fp, *_summary(g), len(g)))
                     held.append(g)
                     size += len(g)
                 if size >= 4 * _FLUSH:
@@ -85,39 +104,50 @@ def _near_and_copies(df: DataFrame, id_col: str, text_col: str, n: int, threshol
         if rows:
             yield _seen(rows, held)
 
-    seen = saved(docs.mapInArrow(lean(look), _SEEN))
-    meta = seen.where("kind = 0").select(F.col("a").alias("doc_id"), "sig", "group", "size").distinct()
-    common = seen.where("kind = 1").groupBy("a").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON).toArrow()
+    seen = saved(_documents(df, id_col, text_col).mapInArrow(lean(look), _SEEN))
+    items = saved(seen.where("kind = 0").select(F.col("a").alias("doc_id"), "fp", "sig", "sig2", "grp", "size").distinct())
+    every = items.groupBy("sig", "sig2", "grp", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "fp")).alias("first"))
+    sets = saved(every.select(F.monotonically_increasing_id().alias("id"), "sig", "sig2", "grp", "size", "n", "first"))
+    common = seen.where("kind = 1").groupBy("a").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON)
+    blank = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(r"doc_id IS NOT NULL AND (text IS NULL OR NOT text RLIKE '[^ \\t\\n\\x0B\\f\\r]')").select("doc_id").distinct()
+    return sets, items, blank, common
+
+
+def _verified(df: DataFrame, sets: DataFrame, common: DataFrame, id_col: str, text_col: str, n: int, threshold: float, pairs: bool) -> DataFrame:
+    """The links between sets that pass, or their pairs (a, b, jaccard), by the sets' numbers."""
+    docs = _documents(df, id_col, text_col)
+    common = common.toArrow()
     hot, times = common.column("a").to_numpy().view(np.uint64), common.column("n").to_numpy()
     order = np.argsort(hot)
     known = docs.sparkSession.sparkContext.broadcast((hot[order], times[order]))  # at most COMMON * 16 bytes
-    n_buckets = buckets_for(docs, 8 << 20)
+    n_buckets = buckets_for(docs, 4 << 20)
 
     def prefixes(batches):
         hot, times = known.value
-        heads, held, size = [], [], 0
+        heads, held, size, told = [], [], 0, set()
         for b in batches:
-            for doc, data in zip(b.column(0).to_pylist(), byte_views(b.column(1))):
+            for data in byte_views(b.column(1)):
                 g = gram_set(data, n)
                 if not len(g):
                     continue
+                sig, sig2, group = _summary(g)
+                if (sig, sig2) in told:  # a set that this task has just shipped
+                    continue
+                told.add((sig, sig2))
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
                     known_ = hot[at] == g
                     if known_.any():
                         h = g[known_]
-                        g_sorted = np.concatenate([g[~known_], h[np.argsort(times[at[known_]], kind="stable")]])
-                    else:
-                        g_sorted = g
-                else:
-                    g_sorted = g
-                m = len(g)
-                heads.append((doc, *_summary(g), m))
-                held.append(g_sorted[: prefix_length(m)])
+                        g = np.concatenate([g[~known_], h[np.argsort(times[at[known_]], kind="stable")]])
+                heads.append((sig, group, len(g)))
+                held.append(g[: prefix_length(len(g))])
                 size += len(held[-1])
                 if size >= _FLUSH:
                     yield _packed(heads, held, n_buckets)
                     heads, held, size = [], [], 0
+                if len(told) > _TOLD_SETS:
+                    told.clear()
         if heads:
             yield _packed(heads, held, n_buckets)
 
@@ -126,41 +156,50 @@ def _near_and_copies(df: DataFrame, id_col: str, text_col: str, n: int, threshol
         trim()
         return out
 
-    bound = docs.mapInArrow(lean(prefixes), "bucket int, rows binary").groupBy("bucket").applyInArrow(overlaps, "doc_id long, group long, size int, found int")
+    bound = docs.mapInArrow(lean(prefixes), "bucket int, rows binary").groupBy("bucket").applyInArrow(overlaps, "sig long, grp long, size int, found int")
     # Of two documents, up to where the shorter-reaching prefix ends all shared grams are found; beyond it lie at most (1 - PREFIX) of the larger
     # one's grams. So a pair at the threshold has found at least this many, counted against the union of the group:
     enough = F.greatest(F.lit(1), F.ceil(threshold * F.col("size") - 1e-9) - F.floor((1 - PREFIX) * F.col("size")))
-    visits = saved(bound.groupBy("doc_id", "group").agg(F.sum("found").alias("found"), F.max("size").alias("size")).where(F.col("found") >= enough).select("doc_id", "group"))
-
-    alike = Window.partitionBy("sig", "size")
-    ranked = saved(meta.withColumn("first", F.min("doc_id").over(alike)))
-    copies = ranked.where("doc_id <> first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    members = ranked.where("doc_id = first").select("doc_id", "group")
-    sizes = members.groupBy("group").agg(F.count("*").alias("n"))
-    # whichever group is the smaller one travels
-    own = members.join(sizes, "group").select("doc_id", F.col("group").alias("own"), F.col("n").alias("own_n"))
-    met = saved(visits.join(own, "doc_id").join(sizes, "group"))
-    guests = met.where("n >= own_n").select("doc_id", "group")
-    hosts = met.where("n < own_n").select("group", F.col("own").alias("host")).distinct().join(members, "group").select("doc_id", F.col("host").alias("group"))
-    visiting = guests.unionByName(hosts).distinct()
-    opened = sizes.where("n > 1").select("group").unionByName(visiting.select("group")).distinct()
-    needed = saved(members.join(opened, "group", "left_semi").withColumn("member", F.lit(True)).unionByName(visiting.withColumn("member", F.lit(False))))
-
-    def sets(batches):
+    visits = saved(bound.groupBy("sig", "grp").agg(F.sum("found").alias("found"), F.max("size").alias("size")).where(F.col("found") >= enough).select("sig", "grp"))
+
+    members = sets.select("id", "sig", "n", "first", "grp")
+    sizes = saved(members.groupBy("grp").agg(F.count("*").alias("members")))
+    # whichever group is the smaller one travels; of two equal ones that of the lower number. So two groups meet in one place
+    own = members.select("sig", F.col("grp").alias("own")).distinct()
+    met = visits.join(own, "sig").where("grp <> own").join(sizes, "grp").join(sizes.select(F.col("grp").alias("own"), F.col("members").alias("own_members")), "own")
+    met = saved(met.withColumn("there", F.struct("members", "grp") > F.struct("own_members", "own")))
+    guests = met.where("there").select("sig", "grp").distinct().join(members.drop("grp"), "sig")
+    hosts = met.where("NOT there").select("grp", F.col("own").alias("host")).distinct().join(members, "grp").select("sig", F.col("host").alias("grp"), "id", "n", "first")
+    visiting = guests.select("id", "n", "first", "grp").unionByName(hosts.select("id", "n", "first", "grp")).distinct()
+    opened = sizes.where("members > 1").select("grp").unionByName(visiting.select("grp")).distinct()
+    needed = saved(members.select("id", "n", "first", "grp").join(opened, "grp", "left_semi").withColumn("member", F.lit(True)).unionByName(visiting.withColumn("member", F.lit(False))))
+    # parts of a group's members meet each other and the parts of its visitors
+    parts = needed.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.count_if("member") / PART)).cast("int").alias("g"), F.ceil(F.count_if(~F.col("member")) / PART).cast("int").alias("h")).where("g > 1 OR h > 0")
+    dealt = needed.join(parts, "grp", "left").withColumns({"g": F.coalesce("g", F.lit(1)), "h": F.coalesce("h", F.lit(0))})
+    dealt = dealt.withColumn("part", F.when(F.col("member"), F.pmod(F.xxhash64("id"), F.col("g"))).otherwise(F.col("g") + F.pmod(F.xxhash64("id"), F.greatest("h", F.lit(1)))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("g") + F.col("h")).otherwise(F.col("g")) - 1)))
+    place = F.struct("grp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("left"))
+    places = saved(dealt.groupBy("id", "n", "first").agg(F.collect_list(place).alias("places")).select("first.doc_id", "first.fp", "id", "n", "places"))
+
+    def sets_of(batches):
         for b in batches:
-            grams = [gram_set(x, n).tobytes() for x in byte_views(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), b.column(3), pa.array(grams, pa.binary())], names=["group", "doc_id", "member", "grams"])
+            for k, data in enumerate(byte_views(b.column(0))):
+                grams = gram_set(data, n).tobytes()
+                to = b.column(3).slice(k, 1).flatten()
+                m = len(to)
+                yield pa.RecordBatch.from_arrays([*(to.field(x) for x in ("grp", "low", "high", "left")), pa.repeat(b.column(1)[k], m), pa.repeat(b.column(2)[k], m), pa.array([grams] * m, pa.binary())], names=["grp", "low", "high", "left", "id", "n", "grams"])
 
     def verify(key, table):
-        return _verify(table, threshold)
+        out = _verify(table, threshold, pairs, key[1] == key[2])
+        trim()
+        return out
 
-    texts = checked_join(docs, needed, "doc_id").select("doc_id", "text", "group", "member")
-    near = texts.mapInArrow(lean(sets), "group long, doc_id long, member boolean, grams binary").groupBy("group").applyInArrow(verify, "doc_a long, doc_b long, jaccard double")
-    return near.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")), copies.distinct()
+    texts = checked_join(docs, places, ["doc_id", "fp"], row_bytes=96).dropDuplicates(["id"]).select("text", "id", "n", "places")
+    return texts.mapInArrow(lean(sets_of), _SETS).groupBy("grp", "low", "high").applyInArrow(verify, "a long, b long, jaccard double" if pairs else LINKS)
 
 
 def _seen(rows, held) -> pa.RecordBatch:
-    a, sig, group, size = (np.array(x, np.int64) for x in zip(*rows))
+    a, fp, sig, sig2, group, size = (np.array(x, np.int64) for x in zip(*rows))
     grams = np.concatenate(held)
     held.clear()
     grams.sort()
@@ -170,21 +209,24 @@ def _seen(rows, held) -> pa.RecordBatch:
     hot, times = signed(grams[first[told]]), times[told]
     k, z = len(a), np.zeros(len(hot), np.int64)
     kind = np.r_[np.zeros(k, np.int8), np.ones(len(hot), np.int8)]
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[a, hot]), pa.array(np.r_[sig, z]), pa.array(np.r_[group, z]), pa.array(np.r_[size, times].astype(np.int32))], names=["kind", "a", "sig", "group", "size"])
+    wide = (np.r_[a, hot], np.r_[fp, z], np.r_[sig, z], np.r_[sig2, z], np.r_[group, z])
+    return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, wide), pa.array(np.r_[size, times].astype(np.int32))], names=["kind", "a", "fp", "sig", "sig2", "grp", "size"])
 
 
 def _packed(heads, held, n: int) -> pa.RecordBatch:
     """A row for each bucket: how many documents, their heads, and their prefix grams that belong there."""
-    doc, sig, group, size = (np.array(x, np.int64) for x in zip(*heads))
+    sig, group, size = (np.array(x, np.int64) for x in zip(*heads))
     grams = np.concatenate(held)
     who = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
     bucket = ((grams >> np.uint64(17)) % np.uint64(n)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket, grams, who = bucket[order], grams[order], who[order]
     new = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (who[1:] != who[:-1])])
+    if np.diff(np.r_[new, len(grams)]).max() > 65_535:  # more than a head counts: one set has several
+        new = np.union1d(new, np.concatenate([np.arange(a, b, 65_535) for a, b in zip(new, np.r_[new[1:], len(grams)])]))
     head = np.empty(len(new), _HEAD)
     w = who[new]
-    head["doc_id"], head["sig"], head["group"], head["size"], head["count"] = doc[w], sig[w], group[w], size[w], np.diff(np.r_[new, len(grams)])
+    head["sig"], head["grp"], head["size"], head["count"] = sig[w], group[w], size[w], np.diff(np.r_[new, len(grams)])
     b = bucket[new]
     ends = np.flatnonzero(np.r_[b[1:] != b[:-1], True]) + 1
     starts = np.r_[0, ends[:-1]]
@@ -203,27 +245,18 @@ def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
             heads.append(np.frombuffer(data, _HEAD, k, 8))
             grams.append(np.frombuffer(data, np.uint64, -1, 8 + k * _HEAD.itemsize))
     head, grams = np.concatenate(heads), np.concatenate(grams)
-    # equal sets count once, under the lowest id; all their grams here are the same
-    order = np.lexsort((head["doc_id"], head["size"], head["sig"]))
-    s = head[order]
-    fresh = np.r_[True, (s["sig"][1:] != s["sig"][:-1]) | (s["size"][1:] != s["size"][:-1])]
-    lowest = s["doc_id"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    keep = np.zeros(len(head), bool)
-    keep[order] = s["doc_id"] == lowest
     who = np.repeat(np.arange(len(head), dtype=np.int32), head["count"])
-    usable = keep[who]
-    grams, who = grams[usable], who[usable]
     order = np.argsort(grams, kind="stable")
     g = grams[order]
     twice = np.zeros(len(g), bool)  # only grams of two documents or more
     twice[1:] = g[1:] == g[:-1]
     twice[:-1] |= twice[1:].copy()
     g, who = g[twice], who[order[twice]]
-    size, doc, group = head["size"][who].astype(np.int64), head["doc_id"][who], head["group"][who]
+    size, doc, group = head["size"][who].astype(np.int64), head["sig"][who], head["grp"][who].astype(np.int64)
     run = np.cumsum(np.r_[True, g[1:] != g[:-1]][: len(g)]) - 1
     order = np.lexsort((doc, group, run))
     run, size, doc, group = (x[order] for x in (run, size, doc, group))
-    if len(run):  # repeated rows
+    if len(run):  # equal sets count once
         fresh = np.r_[True, (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])]
         run, size, doc, group = (x[fresh] for x in (run, size, doc, group))
     # the matrix's entries: a gram, a group that has it, and the sizes of its members that have it
@@ -243,21 +276,20 @@ def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
         i, j = i[ok], j[ok]
         at = stop
         if len(i):
-            order = np.lexsort((e_group[j], doc[i]))  # within a run each pair stands once
+            order = np.lexsort((e_group[j], doc[i]))
             i, j = i[order], j[order]
             d, G = doc[i], e_group[j]
             new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (G[1:] != G[:-1])])
             out.append((d[new], G[new], size[i[new]], np.diff(np.r_[new, len(i)])))
     d, G, s, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-    return pa.table({"doc_id": d, "group": G, "size": s.astype(np.int32), "found": c.astype(np.int32)})
+    return pa.table({"sig": d, "grp": G, "size": s.astype(np.int32), "found": c.astype(np.int32)})
 
 
-def _verify(table: pa.Table, threshold: float) -> pa.Table:
-    """One opened group: exact counts of all pairs of members, and of visitors with members, as products of incidence matrices."""
-    doc, member = table.column("doc_id").to_numpy(), table.column("member").to_numpy(zero_copy_only=False)
-    order = np.lexsort((doc, ~member))
-    order = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]
-    doc, member = doc[order], member[order]
+def _verify(table: pa.Table, threshold: float, pairs: bool, one: bool) -> pa.Table:
+    """Two parts of an opened group, or one: exact counts of all pairs as products of incidence matrices."""
+    ids, left = table.column("id").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, ~left))
+    ids, left, links = ids[order], left[order], Links(table.column("n").to_numpy()[order])
     blobs = [x.as_buffer() for c in table.column("grams").chunks for x in c]
     sets = [np.frombuffer(blobs[i], np.uint64) for i in order]
     size = np.array([len(x) for x in sets], np.int64)
@@ -273,14 +305,14 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
     often = np.bincount(run)[run] > RARE if len(run) else np.zeros(0, bool)
     rare = _pair_counts(run[~often], who[~often])  # of grams that few have, their pairs; of the others, columns of a matrix
     who, column = who[often], np.unique(run[often], return_inverse=True)[1]
-    m, step, wide = int(member.sum()), 1024, 4096
+    m, step, wide = int(left.sum()), 1024, 4096
     a_, b_, c_ = [], [], []
     cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + wide, wide))
-    for x in range(0, len(doc), step):
+    for x in range(0 if one else m // step * step, len(ids), step):
         lo_, hi_ = np.searchsorted(rare[0], [x, x + step])
         ri, rj, rc = (v[lo_:hi_] for v in rare)
-        for y in range(0, min(m, x + step), step):  # members come first; a pair is counted with its later row
-            acc = np.zeros((min(step, len(doc) - x), min(step, m - y)), np.float32)
+        for y in range(0, min(m, x + step), step):  # the first part's rows come first; a pair is counted with its later row
+            acc = np.zeros((min(step, len(ids) - x), min(step, m - y)), np.float32)
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 w, col = who[lo:hi], column[lo:hi] - (column[lo] if hi > lo else 0)
                 left, right = (w >= x) & (w < x + acc.shape[0]), (w >= y) & (w < y + acc.shape[1])
@@ -295,12 +327,18 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
             i, j = np.nonzero(acc)
             c = acc[i, j].astype(np.int64)
             i, j = i + x, j + y
-            ok = (i > j) & (c >= threshold * (size[i] + size[j] - c) - 1e-9)
-            a_.append(doc[i[ok]])
-            b_.append(doc[j[ok]])
-            c_.append(c[ok] / (size[i[ok]] + size[j[ok]] - c[ok]))
+            ok = (i > j) & (one | (i >= m)) & (c >= threshold * (size[i] + size[j] - c) - 1e-9)
+            i, j, c = i[ok], j[ok], c[ok]
+            if pairs:
+                a_.append(ids[i])
+                b_.append(ids[j])
+                c_.append(c / (size[i] + size[j] - c))
+            elif len(i):
+                links.add(i, j)
+    if not pairs:
+        return links.table(ids)
     a, b, c = (np.concatenate(x) if x else np.zeros(0) for x in (a_, b_, c_))
-    return pa.table({"doc_a": np.minimum(a, b).astype(np.int64), "doc_b": np.maximum(a, b).astype(np.int64), "jaccard": c.astype(np.float64)})
+    return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "jaccard": c.astype(np.float64)})
 
 
 def _pair_counts(run: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,26 +359,14 @@ def _pair_counts(run: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys // n, keys % n, counts
 
 
-def groups(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
-    """(doc_id, first): the lowest id that each document is joined to through ``pairs``, directly or not, for all but that lowest
-    one. Large-star and small-star steps alternate until no edge changes; each keeps one row an edge, and their number grows with
-    the logarithm of the longest chain."""
-    edges = saved(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = saved(small)
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
-            return after.select(F.col("u").alias("doc_id"), F.col("v").alias("first"))
-        edges = after
-
-
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with one document, the lowest id, of each group that ``near_pairs`` joins. Documents without near copies, and rows
-    without id or text, stay. The rows of one doc_id stay or go together. The columns are those of ``df``."""
-    gone = saved(groups(near_pairs(df, id_col, text_col, n, threshold)).select(F.col("doc_id").alias("__leafmill_id")))
-    side = F.broadcast(gone) if gone.count() * 24 <= BROADCAST_BYTES else gone.hint("merge")
-    return df.join(side, F.col(id_col).cast("long") == F.col("__leafmill_id"), "left_anti")
+    """``df`` with one document, the lowest id, of each class of ``near_classes``; of several texts of that id in one class, one stays. Documents without near copies, and rows
+    without id or with a null or blank text, stay. Repeated rows stay or go together. An empty table stays empty. The columns are those of ``df``, whatever their names."""
+    sets, items, _, common = _sets(df, id_col, text_col, n)
+    found = saved(classes(saved(_verified(df, sets, common, id_col, text_col, n, threshold, False)), sets.select("id", "first")))
+    # of a class one document stays; a set that has no links keeps its lowest one
+    known = saved(checked_join(sets, found, "id", "left").where("n > 1 OR class_id <> first").select("sig", "sig2", F.coalesce("class_id", "first").alias("stays")))
+    gone = checked_join(items, known, ["sig", "sig2"]).where(F.struct("doc_id", "fp") != F.col("stays"))
+    gone = saved(gone.select(F.col("doc_id").alias("__leafmill_id"), F.col("fp").alias("__leafmill_fp")))
+    side = F.broadcast(gone) if gone.count() * 32 <= BROADCAST_BYTES else gone.hint("merge")
+    return df.join(side, (F.col(id_col).cast("long") == F.col("__leafmill_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__leafmill_fp")), "left_anti")

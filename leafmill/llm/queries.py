@@ -31,11 +31,7 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_pairs(_table(spark, sf_dir, "documents"))
-
-
-def op5_all_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.all_near_pairs(_table(spark, sf_dir, "documents"))
+    return jaccard.near_classes(_table(spark, sf_dir, "documents"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,13 +43,7 @@ def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = metricjoin.near_vectors(_table(spark, sf_dir, "embeddings"))
-    return pairs.withColumn("distance", F.round("distance", 5))
-
-
-def op7_all_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = metricjoin.all_near_vectors(_table(spark, sf_dir, "embeddings"))
-    return pairs.withColumn("distance", F.round("distance", 5))
+    return metricjoin.near_classes(_table(spark, sf_dir, "embeddings"))
 
 
 def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_arc_to_warc, op3_repeated_passages, op4_url_rules, op5_near_pairs, op5_all_near_pairs, op6_suffix_tree_scores, op7_near_vectors, op7_all_near_vectors, op8_transport_streams, op9_packed_sequences, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_arc_to_warc, op3_repeated_passages, op4_url_rules, op5_near_pairs, op6_suffix_tree_scores, op7_near_vectors, op8_transport_streams, op9_packed_sequences, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

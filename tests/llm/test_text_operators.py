@@ -97,40 +97,56 @@ def brute_sets(texts, n=3):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.55, 0.8, 1.0])
-def test_near_pairs(spark, threshold):
-    texts = corpus()
-    s = brute_sets(texts)
+def brute_near(texts, threshold=0.6):
+    """Of each (id, text) with words, (id, lowest id of its class, links); of each pair of different sets, (lowest ids) -> similarity."""
+    rows = sorted({(i, t) for i, t in texts if i is not None})
+    sets = [brute_sets([r]).get(r[0]) if r[1] is not None else None for r in rows]
+    alike = lambda a, b: len(a & b) >= threshold * len(a | b)
+    near = [[k for k in range(len(rows)) if k != i and sets[i] and sets[k] and alike(sets[i], sets[k])] for i in range(len(rows))]
+    seen, out = {}, []
+    for i in range(len(rows)):
+        if i not in seen:
+            open_, found = [i], {i}
+            while open_:
+                for k in near[open_.pop()]:
+                    if k not in found:
+                        found.add(k)
+                        open_.append(k)
+            seen |= dict.fromkeys(found, min(rows[k][0] for k in found))
+        out.append((rows[i][0], seen[i], len(near[i])))
     first = {}
-    for i in sorted(s):
-        first.setdefault(s[i], i)
-    want = {(first[s[i]], i): 1.0 for i in s if first[s[i]] != i}
-    reps = sorted(first.values())
-    for a in reps:
-        for b in reps:
-            j = len(s[a] & s[b]) / len(s[a] | s[b])
-            if a < b and j >= threshold:
-                want[a, b] = j
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.near_pairs(frame(spark, texts), threshold=threshold).collect()}
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
-
-
-@pytest.mark.parametrize("part", [3, 1024])
-def test_all_near_pairs(spark, monkeypatch, part):
-    """Copies are paired with each other, and a near copy with every copy, not with the lowest alone."""
-    monkeypatch.setattr(common, "COPIES", part)
-    texts = corpus()
-    by = dict(texts)
-    texts += [(100 + k, by[1]) for k in range(10)] + [(120 + k, by[40]) for k in range(3)]
-    s = brute_sets(texts)
-    want = {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])}
-    rows = jaccard.all_near_pairs(frame(spark, texts)).collect()
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in rows}
-    assert len(rows) == len(got) and got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
-    assert (105, 121) in got and (103, 107) in got and not got.keys() <= {(r.doc_a, r.doc_b) for r in jaccard.near_pairs(frame(spark, texts)).collect()}
-
-
-def test_many_near_copies(spark):
+    for (i, _), x in zip(rows, sets):
+        if x:
+            first.setdefault(x, i)
+    reps = sorted((i, k) for k, (x, i) in enumerate(first.items()))
+    kept = list(first)
+    pairs = [(a, b, len(kept[x] & kept[y]) / len(kept[x] | kept[y])) for n, (a, x) in enumerate(reps) for b, y in reps[n + 1 :] if alike(kept[x], kept[y])]
+    return sorted(out), sorted(pairs)
+
+
+def same_id_texts():
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
+    a, b = words(90), words(100)
+    return [(301, a), (302, a + " tail"), (302, b), (303, b), (302, b)]
+
+
+@pytest.mark.parametrize("threshold,part", [(0.55, 4096), (0.8, 4096), (1.0, 4096), (0.6, 3)])
+def test_near_classes(spark, monkeypatch, threshold, part):
+    monkeypatch.setattr(jaccard, "PART", part)
+    by = dict(corpus())
+    texts = corpus() + same_id_texts() + [(100 + k, by[1]) for k in range(10)] + [(120 + k, by[40]) for k in range(3)]
+    want, pairs = brute_near(texts, threshold)
+    got = sorted(tuple(r) for r in jaccard.near_classes(frame(spark, texts), threshold=threshold).select("doc_id", "class_id", "n_links").collect())
+    assert got == want
+    if part == 4096:
+        found = sorted(tuple(r) for r in jaccard.near_pairs(frame(spark, texts), threshold=threshold).collect())
+        assert [x[:2] for x in found] == [x[:2] for x in pairs] and all(math.isclose(x[2], y[2]) for x, y in zip(found, pairs))
+
+
+@pytest.mark.parametrize("part", [20, 4096])
+def test_many_near_copies(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "PART", part)
     rng = random.Random(3)
     base = [rng.choice(VOCABULARY) for _ in range(120)]
     texts = []
@@ -139,22 +155,30 @@ def test_many_near_copies(spark):
         for _ in range(i % 9):
             w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
         texts.append((i, " ".join(w)))
-    s = brute_sets(texts)
-    first = {}
-    for i in sorted(s):
-        first.setdefault(s[i], i)
-    reps = sorted(first.values())
-    want = {(a, b) for a in reps for b in reps if a < b and len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])} | {(first[s[i]], i) for i in s if first[s[i]] != i}
-    assert {(r.doc_a, r.doc_b) for r in jaccard.near_pairs(frame(spark, texts)).collect()} == want
+    got = sorted(tuple(r) for r in jaccard.near_classes(frame(spark, texts)).select("doc_id", "class_id", "n_links").collect())
+    assert got == brute_near(texts)[0]
+
+
+def test_words_that_cancel_out_are_told_apart(spark):
+    """Thue-Morse words have equal polynomials modulo 2**64, whatever the base."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    (x, *_), (y, *_) = (common.words(np.frombuffer(t.encode(), np.uint8)) for t in (a, b))
+    assert x[0] != y[0]
+    assert jaccard.near_pairs(frame(spark, [(1, a), (2, b)])).count() == 0 and jaccard.one_of_each(frame(spark, [(1, a), (2, b)])).count() == 2
 
 
-def test_one_of_each_group(spark):
-    pairs = spark.createDataFrame([(1, 2), (2, 3), (7, 3), (7, 8), (9, 10), (20, 21), (21, 22), (22, 23), (23, 24), (5, 5)], "doc_a long, doc_b long")
-    assert {(r.doc_id, r.first) for r in jaccard.groups(pairs).collect()} == {(2, 1), (3, 1), (7, 1), (8, 1), (10, 9), (21, 20), (22, 20), (23, 20), (24, 20)}
+def test_one_of_each_class(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 3), (7, 8), (9, 10), (20, 21), (21, 22), (22, 23), (23, 24), (5, 5)], "a long, b long")
+    assert {(r.id, r.first) for r in common.components(edges, "a", "b").collect()} == {(2, 1), (3, 1), (7, 1), (8, 1), (10, 9), (21, 20), (22, 20), (23, 20), (24, 20)}
     out = jaccard.one_of_each(frame(spark, corpus()))
     ids = [r.doc_id for r in out.collect()]
     assert out.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     assert not {40, 41, 42, 50, 51, 55} & set(ids) and {1, 5, 9, 2, 54, 60, 61, 62, None} <= set(ids) and ids.count(4) == 3
+    # texts of one id are documents of their own
+    left = sorted((r.doc_id, r.text) for r in jaccard.one_of_each(frame(spark, same_id_texts())).collect())
+    by = same_id_texts()
+    assert left == sorted([by[0], by[2], by[4]])
 
 
 def labelled(n=120):
@@ -305,7 +329,7 @@ def test_transducer():
 def test_empty_tables(spark):
     none = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    for df in (repeats.repeated_passages(none), repeats.without_repeats(none), jaccard.near_pairs(none), jaccard.one_of_each(none), quality.classified(none, labels), pst.scored(none), packing.packed(none), bpe.encoded(none)):
+    for df in (repeats.repeated_passages(none), repeats.without_repeats(none), jaccard.near_classes(none), jaccard.near_pairs(none), jaccard.one_of_each(none), quality.classified(none, labels), pst.scored(none), packing.packed(none), bpe.encoded(none)):
         assert df.count() == 0
 
 
@@ -316,7 +340,7 @@ def test_clashing_columns(spark):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(30)], "doc_id long, quality int, text string")
     for out in (repeats.without_repeats(docs), jaccard.one_of_each(docs), quality.kept(docs, labels)):
         assert out.columns == names and out.count() > 0
-    for out in (repeats.repeated_passages(docs), jaccard.near_pairs(docs), pst.scored(docs), packing.packed(docs), bpe.encoded(docs), quality.classified(docs, labels)):
+    for out in (repeats.repeated_passages(docs), jaccard.near_classes(docs), pst.scored(docs), packing.packed(docs), bpe.encoded(docs), quality.classified(docs, labels)):
         assert out.count() > 0
 
 
