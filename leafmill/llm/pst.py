@@ -1,6 +1,7 @@
 """Language-model scores from a probabilistic suffix tree.
 
-The symbols are 128 classes of bytes. The corpus is counted whole: how often each symbol follows each context of up to ``DEPTH`` symbols. A
+The symbols are 128 classes of bytes: case, the digits among each other and most lead bytes of a script aren't told apart, so a likelihood is that of a text's classes, and texts that
+differ only within classes score alike. Contexts end at ``DEPTH`` symbols. The corpus is counted whole: how often each symbol follows each context of up to ``DEPTH`` symbols. A
 context is retained if its next-symbol distribution diverges from that of its suffix one symbol shorter: if the log-likelihood gained in the corpus
 by telling them apart, N(s) * KL(s || suffix), is significant. That doesn't depend on what else the corpus holds, so the tree grows with it, and the automaton lies in files
 that the workers map. Each retained distribution is smoothed with its suffix's. Closed under prefixes, the contexts are the states of an automaton: a text is scored by following
@@ -14,6 +15,7 @@ import functools
 import os
 import shutil
 import tempfile
+from collections.abc import Iterable
 from typing import NamedTuple
 from urllib.parse import urlparse
 
@@ -23,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, byte_views, documents, lean, saved, shared_dir
+from .common import buckets_for, byte_views, documents, lean, saved, shared_dir, trim
 
 DEPTH, BITS = 5, 7
 #: Nats that a retained context gains at least.
@@ -158,34 +160,30 @@ def retained(table: DataFrame, significant: float = SIGNIFICANT) -> DataFrame:
     return rows
 
 
-def automaton(lengths: np.ndarray, keys: np.ndarray, n: np.ndarray, folder: str, prior: float = PRIOR) -> Model:
-    """The model of the counts of a set of contexts closed under suffixes; its tables are mapped files of ``folder``."""
-    lengths, keys, n = lengths.astype(np.int64), keys.astype(np.int64), n.astype(np.float64)
-    sets = {d: np.unique(keys[lengths == d] >> BITS) for d in range(DEPTH + 1)}
+def automaton(sets: dict[int, np.ndarray], counts: Iterable[tuple[int, np.ndarray, np.ndarray]], folder: str, prior: float = PRIOR) -> Model:
+    """The model of a set of contexts closed under suffixes: ``sets`` has the contexts of each length in order, ``counts`` gives some (length, keys, n) at a time, in any order. Its
+    tables are mapped files of ``folder``; besides the contexts, what is held in memory doesn't grow with them."""
+    sets = {d: sets.get(d, np.zeros(0, np.int64)) for d in range(DEPTH + 1)}
     for d in range(DEPTH, 1, -1):  # a context's prefixes are states too
         sets[d - 1] = np.union1d(sets[d - 1], sets[d] >> BITS)
     sets[0] = np.zeros(1, np.int64)
     base = np.cumsum([0] + [len(sets[d]) for d in range(DEPTH + 1)])
     size = int(base[-1])
     logp, step = (np.lib.format.open_memmap(os.path.join(folder, name), "w+", kind, (size, _ONE)) for name, kind in zip(_files(folder), (np.float32, np.int32)))
-    root = np.bincount(keys[lengths == 0], n[lengths == 0], minlength=_ONE)
+    for d, keys, n in counts:
+        logp[base[d] + np.searchsorted(sets[d], keys >> BITS), keys & (_ONE - 1)] = n
+    root = logp[0].astype(np.float64)
     logp[0] = np.log((root + 1) / (root.sum() + _ONE))
-    for d in range(1, DEPTH + 1):
-        own = np.flatnonzero(lengths == d)
-        own = own[np.argsort(keys[own])]
-        context, symbol, times = keys[own] >> BITS, keys[own] & (_ONE - 1), n[own]
-        for a in range(0, len(sets[d]), 4096):
-            states = sets[d][a : a + 4096]
-            up = _longest(sets, base, states, d - 1)
-            table = np.zeros((len(states), _ONE))
-            lo, hi = np.searchsorted(context, [states[0], states[-1] + 1])
-            table[np.searchsorted(states, context[lo:hi]), symbol[lo:hi]] = times[lo:hi]
-            logp[base[d] + a : base[d] + a + len(states)] = np.log((table + prior * np.exp(logp[up].astype(np.float64))) / (table.sum(1, keepdims=True) + prior))
     for d in range(DEPTH + 1):
-        for a in range(0, len(sets[d]), 4096):
-            states = sets[d][a : a + 4096]
+        for a in range(0, len(sets[d]), 1024):
+            states = sets[d][a : a + 1024]
+            rows = slice(base[d] + a, base[d] + a + len(states))
+            if d:
+                up = _longest(sets, base, states, d - 1)
+                table = logp[rows].astype(np.float64)
+                logp[rows] = np.log((table + prior * np.exp(logp[up].astype(np.float64))) / (table.sum(1, keepdims=True) + prior))
             after = ((states[:, None] << BITS) | np.arange(_ONE)).ravel()
-            step[base[d] + a : base[d] + a + len(states)] = _longest(sets, base, after, min(DEPTH, d + 1)).reshape(-1, _ONE)
+            step[rows] = _longest(sets, base, after, min(DEPTH, d + 1)).reshape(-1, _ONE)
     all_keys = np.concatenate([sets[d] for d in range(DEPTH + 1)])
     logp.flush()
     step.flush()
@@ -234,8 +232,28 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> Model:
-    rows = retained(counts(documents(df, id_col, text_col))).toArrow()
-    return automaton(*(rows.column(k).to_numpy() for k in ("length", "key", "n")), folder or _folder(df.sparkSession))
+    """The model of a table's texts; the rows that ``documents`` leaves out don't count, an empty table gives the model without contexts. The driver gets 8 bytes a context,
+    and the counts a few thousand at a time."""
+    rows = saved(retained(counts(documents(df, id_col, text_col))))
+
+    def pack(batches):
+        for b in batches:
+            length, key, n = (b.column(k).to_numpy() for k in range(3))
+            for d in np.unique(length).tolist():
+                own = length == d
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([key[own].tobytes() + n[own].tobytes()], pa.binary())], names=["length", "rows"])
+
+    def unpacked():
+        for r in rows.select("length", "key", "n").mapInArrow(pack, "length int, rows binary").toLocalIterator():
+            data = np.frombuffer(r.rows, np.int64)
+            yield r.length, data[: len(data) // 2], data[len(data) // 2 :]
+
+    contexts = rows.where("length > 0").select("length", F.shiftright("key", BITS).alias("context")).distinct().toArrow()
+    length, context = (contexts.column(k).to_numpy() for k in range(2))
+    model = automaton({d: np.sort(context[length == d]) for d in range(1, DEPTH + 1)}, unpacked(), folder or _folder(df.sparkSession))
+    del contexts, length, context
+    trim()
+    return model
 
 
 def _folder(spark: SparkSession) -> str:
