@@ -72,9 +72,9 @@ def plain(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def records(data: bytes) -> Iterator[Record]:
-    """The records of one archive. A line that isn't a header is skipped; a record that ends before its declared length is marked as truncated."""
-    data, version, at = plain(data), 1, 0
+def records(data: bytes, archive: str | None = None) -> Iterator[Record]:
+    """The records of one archive, whose name and the record's place in it enter the record's id: equal captures are records of their own. A line that isn't a header is skipped; a record that ends before its declared length is marked as truncated."""
+    data, version, at, place = plain(data), 1, 0, 0
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
@@ -91,11 +91,11 @@ def records(data: bytes) -> Iterator[Record]:
         if url.startswith("filedesc:"):
             said = re.match(rb"(\d)", block)
             version = 2 if said and said.group(1) == b"2" else 1
-        yield _converted(at, url, ip, stamp, kind, block, len(block) < length)
-        at = end + 1 + length
+        yield _converted(f"{archive or ''}\n{place}", at, url, ip, stamp, kind, block, len(block) < length)
+        at, place = end + 1 + length, place + 1
 
 
-def _converted(offset: int, url: str, ip: str, stamp: str, kind: str, block: bytes, truncated: bool) -> Record:
+def _converted(place: str, offset: int, url: str, ip: str, stamp: str, kind: str, block: bytes, truncated: bool) -> Record:
     payload = block
     if url.startswith("filedesc:"):
         warc_type, content_type = "warcinfo", "application/warc-fields"
@@ -108,7 +108,7 @@ def _converted(offset: int, url: str, ip: str, stamp: str, kind: str, block: byt
     else:
         warc_type, content_type = "resource", "text/dns" if url.startswith("dns:") else kind if "/" in kind else "application/octet-stream"
     date, digest = warc_date(stamp), sha1(block)
-    name = hashlib.md5("\n".join([warc_type, url, date or "", digest]).encode()).hexdigest()
+    name = hashlib.md5("\n".join([place, warc_type, url, date or "", digest]).encode()).hexdigest()
     return Record(offset, warc_type, f"<urn:uuid:{uuid.UUID(name)}>", url, date, None if ip in ("0.0.0.0", "-") else ip, content_type, len(block), digest, sha1(payload), truncated, block)
 
 
@@ -141,7 +141,7 @@ def converted(df: DataFrame, archive_col: str = "archive", content_col: str = "c
                 if view is None:
                     continue
                 rows, made = [], []
-                for r in records(view.tobytes()):
+                for r in records(view.tobytes(), name):
                     rows.append((name, *r[:-1]))
                     if with_record:
                         made.append(warc_bytes(r))
