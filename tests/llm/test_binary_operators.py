@@ -110,7 +110,7 @@ def test_rules_find_what_all_expressions_find(spark):
     rng = random.Random(4)
     urls = [f"http{rng.choice(('', 's'))}://{rng.choice(('a', 'www', 'm'))}.{rng.choice(('ads', 'shop', 'news'))}.example.{rng.choice(('com', 'org'))}/{rng.choice(('en', 'de', 'x-y', ''))}/{rng.randrange(99)}{rng.choice(('', '?ref=x', '?id=1&ref=x', '#top', '.html'))}" for _ in range(300)]
     rows = [(i, u) for i, u in enumerate(urls)] + [(900, None), (901, ""), (None, urls[0]), (3, urls[3]), (902, "HTTP://ADS.EXAMPLE.COM/" + "a" * 50_000), (903, "no url at all"), (904, "http://ads.example.com")]
-    rules = ["||ads.example.com^", "|https://www.", "&ref=x|", "/en/*.html|", "||example.org^", "@@||news.example.org^", "x-y", "*ref*", "/\\/\\d{2}$/", "||ads.example.com^", "sho"]
+    rules = ["||ads.example.com^", "|https://www.", "&ref=x|", "/en/*.html|", "||example.org^", "@@||news.example.org^", "x-y", "*ref*", "/\\/\\d{2}$/", "||ads.example.com^", "sho", "/\\/(en|de)\\/\\d+(?:[?#.]|$)/", "/(?:shop|news)\\.example\\.(com|org)/"]
     made = [urlrules.compiled(r, k) for k, r in enumerate(rules)]
     out = urlrules.filtered(spark.createDataFrame([(i, u, "t", "l", 1) for i, u in rows], "page_id long, url string, token string, low string, rule_id int"), rules).collect()
     assert len(out) == len(rows)
@@ -118,11 +118,20 @@ def test_rules_find_what_all_expressions_find(spark):
         hits = [m for m in made if r.url and re.search(m.pattern, r.url.lower())]
         assert list(r.rules) == [m.rule_id for m in hits]
         assert r.blocked == (any(not m.allow for m in hits) and not any(m.allow for m in hits))
-    assert made[0].tokens == ["ads", "com", "example"] and made[6].tokens == [] and made[10].tokens == []
+    assert made[0].tokens == [["ads", "com", "example"]] and made[6].tokens == [[]] and made[10].tokens == [[]]
     with pytest.raises(ValueError):
         urlrules.compiled("||*^", 0)
 
 
+def test_tokens_of_expressions():
+    found = urlrules.expression_tokens
+    assert found(r"/(?:en|de)/\d{1,2}(?:[?#]|$)") == [["en"], ["en"], ["de"], ["de"]]
+    assert found(r"^https://www\.[a-z]+\.example\.com/en/\d+$") == [["com", "en", "example", "https", "www"]]
+    assert found(r"/ab?c/") == [[]] and found(r"x-(one|two)y-") == [["oney"], ["twoy"]] and found(r"/one(/two)?/three/") == [["three"]] and found(r"a.b") == [[]] and found("(") == [[]]
+    assert found("/" + "(a|b)" * 9 + "/") == [[]]
+    assert all(all(r.tokens) for r in (urlrules.compiled(x, k) for k, x in enumerate(urlrules.RULES)))  # no rule runs on every URL
+
+
 def test_no_urls_no_rules(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     some = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
@@ -142,6 +151,8 @@ def test_both_versions_give_equal_records():
     assert one[1].payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(b"body\n\nmore").digest()).decode() and one[2].ip_address is None and one[3].content_length == 0
     assert [r.block for r in one[1:]] == [b for *_, b in rows]
     assert len({r.record_id for r in one}) == 5
+    again = arc.archive_bytes("n.arc", 1, "20010101000000", [rows[0], rows[0]])
+    assert len({r.record_id for name in ("a", "b") for r in arc.records(again, name)}) == 6
 
 
 def test_damaged_and_compressed_archives():
