@@ -8,6 +8,7 @@ island's elite moves to the next island; at last the best packing of a block win
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -21,6 +22,9 @@ CAPACITY = 2048
 #: Items of a block, islands of a block, epochs, generations in an epoch, individuals of an island, of which so many move on.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 1024, 3, 3, 4, 5, 2
 
+#: Rows of a block and an island that a task has at most, once there are more than four a core.
+TASK = 64
+
 _STATE = "block long, island int, ids array<long>, sizes array<int>, population array<binary>, guests array<binary>, fitness double"
 
 
@@ -88,7 +92,7 @@ def mutated(sizes: np.ndarray, a: np.ndarray, capacity: int, rng: np.random.Gene
 
 
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, rng: np.random.Generator, generations: int, keep: int) -> list[np.ndarray]:
-    """The best ``keep`` packings after some generations, best first. An empty population starts from best fit of the items by falling size, exactly and with noise."""
+    """The best ``keep`` packings after some generations, best first; as soon as one has no more bins than the items fill, the search ends. An empty population starts from best fit of the items by falling size, exactly and with noise."""
     if not population:
         for noise in np.linspace(0, 0.3, keep):
             bins, room = np.full(len(sizes), -1, np.int64), []
@@ -96,8 +100,9 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, rng:
             population.append(bins)
     ranked = sorted(((fitness(sizes, p, capacity), k) for k, p in enumerate(population)), reverse=True)
     pool = [(f, population[k]) for f, k in ranked]
+    least = -(-int(sizes.sum()) // capacity)
     for _ in range(generations):
-        if pool[0][0] >= 1 - 1e-12:
+        if int(pool[0][1].max()) + 1 == least:  # no packing has fewer bins
             break
         young = []
         for _ in range(max(1, keep // 2)):
@@ -137,7 +142,7 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
         return step
 
-    partitions = max(1, min(4 * df.sparkSession.sparkContext.defaultParallelism, n_blocks * ISLANDS)) if n_blocks < 10_000 else n_blocks * ISLANDS // 1000
+    partitions = max(1, min(n_blocks * ISLANDS, max(4 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_blocks * ISLANDS / TASK))))
     state = state.repartition(partitions, "block", "island")
     for number in range(EPOCHS):
         state = saved(state.mapInArrow(epoch(number), _STATE))
