@@ -612,7 +612,10 @@ def _flat_vocabulary(path: str) -> _Flat:
 
 
 def decoded(df: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
-    """``df`` and the text that ``ids_col`` stands for, as ``text``: null for null ids or an id that the vocabulary lacks; bytes that aren't UTF-8 become replacement characters."""
+    """``df`` and the text that ``ids_col`` stands for, as ``text``: null for null ids or an id that the vocabulary lacks; bytes that aren't UTF-8 become replacement
+    characters. A column of that name raises ValueError."""
+    if text in df.columns:
+        raise ValueError(f"there is a column {text}")
     @F.pandas_udf("string")
     def decode(batch: pd.Series) -> pd.Series:
         _, back = _vocabulary(vocabulary)

@@ -22,6 +22,8 @@ from .common import small_batches
 DICTIONARY, PIECE, LEVEL = 112_640, 512, 3
 #: The labelled rows of each class that the model is fitted on, the lowest by a hash of their id; half train the dictionary, half the curve.
 FIT_ROWS = 3000
+#: The bytes of each class's texts that come to the driver at most: rows that would go beyond, in the order of the hash, aren't fitted on.
+FIT_BYTES = 48 << 20
 #: A text below this probability of being good is rejected.
 KEEP = 0.4
 #: Bytes added to a text's size where the difference is normalised: very short texts prove little.
@@ -101,22 +103,34 @@ def fit_texts(good: list[str], bad: list[str], share_good: float) -> Model | Non
     return model._replace(slope=float(b[0] / scale), level=float(b[1]))
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model | None:
-    """Fit on at most ``fit_rows`` labelled rows of each class (``label_col`` 1 good, 0 bad). A document labelled both ways is bad; labels that are
-    null, of no document or of a blank one count for nothing. None if a class is missing."""
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model | None:
+    """Fit on at most ``fit_rows`` labelled rows of each class (``label_col`` 1 good, 0 bad) and ``fit_bytes`` of their texts. A document labelled both ways is bad; labels that are
+    null, of no document or of a blank one count for nothing; repeated rows are one, and an id's texts are rows of their own. None if a class is missing."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     if len(counts) < 2:
         return None
     picked = [known.where(f"y = {y}").orderBy(F.xxhash64("id"), "id").limit(fit_rows) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * fit_rows rows of 12 bytes
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(sample, "id").select("id", "y", "text").distinct().orderBy(F.xxhash64("id"), "id", "text").collect()
-    texts = {y: [r.text for r in rows if r.y == y and r.text.strip()] for y in (0, 1)}
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(r"text RLIKE '\\S'").join(sample, "id").select("id", "y", "text", F.xxhash64("text").alias("fp"))
+    sizes = rows.select("id", "y", "fp", F.octet_length("text").alias("n")).distinct()
+    chosen = []
+    for y in (0, 1):
+        first = sizes.where(f"y = {y}").orderBy(F.xxhash64("id"), "id", "fp").limit(fit_rows).toPandas()
+        chosen.append(first[first.n.cumsum() <= fit_bytes])
+    wanted = pd.concat(chosen)[["id", "fp"]]
+    if not len(wanted):
+        return None
+    told = F.broadcast(documents.sparkSession.createDataFrame(wanted, "id long, fp long"))
+    found = rows.join(told, ["id", "fp"]).distinct().orderBy(F.xxhash64("id"), "id", "fp").select("y", "text").toPandas()
+    texts = {y: [t for t in found.text[found.y == y] if t.strip()] for y in (0, 1)}
     return fit_texts(texts[1], texts[0], counts[1] / (counts[0] + counts[1]))
 
 
 def with_score(df: DataFrame, model: Model | None, text_col: str = "text", score: str = "score") -> DataFrame:
-    """``df`` and the probability that its text is good, as ``score``: null where the text is null or blank, or where there is no model."""
+    """``df`` and the probability that its text is good, as ``score``: null where the text is null or blank, or where there is no model. A column of that name raises ValueError."""
+    if score in df.columns:
+        raise ValueError(f"there is a column {score}")
     if model is None:
         return df.withColumn(score, F.lit(None).cast("double"))
     small_batches(df.sparkSession)
