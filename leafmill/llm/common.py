@@ -180,6 +180,19 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """A (doc_id, text) table in which texts that share a doc_id have ids of their own, and the table (id, doc_id, fp) of those ids, the doc_ids they stand for and the hashes of the
+    texts; None if there are none. Of an id's texts that of the lowest hash keeps the id; the others' ids come after all."""
+    hashed = docs.withColumn("fp", F.xxhash64("text"))
+    several = saved(hashed.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").drop("high"))
+    if several.isEmpty():
+        return docs, None
+    last = docs.agg(F.max("doc_id")).first()[0]
+    others = checked_join(hashed.select("doc_id", "fp"), several, "doc_id").where("fp <> low").select("doc_id", "fp").distinct()
+    names = saved(others.select((F.monotonically_increasing_id() + F.lit(last + 1)).alias("id"), "doc_id", "fp"))
+    return checked_join(hashed, names, ["doc_id", "fp"], "left").select(F.coalesce("id", "doc_id").alias("doc_id"), "text"), names
+
+
 # ---------------------------------------------------------------- words
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Grams, buckets_for, byte_views, checked_join, documents, lean, saved, signed, trim, words
+from .common import BROADCAST_BYTES, Grams, buckets_for, byte_views, checked_join, documents, lean, saved, signed, told_apart, trim, words
 from .sais import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 50, 16
@@ -55,12 +55,21 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, start_word, n_words, first_doc_id, first_start_word): each maximal passage whose runs of ``length`` words occur
     earlier in the corpus, in one place, by (doc_id, position); words are counted from 0.
 
-    Rows without id or text, and texts of fewer than ``length`` words, have no passage. Rows that share a doc_id are one
-    document. A text may repeat itself: the earlier position is the first. An empty table gives an empty result. Other columns
-    are ignored, whatever their names.
+    Rows without id or text, and texts of fewer than ``length`` words, have no passage. Repeated rows are one document; other texts that share a doc_id are documents of their own, of
+    which that of the lowest hash stands in the id's place and the others come after all. A text may repeat itself: the earlier position is the first. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
     """
-    docs = documents(df, id_col, text_col)
-    n_buckets = buckets_for(docs)
+    docs, names = told_apart(documents(df, id_col, text_col))
+    found = _passages(docs, length, gram)
+    if names is None:
+        return found
+    for c in ("doc_id", "first_doc_id"):
+        found = checked_join(found, names.select(F.col("id").alias(c), F.col("doc_id").alias("name")), c, "left").withColumn(c, F.coalesce("name", c)).drop("name")
+    return found.select("doc_id", "start_word", "n_words", "first_doc_id", "first_start_word")
+
+
+def _passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    n_buckets = buckets_for(docs, 4 << 20)
 
     def anchors(batches):
         held, size = [], 0
@@ -204,9 +213,10 @@ def _pieces(table: pa.Table, length: int) -> pa.RecordBatch:
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``df`` with the words of ``repeated_passages`` cut out of its texts, each passage's first occurrence left in place; ``count_col``, if there is one, is the new text's length in characters. A text of which nothing is left goes with its row;
-    texts that repeat nothing, and rows without id or text, stay as they are, blank ones too. The columns are those of ``df``."""
-    passages = repeated_passages(df, id_col, text_col, length, gram)
-    spans = saved(passages.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans")))
+    texts that repeat nothing, and rows without id or text, stay as they are, blank ones too; repeated rows are cut alike, and of texts that share an id each by its own passages. An
+    empty table stays empty. The columns are those of ``df``, whatever their names."""
+    docs, names = told_apart(documents(df, id_col, text_col))
+    spans = saved(_passages(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans")))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -214,8 +224,14 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return pd.Series([t if s is None or t is None else _cut(t, s) for t, s in zip(texts, spans)], dtype=object)
 
+    key, own = F.col(id_col).cast("long"), df
+    if names is not None:
+        others = names.select(F.col("id").alias("__leafmill_name"), F.col("doc_id").alias("__leafmill_doc"), F.col("fp").alias("__leafmill_fp"))
+        others = F.broadcast(others) if names.count() * 48 <= BROADCAST_BYTES else others.hint("merge")
+        own = df.join(others, (key == F.col("__leafmill_doc")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__leafmill_fp")), "left")
+        key = F.coalesce("__leafmill_name", key)
     side = spans.select(F.col("doc_id").alias("__leafmill_id"), F.col("spans").alias("__leafmill_spans"))
-    joined = df.join(F.broadcast(side) if spans.count() * 96 <= 4 << 20 else side.hint("merge"), F.col(id_col).cast("long") == F.col("__leafmill_id"), "left")
+    joined = own.join(F.broadcast(side) if spans.count() * 96 <= 4 << 20 else side.hint("merge"), key == F.col("__leafmill_id"), "left")
     hit = joined.where("__leafmill_id IS NOT NULL").withColumn(text_col, cut(F.col(text_col), F.col("__leafmill_spans"))).where(F.length(text_col) > 0)
     if count_col in df.columns:
         hit = hit.withColumn(count_col, F.length(text_col).cast(df.schema[count_col].dataType))

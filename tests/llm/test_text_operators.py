@@ -87,6 +87,17 @@ def test_without_repeats(spark):
     assert 50 not in {d for d, _ in left} and {r.n_chars == len(r.text) for r in out.where("doc_id = 9").collect()} == {True}
 
 
+def test_texts_that_share_an_id_are_cut_each_by_its_own(spark):
+    texts = same_id_texts()
+    a, b = texts[0][1], texts[2][1]
+    for rows in (texts, [(5, a), (5, b)], [(1, a), (2, a + " tail"), (2, b), (None, a)]):
+        left = sorted((r.doc_id, r.text) for r in repeats.without_repeats(frame(spark, rows)).where("doc_id IS NOT NULL").collect())
+        assert {t for _, t in left if t in (a, b)} == {a, b} & {t for _, t in rows}
+    assert repeats.repeated_passages(frame(spark, [(5, a), (5, b)])).count() == 0
+    got = sorted(tuple(r) for r in repeats.repeated_passages(frame(spark, [(5, a), (5, a + " tail")])).collect())
+    assert [(d, n, f) for d, _, n, f, _ in got] == [(5, 90, 5)]
+
+
 def brute_sets(texts, n=3):
     out = {}
     for i, t in texts:
@@ -203,6 +214,32 @@ def test_classifier(spark):
     assert quality.classified(docs, labels.where("quality = 1")).where("keep").count() == docs.count()
 
 
+def test_scores_by_hand(spark):
+    """Each score again, from the dictionaries: pieces of every text compressed against either, the difference of the sums over the text's bytes, the logistic curve."""
+    import zstandard
+
+    good, bad = labelled(60)
+    docs = frame(spark, [*enumerate(good), *((500 + i, t) for i, t in enumerate(bad)), (900, good[0] * 40 + bad[1]), (901, "é" * 700)])
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(500 + i, 0) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    rows = quality.classified(docs, labels).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def size(data, dictionary, raw):
+        kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT
+        made = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(made.compress(data[i : i + quality.PIECE])) for i in range(0, len(data), quality.PIECE))
+
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        x = (size(data, model.bad, model.raw[1]) - size(data, model.good, model.raw[0])) / (len(data) + quality.PRIOR_BYTES)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-(model.slope * x + model.level))), rel_tol=1e-9, abs_tol=1e-12) and r.keep == (r.score >= quality.KEEP)
+    with pytest.raises(ValueError):
+        quality.with_score(docs.withColumn("score", docs.doc_id), model)
+    few = quality.fit(docs, labels, fit_rows=20, fit_bytes=4000)
+    assert few is None or few.slope != model.slope
+
+
 def test_small_classes_are_trained_on_too():
     """A class of few labelled texts gets a trained dictionary, and what the other class has isn't cut for it; a raw one holds all texts."""
     good, bad = labelled(400)
@@ -253,6 +290,41 @@ def test_suffix_tree_counts_and_scores(spark):
     assert np.allclose(np.exp(model.logp.reshape(-1, 128).astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_suffix_tree_retention_and_smoothing(spark):
+    """The divergence tests, the closure under suffixes and prefixes and the smoothed distributions, each by hand."""
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choice(("abra", "cadabra", "bard", "dab", "a")) for _ in range(60))) for i in range(6)]
+    model = pst.fit(frame(spark, texts))
+    n = Counter()
+    for _, t in texts:
+        s = tuple(pst.symbols(np.frombuffer(t.encode(), np.uint8)).tolist())
+        for i in range(pst.DEPTH, len(s)):
+            for d in range(pst.DEPTH + 1):
+                n[s[i - d : i], s[i]] += 1
+    total, after = Counter(), defaultdict(dict)
+    for (context, c), k in n.items():
+        total[context] += k
+        after[context][c] = k
+    gain = lambda s: sum(k * math.log(k / total[s] / (n[s[1:], c] / total[s[1:]])) for c, k in after[s].items())
+    kept = {s for s in total if s and gain(s) >= pst.SIGNIFICANT}
+    kept = {s[k:] for s in kept for k in range(len(s))}
+    states = {s[:k] for s in kept for k in range(len(s) + 1)} | {()}
+    pack = lambda s: sum(c << pst.BITS * i for i, c in enumerate(reversed(s)))
+    assert {(len(s), pack(s)) for s in states} == set(zip(model.lengths.tolist(), model.keys.tolist())) and len(kept) > 20
+
+    def p(s):
+        if not s:
+            return {c: (n[(), c] + 1) / (total[()] + 128) for c in range(128)}
+        up = next(s[k:] for k in range(1, len(s) + 1) if s[k:] in states)
+        own = after[s] if s in kept else {}
+        return {c: (own.get(c, 0) + pst.PRIOR * x) / (sum(own.values()) + pst.PRIOR) for c, x in p(up).items()}
+
+    at = {(int(d), int(k)): i for i, (d, k) in enumerate(zip(model.lengths, model.keys))}
+    for s in states:
+        want = p(s)
+        assert np.allclose(model.logp.reshape(-1, 128)[at[len(s), pack(s)]], np.log([want[c] for c in range(128)]), atol=1e-4)
+
+
 def test_rare_contexts_stay_in_a_large_corpus(spark):
     """What is retained of a rare passage doesn't depend on the size of the rest."""
     key = lambda *s: sum(c << pst.BITS * i for i, c in enumerate(reversed(s)))
@@ -286,6 +358,55 @@ def test_packing(spark):
     assert sorted(packing.packed(frame(spark, texts), capacity=100).collect()) == sorted(rows)
 
 
+def fewest_bins(sizes, capacity):
+    """By trying all ways."""
+    best = len(sizes)
+
+    def put(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(sizes):
+            best = len(room)
+            return
+        for b in {r: i for i, r in enumerate(room) if r >= sizes[k]}.values():
+            put(k + 1, [r - sizes[k] if i == b else r for i, r in enumerate(room)])
+        put(k + 1, [*room, capacity - sizes[k]])
+
+    sizes = sorted(sizes, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_packings_against_the_fewest_bins():
+    rng = np.random.default_rng(9)
+    gained = 0
+    for k in range(40):
+        sizes = rng.integers(15, 60, 11)
+        bins, room = np.full(len(sizes), -1, np.int64), []
+        packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), bins, room, 100)
+        pool = []
+        for _ in range(packing.EPOCHS):
+            pool = packing.evolve(sizes, pool, 100, rng, packing.GENERATIONS, packing.POPULATION)
+        own, least = int(pool[0].max()) + 1, fewest_bins(sizes.tolist(), 100)
+        assert least <= own <= len(room) and own <= least + 1
+        gained += own < len(room)
+    assert gained  # where best fit by falling size isn't the best, the search finds fewer bins
+
+
+def test_the_search_gains_on_triplets():
+    """Items of which three fill a bin: best fit by falling size pairs the large ones and wastes room."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(380, 490, 40), rng.integers(255, 300, 40)
+    sizes = np.concatenate([a, b, 1000 - a - b])
+    bins, room = np.full(len(sizes), -1, np.int64), []
+    packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), bins, room, 1000)
+    pool = []
+    for _ in range(packing.EPOCHS):
+        pool = packing.evolve(sizes, pool, 1000, rng, packing.GENERATIONS, packing.POPULATION)
+    assert packing.fitness(sizes, pool[0], 1000) > packing.fitness(sizes, bins, 1000) and len(room) > 40
+
+
 def test_genetic_steps_keep_items_and_bounds():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 60, 200)
