@@ -26,6 +26,8 @@ PREFIX = 0.5
 #: The common grams kept for the order, and how often one has to occur among a task's documents to be told.
 COMMON, TOLD = 1 << 18, 4
 _FLUSH = 800_000
+#: The bytes of a gram's hash that are shipped.
+_SHORT = 6
 #: The sets that a task remembers so as not to ship copies.
 _TOLD_SETS = 200_000
 _EXPAND = 500_000
@@ -173,12 +175,14 @@ def _verified(df: DataFrame, sets: DataFrame, common: DataFrame, id_col: str, te
     visiting = guests.select("id", "n", "first", "grp").unionByName(hosts.select("id", "n", "first", "grp")).distinct()
     opened = sizes.where("members > 1").select("grp").unionByName(visiting.select("grp")).distinct()
     needed = saved(members.select("id", "n", "first", "grp").join(opened, "grp", "left_semi").withColumn("member", F.lit(True)).unionByName(visiting.withColumn("member", F.lit(False))))
-    # parts of a group's members meet each other and the parts of its visitors
+    # the members of a group meet each other and its visitors in one task; those of a large one in parts, each with each other part and each part of the visitors
     parts = needed.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.count_if("member") / PART)).cast("int").alias("g"), F.ceil(F.count_if(~F.col("member")) / PART).cast("int").alias("h")).where("g > 1 OR h > 0")
     dealt = needed.join(parts, "grp", "left").withColumns({"g": F.coalesce("g", F.lit(1)), "h": F.coalesce("h", F.lit(0))})
     dealt = dealt.withColumn("part", F.when(F.col("member"), F.pmod(F.xxhash64("id"), F.col("g"))).otherwise(F.col("g") + F.pmod(F.xxhash64("id"), F.greatest("h", F.lit(1)))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("g") + F.col("h")).otherwise(F.col("g")) - 1)))
-    place = F.struct("grp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("left"))
+    whole = F.col("g") == 1
+    others = F.when(~F.col("member"), F.sequence(F.lit(0), F.col("g") - 1)).when(whole, F.sequence(F.least("h", F.lit(1)), "h")).otherwise(F.sequence(F.lit(0), F.col("g") + F.col("h") - 1))
+    dealt = dealt.withColumn("other", F.explode(others))
+    place = F.struct("grp", F.when(whole, F.lit(-1)).otherwise(F.least("part", "other")).alias("low"), F.greatest("part", "other").alias("high"), F.when(whole, F.col("member")).otherwise(F.col("part") <= F.col("other")).alias("left"))
     places = saved(dealt.groupBy("id", "n", "first").agg(F.collect_list(place).alias("places")).select("first.doc_id", "first.fp", "id", "n", "places"))
 
     def sets_of(batches):
@@ -190,7 +194,8 @@ def _verified(df: DataFrame, sets: DataFrame, common: DataFrame, id_col: str, te
                 yield pa.RecordBatch.from_arrays([*(to.field(x) for x in ("grp", "low", "high", "left")), pa.repeat(b.column(1)[k], m), pa.repeat(b.column(2)[k], m), pa.array([grams] * m, pa.binary())], names=["grp", "low", "high", "left", "id", "n", "grams"])
 
     def verify(key, table):
-        out = _verify(table, threshold, pairs, key[1] == key[2])
+        low, high = key[1].as_py(), key[2].as_py()
+        out = _verify(table, threshold, pairs, low == high or low < 0 and high < 2)
         trim()
         return out
 
@@ -231,7 +236,8 @@ def _packed(heads, held, n: int) -> pa.RecordBatch:
     ends = np.flatnonzero(np.r_[b[1:] != b[:-1], True]) + 1
     starts = np.r_[0, ends[:-1]]
     edge = np.r_[new, len(grams)]
-    blobs = [np.int64(e - s).tobytes() + head[s:e].tobytes() + grams[edge[s] : edge[e]].tobytes() for s, e in zip(starts, ends)]
+    short = np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :_SHORT])  # grams taken for equal only let a group be opened in vain
+    blobs = [np.int64(e - s).tobytes() + head[s:e].tobytes() + short[edge[s] : edge[e]].tobytes() for s, e in zip(starts, ends)]
     return pa.RecordBatch.from_arrays([pa.array(b[starts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
 
@@ -243,7 +249,10 @@ def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
             data = x.as_buffer()
             k = int(np.frombuffer(data, np.int64, 1)[0])
             heads.append(np.frombuffer(data, _HEAD, k, 8))
-            grams.append(np.frombuffer(data, np.uint64, -1, 8 + k * _HEAD.itemsize))
+            short = np.frombuffer(data, np.uint8, -1, 8 + k * _HEAD.itemsize).reshape(-1, _SHORT)
+            wide = np.zeros((len(short), 8), np.uint8)
+            wide[:, :_SHORT] = short
+            grams.append(wide.view(np.uint64).ravel())
     head, grams = np.concatenate(heads), np.concatenate(grams)
     who = np.repeat(np.arange(len(head), dtype=np.int32), head["count"])
     order = np.argsort(grams, kind="stable")
@@ -285,8 +294,8 @@ def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"sig": d, "grp": G, "size": s.astype(np.int32), "found": c.astype(np.int32)})
 
 
-def _verify(table: pa.Table, threshold: float, pairs: bool, one: bool) -> pa.Table:
-    """Two parts of an opened group, or one: exact counts of all pairs as products of incidence matrices."""
+def _verify(table: pa.Table, threshold: float, pairs: bool, within: bool) -> pa.Table:
+    """Exact counts, as products of incidence matrices, of the pairs of a row of the first part with one of the second, and, if asked for, of those of the first part."""
     ids, left = table.column("id").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
     order = np.lexsort((ids, ~left))
     ids, left, links = ids[order], left[order], Links(table.column("n").to_numpy()[order])
@@ -308,7 +317,7 @@ def _verify(table: pa.Table, threshold: float, pairs: bool, one: bool) -> pa.Tab
     m, step, wide = int(left.sum()), 1024, 4096
     a_, b_, c_ = [], [], []
     cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + wide, wide))
-    for x in range(0 if one else m // step * step, len(ids), step):
+    for x in range(0 if within else m // step * step, len(ids), step):
         lo_, hi_ = np.searchsorted(rare[0], [x, x + step])
         ri, rj, rc = (v[lo_:hi_] for v in rare)
         for y in range(0, min(m, x + step), step):  # the first part's rows come first; a pair is counted with its later row
@@ -327,7 +336,7 @@ def _verify(table: pa.Table, threshold: float, pairs: bool, one: bool) -> pa.Tab
             i, j = np.nonzero(acc)
             c = acc[i, j].astype(np.int64)
             i, j = i + x, j + y
-            ok = (i > j) & (one | (i >= m)) & (c >= threshold * (size[i] + size[j] - c) - 1e-9)
+            ok = (i > j) & (within | (i >= m)) & (c >= threshold * (size[i] + size[j] - c) - 1e-9)
             i, j, c = i[ok], j[ok], c[ok]
             if pairs:
                 a_.append(ids[i])
