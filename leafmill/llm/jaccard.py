@@ -12,9 +12,12 @@ The order of the grams is a heuristic - any order is exact - so the list of comm
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ PREFIX = 0.5
 #: The common grams kept for the order, and how often one has to occur among a task's documents to be told.
 COMMON, TOLD = 1 << 18, 4
 _FLUSH = 800_000
+#: The grams that a task holds before it sends documents to the groups that they visit.
+_HELD = 4_000_000
 #: The bytes of a gram's hash that are shipped.
 _SHORT = 6
 #: The sets that a task remembers so as not to ship copies.
@@ -40,7 +45,8 @@ PART = 4096
 
 _SEEN = "kind byte, a long, fp long, sig long, sig2 long, grp long, size int"
 _HEAD = np.dtype([("sig", "i8"), ("grp", "u4"), ("size", "u4"), ("count", "u2")])
-_SETS = "grp long, low int, high int, left boolean, id long, n long, grams binary"
+_SETS = "grp long, low int, high int, rows binary"
+_SET = np.dtype([("id", "i8"), ("n", "i8"), ("left", "?"), ("size", "u4")])
 
 
 def _summary(grams: np.ndarray) -> tuple[int, int, int]:
@@ -186,12 +192,18 @@ def _verified(df: DataFrame, sets: DataFrame, common: DataFrame, id_col: str, te
     places = saved(dealt.groupBy("id", "n", "first").agg(F.collect_list(place).alias("places")).select("first.doc_id", "first.fp", "id", "n", "places"))
 
     def sets_of(batches):
+        held, size = defaultdict(list), 0
         for b in batches:
-            for k, data in enumerate(byte_views(b.column(0))):
-                grams = gram_set(data, n).tobytes()
-                to = b.column(3).slice(k, 1).flatten()
-                m = len(to)
-                yield pa.RecordBatch.from_arrays([*(to.field(x) for x in ("grp", "low", "high", "left")), pa.repeat(b.column(1)[k], m), pa.repeat(b.column(2)[k], m), pa.array([grams] * m, pa.binary())], names=["grp", "low", "high", "left", "id", "n", "grams"])
+            for data, i, docs_, to in zip(byte_views(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                grams = gram_set(data, n)
+                where = to.values
+                for grp, low, high, left in zip(*(where.field(x).to_pylist() for x in ("grp", "low", "high", "left"))):
+                    held[grp, low, high].append((i, docs_, left, grams))
+                    size += len(grams)
+                if size >= _HELD:
+                    yield from _sent(held)
+                    held, size = defaultdict(list), 0
+        yield from _sent(held)
 
     def verify(key, table):
         low, high = key[1].as_py(), key[2].as_py()
@@ -241,6 +253,24 @@ def _packed(heads, held, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b[starts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
 
+def _sent(held: dict) -> Iterator[pa.RecordBatch]:
+    """A row for each place: its documents, and their grams, compressed together: near copies that a task sends to one place cost little more than one."""
+    squeeze = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(1, window_log=23, enable_ldm=True)).compress
+    places, blobs, size = [], [], 0
+    for place, rows in held.items():
+        head = np.array([(i, n, left, len(g)) for i, n, left, g in rows], _SET)
+        places.append(place)
+        blobs.append(np.int64(len(head)).tobytes() + head.tobytes() + squeeze(b"".join(g.tobytes() for *_, g in rows)))
+        size += len(blobs[-1])
+        if size >= 8 << 20 or len(places) == len(held):
+            grp, low, high = zip(*places)
+            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "low", "high", "rows"])
+            places, blobs, size = [], [], 0
+    if places:
+        grp, low, high = zip(*places)
+        yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "low", "high", "rows"])
+
+
 def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
     """One shard of the matrix: for each query and each group with a member that may be its smaller partner, how many of the query's prefix grams the group's union holds."""
     heads, grams = [], []
@@ -296,12 +326,20 @@ def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
 
 def _verify(table: pa.Table, threshold: float, pairs: bool, within: bool) -> pa.Table:
     """Exact counts, as products of incidence matrices, of the pairs of a row of the first part with one of the second, and, if asked for, of those of the first part."""
-    ids, left = table.column("id").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
-    order = np.lexsort((ids, ~left))
-    ids, left, links = ids[order], left[order], Links(table.column("n").to_numpy()[order])
-    blobs = [x.as_buffer() for c in table.column("grams").chunks for x in c]
-    sets = [np.frombuffer(blobs[i], np.uint64) for i in order]
-    size = np.array([len(x) for x in sets], np.int64)
+    heads, sets = [], []
+    for chunk in table.column("rows").chunks:
+        for x in chunk:
+            data = x.as_buffer()
+            k = int(np.frombuffer(data, np.int64, 1)[0])
+            head = np.frombuffer(data, _SET, k, 8)
+            grams = np.frombuffer(zstandard.decompress(memoryview(data)[8 + k * _SET.itemsize :]), np.uint64)
+            heads.append(head)
+            sets += np.split(grams, np.cumsum(head["size"].astype(np.int64))[:-1])
+    head = np.concatenate(heads)
+    order = np.lexsort((head["id"], ~head["left"]))
+    head, sets = head[order], [sets[i] for i in order]
+    ids, left, links = head["id"], head["left"], Links(head["n"])
+    size = head["size"].astype(np.int64)
     who = np.repeat(np.arange(len(sets)), size)
     grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     by = np.argsort(grams, kind="stable")
