@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of word n-gram sets through a token-group matrix.
 
-Documents are partitioned into groups by the smallest hash of their grams, so near copies mostly share a group. The matrix holds,
+Documents are partitioned into groups by the smallest hash of their grams, those aside that very many documents have, so near copies mostly share a group. The matrix holds,
 for each group, the union of the grams that its members' prefixes (half of each, in one global order, rarest first); it is sharded by gram. A query's overlap with a member is at most
 its prefix grams found in that union plus what lies beyond the prefixes; only groups whose bound reaches the overlap the threshold asks
 for are opened, the smaller group travels to the larger, and there all pairs are counted exactly, in parts of at most about ``PART`` documents against as many. Every document is
@@ -12,12 +12,10 @@ The order of the grams is a heuristic - any order is exact - so the list of comm
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +27,6 @@ PREFIX = 0.5
 #: The common grams kept for the order, and how often one has to occur among a task's documents to be told.
 COMMON, TOLD = 1 << 18, 4
 _FLUSH = 800_000
-#: The grams that a task holds before it sends documents to the groups that they visit.
-_HELD = 4_000_000
 #: The bytes of a gram's hash that are shipped.
 _SHORT = 6
 #: The sets that a task remembers so as not to ship copies.
@@ -43,16 +39,31 @@ _SEED = np.uint64(0x5851F42D4C957F2D)
 #: Documents of a part of an opened group.
 PART = 4096
 
-_SEEN = "kind byte, a long, fp long, sig long, sig2 long, grp long, size int"
+#: A gram that so many documents have is hot; how many of a document's grams tell whether most of it is.
+HOT, SAMPLE = 512, 8
+
+_SEEN = "kind byte, a long, fp long, sig long, sig2 long, low array<long>, size int"
 _HEAD = np.dtype([("sig", "i8"), ("grp", "u4"), ("size", "u4"), ("count", "u2")])
-_SETS = "grp long, low int, high int, rows binary"
-_SET = np.dtype([("id", "i8"), ("n", "i8"), ("left", "?"), ("size", "u4")])
+_SETS = "grp long, low int, high int, left boolean, id long, n long, grams binary"
 
 
-def _summary(grams: np.ndarray) -> tuple[int, int, int]:
-    """(signature of the set, in two halves, group): sums of mixed hashes, and the smallest hash in an order of its own."""
+def _summary(grams: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(signature of the set, in two halves, a sample): sums of mixed hashes, and the grams that come first in an order of their own."""
     m = mix(grams ^ _SEED)
-    return int(signed(m.sum(keepdims=True))[0]), int(signed(mix(grams + _SEED).sum(keepdims=True))[0]), int(m.min() >> np.uint64(32))
+    low = np.argpartition(m, SAMPLE)[:SAMPLE] if len(m) > SAMPLE else np.arange(len(m))
+    return int(signed(m.sum(keepdims=True))[0]), int(signed(mix(grams + _SEED).sum(keepdims=True))[0]), grams[low[np.argsort(m[low])]]
+
+
+def _groups(samples: np.ndarray, length: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The group of each sample: its first gram that isn't hot, so that a passage that many share doesn't make them a group; or, where most are hot, its first hot one, as of a document
+    that is itself one of many near copies. ``samples`` stand one after another, ``hot`` is sorted."""
+    is_hot = hot[np.minimum(np.searchsorted(hot, samples), len(hot) - 1)] == samples if len(hot) else np.zeros(len(samples), bool)
+    who = np.repeat(np.arange(len(length)), length)
+    most = 2 * np.bincount(who, is_hot, len(length)) > length
+    fits = np.flatnonzero(is_hot == most[who])
+    out = np.zeros(len(length), np.int64)
+    out[who[fits][::-1]] = fits[::-1]  # the first of each
+    return (mix(samples[out] ^ _SEED) >> np.uint64(32)).astype(np.int64)
 
 
 def _least(threshold: float, size):
@@ -70,8 +81,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are runs of anything but ASCII white space; a text of fewer than ``n`` words has one gram, of all of them. Null and blank texts link to nothing. Rows without id are left out,
     and repeated rows are one. An id with several texts has a row for each; they are documents like any others. An empty table gives an empty result. Other columns
     are ignored, whatever their names. Sets are equal if 128 bits of their grams' hashes are."""
-    sets, items, blank, common = _sets(df, id_col, text_col, n)
-    found = saved(classes(saved(_verified(df, sets, common, id_col, text_col, n, threshold, False)), sets.select("id", "first")))
+    sets, items, blank, known = _sets(df, id_col, text_col, n)
+    found = saved(classes(saved(_verified(df, sets, known, id_col, text_col, n, threshold, False)), sets.select("id", "first")))
     known = saved(checked_join(sets, found, "id", "left").select("sig", "sig2", "first", "n", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     alone = known.where("n = 1").select("first.doc_id", "class_id.doc_id", "n_links").toDF("doc_id", "class_id", "n_links")
     several = checked_join(items, known.where("n > 1").select("sig", "sig2", F.col("class_id.doc_id").alias("class_id"), "n_links"), ["sig", "sig2"])
@@ -81,8 +92,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard): every pair of different n-gram sets at or above ``threshold``, each set under its lowest id; doc_a <= doc_b, equal only where one id has both sets. As
     many rows as there are pairs; rows are treated as by ``near_classes``."""
-    sets, _, _, common = _sets(df, id_col, text_col, n)
-    pairs = _verified(df, sets, common, id_col, text_col, n, threshold, True)
+    sets, _, _, known = _sets(df, id_col, text_col, n)
+    pairs = _verified(df, sets, known, id_col, text_col, n, threshold, True)
     named = sets.select("id", "first.doc_id")
     both = pairs.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
@@ -92,10 +103,10 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents(df, id_col, text_col).withColumn("fp", F.xxhash64("text"))
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _sets(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame, Broadcast]:
     """The different gram sets (id, sig, sig2, grp, size, n, first): a number of its own, signature, group, grams, documents, and the lowest (doc_id, fp) that has it; the
     documents (doc_id, fp, sig, sig2), fp being the hash of the text; the ids of blank texts; the
-    common grams (a, n), at most COMMON."""
+    common grams in order, how often they occur, and the hot ones."""
 
     def look(batches):
         rows, held, size = [], [], 0
@@ -113,34 +124,42 @@ def _sets(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame,
             yield _seen(rows, held)
 
     seen = saved(_documents(df, id_col, text_col).mapInArrow(lean(look), _SEEN))
-    items = saved(seen.where("kind = 0").select(F.col("a").alias("doc_id"), "fp", "sig", "sig2", "grp", "size").distinct())
+    common = saved(seen.where("kind = 1").groupBy("a").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON)).toArrow()
+    grams, times = common.column("a").to_numpy().view(np.uint64), common.column("n").to_numpy()
+    order = np.argsort(grams)
+    known = df.sparkSession.sparkContext.broadcast((grams[order], times[order], np.sort(grams[times >= HOT])))  # at most COMMON * 24 bytes
+
+    def place(batches):
+        for b in batches:
+            low = b.column(5)
+            group = _groups(low.flatten().to_numpy().view(np.uint64), np.diff(low.offsets.to_numpy()), known.value[2]) if len(b) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(group)], names=["doc_id", "fp", "sig", "sig2", "size", "grp"])
+
+    rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), "fp", "sig", "sig2", "size", "low")
+    items = saved(rows.mapInArrow(place, "doc_id long, fp long, sig long, sig2 long, size int, grp long").distinct())
     every = items.groupBy("sig", "sig2", "grp", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "fp")).alias("first"))
     sets = saved(every.select(F.monotonically_increasing_id().alias("id"), "sig", "sig2", "grp", "size", "n", "first"))
-    common = seen.where("kind = 1").groupBy("a").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON)
     blank = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(r"doc_id IS NOT NULL AND (text IS NULL OR NOT text RLIKE '[^ \\t\\n\\x0B\\f\\r]')").select("doc_id").distinct()
-    return sets, items, blank, common
+    return sets, items, blank, known
 
 
-def _verified(df: DataFrame, sets: DataFrame, common: DataFrame, id_col: str, text_col: str, n: int, threshold: float, pairs: bool) -> DataFrame:
+def _verified(df: DataFrame, sets: DataFrame, known: Broadcast, id_col: str, text_col: str, n: int, threshold: float, pairs: bool) -> DataFrame:
     """The links between sets that pass, or their pairs (a, b, jaccard), by the sets' numbers."""
     docs = _documents(df, id_col, text_col)
-    common = common.toArrow()
-    hot, times = common.column("a").to_numpy().view(np.uint64), common.column("n").to_numpy()
-    order = np.argsort(hot)
-    known = docs.sparkSession.sparkContext.broadcast((hot[order], times[order]))  # at most COMMON * 16 bytes
     n_buckets = buckets_for(docs, 4 << 20)
 
     def prefixes(batches):
-        hot, times = known.value
+        hot, times, hottest = known.value
         heads, held, size, told = [], [], 0, set()
         for b in batches:
             for data in byte_views(b.column(1)):
                 g = gram_set(data, n)
                 if not len(g):
                     continue
-                sig, sig2, group = _summary(g)
+                sig, sig2, low = _summary(g)
                 if (sig, sig2) in told:  # a set that this task has just shipped
                     continue
+                group = int(_groups(low, np.array([len(low)]), hottest)[0])
                 told.add((sig, sig2))
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
@@ -192,18 +211,12 @@ def _verified(df: DataFrame, sets: DataFrame, common: DataFrame, id_col: str, te
     places = saved(dealt.groupBy("id", "n", "first").agg(F.collect_list(place).alias("places")).select("first.doc_id", "first.fp", "id", "n", "places"))
 
     def sets_of(batches):
-        held, size = defaultdict(list), 0
         for b in batches:
-            for data, i, docs_, to in zip(byte_views(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                grams = gram_set(data, n)
-                where = to.values
-                for grp, low, high, left in zip(*(where.field(x).to_pylist() for x in ("grp", "low", "high", "left"))):
-                    held[grp, low, high].append((i, docs_, left, grams))
-                    size += len(grams)
-                if size >= _HELD:
-                    yield from _sent(held)
-                    held, size = defaultdict(list), 0
-        yield from _sent(held)
+            for k, data in enumerate(byte_views(b.column(0))):
+                grams = gram_set(data, n).tobytes()
+                to = b.column(3).slice(k, 1).flatten()
+                m = len(to)
+                yield pa.RecordBatch.from_arrays([*(to.field(x) for x in ("grp", "low", "high", "left")), pa.repeat(b.column(1)[k], m), pa.repeat(b.column(2)[k], m), pa.array([grams] * m, pa.binary())], names=["grp", "low", "high", "left", "id", "n", "grams"])
 
     def verify(key, table):
         low, high = key[1].as_py(), key[2].as_py()
@@ -216,7 +229,8 @@ def _verified(df: DataFrame, sets: DataFrame, common: DataFrame, id_col: str, te
 
 
 def _seen(rows, held) -> pa.RecordBatch:
-    a, fp, sig, sig2, group, size = (np.array(x, np.int64) for x in zip(*rows))
+    *numbers, low, size = zip(*rows)
+    a, fp, sig, sig2 = (np.array(x, np.int64) for x in numbers)
     grams = np.concatenate(held)
     held.clear()
     grams.sort()
@@ -226,8 +240,10 @@ def _seen(rows, held) -> pa.RecordBatch:
     hot, times = signed(grams[first[told]]), times[told]
     k, z = len(a), np.zeros(len(hot), np.int64)
     kind = np.r_[np.zeros(k, np.int8), np.ones(len(hot), np.int8)]
-    wide = (np.r_[a, hot], np.r_[fp, z], np.r_[sig, z], np.r_[sig2, z], np.r_[group, z])
-    return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, wide), pa.array(np.r_[size, times].astype(np.int32))], names=["kind", "a", "fp", "sig", "sig2", "grp", "size"])
+    ends = np.cumsum([0, *map(len, low)])
+    lows = pa.ListArray.from_arrays(pa.array(np.r_[ends, np.full(len(hot), ends[-1])].astype(np.int32)), pa.array(signed(np.concatenate(low))))
+    wide = (np.r_[a, hot], np.r_[fp, z], np.r_[sig, z], np.r_[sig2, z])
+    return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, wide), lows, pa.array(np.r_[np.array(size), times].astype(np.int32))], names=["kind", "a", "fp", "sig", "sig2", "low", "size"])
 
 
 def _packed(heads, held, n: int) -> pa.RecordBatch:
@@ -253,24 +269,6 @@ def _packed(heads, held, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b[starts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
 
-def _sent(held: dict) -> Iterator[pa.RecordBatch]:
-    """A row for each place: its documents, and their grams, compressed together: near copies that a task sends to one place cost little more than one."""
-    squeeze = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(1, window_log=23, enable_ldm=True)).compress
-    places, blobs, size = [], [], 0
-    for place, rows in held.items():
-        head = np.array([(i, n, left, len(g)) for i, n, left, g in rows], _SET)
-        places.append(place)
-        blobs.append(np.int64(len(head)).tobytes() + head.tobytes() + squeeze(b"".join(g.tobytes() for *_, g in rows)))
-        size += len(blobs[-1])
-        if size >= 8 << 20 or len(places) == len(held):
-            grp, low, high = zip(*places)
-            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "low", "high", "rows"])
-            places, blobs, size = [], [], 0
-    if places:
-        grp, low, high = zip(*places)
-        yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "low", "high", "rows"])
-
-
 def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
     """One shard of the matrix: for each query and each group with a member that may be its smaller partner, how many of the query's prefix grams the group's union holds."""
     heads, grams = [], []
@@ -326,20 +324,12 @@ def _overlaps(table: pa.Table, threshold: float) -> pa.Table:
 
 def _verify(table: pa.Table, threshold: float, pairs: bool, within: bool) -> pa.Table:
     """Exact counts, as products of incidence matrices, of the pairs of a row of the first part with one of the second, and, if asked for, of those of the first part."""
-    heads, sets = [], []
-    for chunk in table.column("rows").chunks:
-        for x in chunk:
-            data = x.as_buffer()
-            k = int(np.frombuffer(data, np.int64, 1)[0])
-            head = np.frombuffer(data, _SET, k, 8)
-            grams = np.frombuffer(zstandard.decompress(memoryview(data)[8 + k * _SET.itemsize :]), np.uint64)
-            heads.append(head)
-            sets += np.split(grams, np.cumsum(head["size"].astype(np.int64))[:-1])
-    head = np.concatenate(heads)
-    order = np.lexsort((head["id"], ~head["left"]))
-    head, sets = head[order], [sets[i] for i in order]
-    ids, left, links = head["id"], head["left"], Links(head["n"])
-    size = head["size"].astype(np.int64)
+    ids, left = table.column("id").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, ~left))
+    ids, left, links = ids[order], left[order], Links(table.column("n").to_numpy()[order])
+    blobs = [x.as_buffer() for c in table.column("grams").chunks for x in c]
+    sets = [np.frombuffer(blobs[i], np.uint64) for i in order]
+    size = np.array([len(x) for x in sets], np.int64)
     who = np.repeat(np.arange(len(sets)), size)
     grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     by = np.argsort(grams, kind="stable")
@@ -409,8 +399,8 @@ def _pair_counts(run: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with one document, the lowest id, of each class of ``near_classes``; of several texts of that id in one class, one stays. Documents without near copies, and rows
     without id or with a null or blank text, stay. Repeated rows stay or go together. An empty table stays empty. The columns are those of ``df``, whatever their names."""
-    sets, items, _, common = _sets(df, id_col, text_col, n)
-    found = saved(classes(saved(_verified(df, sets, common, id_col, text_col, n, threshold, False)), sets.select("id", "first")))
+    sets, items, _, known = _sets(df, id_col, text_col, n)
+    found = saved(classes(saved(_verified(df, sets, known, id_col, text_col, n, threshold, False)), sets.select("id", "first")))
     # of a class one document stays; a set that has no links keeps its lowest one
     known = saved(checked_join(sets, found, "id", "left").where("n > 1 OR class_id <> first").select("sig", "sig2", F.coalesce("class_id", "first").alias("stays")))
     gone = checked_join(items, known, ["sig", "sig2"]).where(F.struct("doc_id", "fp") != F.col("stays"))
