@@ -6,12 +6,9 @@ space). Words are compared through 64-bit hashes, so everything that follows sta
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import math
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 #: A side of a join is broadcast up to this estimate; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -36,32 +35,6 @@ _VALUE = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4
 # ---------------------------------------------------------------- tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own is set."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not told:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill-"))
-        told = spark.sparkContext.getCheckpointDir()
-    return told.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, and the loss of an executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001  the session is gone at exit; the folder's owner clears it
-        return
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the plan's size; for a scan, that of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

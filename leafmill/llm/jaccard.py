@@ -19,6 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import swept
 from .common import BROADCAST_BYTES, LINKS, Links, buckets_for, byte_views, checked_join, classes, documents, gram_set, lean, mix, saved, signed, trim
 
 N, THRESHOLD = 3, 0.6
@@ -188,6 +189,7 @@ def _verified(df: DataFrame, sets: DataFrame, known: Broadcast, id_col: str, tex
     # one's grams. So a pair at the threshold has found at least this many, counted against the union of the group:
     enough = F.greatest(F.lit(1), F.ceil(threshold * F.col("size") - 1e-9) - F.floor((1 - PREFIX) * F.col("size")))
     visits = saved(bound.groupBy("sig", "grp").agg(F.sum("found").alias("found"), F.max("size").alias("size")).where(F.col("found") >= enough).select("sig", "grp"))
+    swept(df.sparkSession)  # the prefixes that were shuffled
 
     members = sets.select("id", "sig", "n", "first", "grp")
     sizes = saved(members.groupBy("grp").agg(F.count("*").alias("members")))

@@ -1,7 +1,7 @@
 """Packing documents into sequences of a fixed number of words by a grouping genetic algorithm on islands.
 
 A document longer than a sequence fills whole ones; what is left of it, and every other document, is an item. Items are dealt into
-blocks by a hash of their id. Each block is bred on several islands, each a row of its own: crossover injects whole well-filled bins of one
+blocks by a hash. Each block is bred on several islands, each a row of its own: crossover injects whole well-filled bins of one
 parent into another, removes the bins that hold their items already, and best-fits the displaced ones, longest first. After each epoch an
 island's elite moves to the next island; at last the best packing of a block wins. Nothing depends on how the rows are partitioned.
 """
@@ -22,6 +22,8 @@ CAPACITY = 2048
 #: Items of a block, islands of a block, epochs, generations in an epoch, individuals of an island, of which so many move on.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 1024, 3, 3, 4, 5, 2
 
+#: Rows of one id and length that are laid out at once.
+_RUN = 65_536
 #: Rows of a block and an island that a task has at most, once there are more than four a core.
 TASK = 64
 
@@ -121,9 +123,11 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     id no name: they are left out. An empty table gives an empty result. Other columns are ignored."""
     lengths = df.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(F.col(text_col), F.lit(r"[^ \t\n\x0B\f\r]+")).alias("n")).where("doc_id IS NOT NULL AND n > 0")
     small_batches(df.sparkSession)
-    lengths = saved(lengths)
-    n_blocks = max(1, round(lengths.count() / BLOCK))
-    blocks = lengths.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("n", "doc_id")), asc=False).alias("items"))
+    # rows of one id and length are counted, then dealt by their place among them: an id of very many rows is in many blocks
+    counted = saved(lengths.groupBy("doc_id", "n").agg(F.count("*").alias("rows")))
+    n_blocks = max(1, round((counted.agg(F.sum("rows")).first()[0] or 0) / BLOCK))
+    several = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / _RUN)))).withColumn("place", F.explode(F.sequence(F.col("run") * _RUN, F.least((F.col("run") + 1) * _RUN, "rows") - 1)))
+    blocks = several.groupBy(F.pmod(F.xxhash64("doc_id", "n", "place"), F.lit(n_blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("n", "doc_id")), asc=False).alias("items"))
     none = F.array().cast("array<binary>")
     state = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("items.doc_id").alias("ids"), F.col("items.n").alias("sizes"), none.alias("population"), none.alias("guests"), F.lit(0.0).alias("fitness"))
 

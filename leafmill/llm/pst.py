@@ -25,7 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, byte_views, documents, lean, saved, shared_dir, trim
+from ..storage import shared_dir
+from .common import buckets_for, byte_views, documents, lean, saved, trim
 
 DEPTH, BITS = 5, 7
 #: Nats that a retained context gains at least.

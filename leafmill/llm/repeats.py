@@ -1,7 +1,7 @@
 """Exact repeated passages by suffix arrays over shards.
 
 A passage is a run of at least ``length`` words that occurs more than once in the corpus. Every run of ``length`` words has an
-owner: its smallest ``gram``-word hash (the leftmost of equals). Equal runs have equal owners, so the corpus is cut into
+owner: its smallest ``gram``-word hash (the leftmost of equals), those aside that very many places have: only a run of nothing else has one of them. Equal runs have equal owners, so the corpus is cut into
 *contexts* - the words of all runs that one owner position has - and sharded by the owner's hash; any two equal runs meet in one
 shard. Contexts whose owner occurs nowhere else cannot hold a repeat and go no further; equal contexts are held once and
 remember their copies. Each shard's distinct contexts are then concatenated, their suffix array is induced (``sais``), and the
@@ -9,7 +9,8 @@ permuted longest common prefixes cut it where neighbours share fewer than ``leng
 its first occurrence is the one with the lowest (doc_id, position).
 
 No text is shuffled before it is known to share an owner, no document is compared with another, and a passage that thousands
-share costs one row for each.
+share costs one row for each. However many share one, between whatever words: what surrounds it has other owners, its own contexts are equal, and of
+equal contexts a task sends one to their owner; the others are joined to what became of that one.
 """
 
 from __future__ import annotations
@@ -19,18 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import swept
 from .common import BROADCAST_BYTES, Grams, buckets_for, byte_views, checked_join, documents, lean, saved, signed, told_apart, trim, words
 from .sais import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 50, 16
+#: A gram is hot from so many places on, of those that a task told of as it had it ``TOLD`` times; the most frequent ``HOTTEST`` are kept. Whichever are, the result is the same.
+HOT, TOLD, HOTTEST = 2000, 8, 1 << 18
 _FLUSH = 1_000_000
-_ANCHOR = np.dtype([("owner", "i8"), ("context", "i8"), ("doc_id", "i8"), ("at", "i4"), ("runs", "i4")])
-_GROUPED = "shared boolean, is_copy boolean, owner long, doc_id long, at int, runs int, first_doc long, first_at int"
+_ANCHOR = np.dtype([("owner", "i8"), ("context", "i8"), ("doc_id", "i8"), ("at", "i4"), ("runs", "i4"), ("n", "i4")])
+_GROUPED = "shared boolean, is_copy boolean, owner long, context long, doc_id long, at int, runs int, first_doc long, first_at int"
 _CONTEXT = "shard int, doc_id long, at int, runs int, words binary"
 _PIECE = "doc_id long, at int, offset int, runs int, first_doc long, first_start int"
 
 
-def owners(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def owners(hashes: np.ndarray, length: int, gram: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(owner hash, context hash, first run, number of runs) of each owner position of a text; empty if it has no run of ``length`` words."""
     n, width = len(hashes), length - gram + 1
     if n < length:
@@ -38,11 +42,14 @@ def owners(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
         return z.view(np.uint64), z.view(np.uint64), z, z
     grams = Grams(hashes)
     g = grams.every(gram)
+    rank = g >> np.uint64(1)
+    if hot is not None and len(hot):  # sorted; what is hot comes after all else
+        rank |= (hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g).astype(np.uint64) << np.uint64(63)
     best, span = np.arange(len(g)), 1
     while span < width:  # leftmost smallest of `span` grams from each position on, doubling
         step = min(span, width - span)
         a, b = best[: len(best) - step], best[step:]
-        best = np.where(g[b] < g[a], b, a)
+        best = np.where(rank[b] < rank[a], b, a)
         span += step
     first = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
     runs = np.diff(np.r_[first, len(best)])
@@ -51,7 +58,7 @@ def owners(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     return g[place], context, first, runs
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, first_start_word): each maximal passage whose runs of ``length`` words occur
     earlier in the corpus, in one place, by (doc_id, position); words are counted from 0.
 
@@ -60,7 +67,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result. Other columns are ignored, whatever their names.
     """
     docs, names = told_apart(documents(df, id_col, text_col))
-    found = _passages(docs, length, gram)
+    found = _passages(docs, length, gram, hot)
     if names is None:
         return found
     for c in ("doc_id", "first_doc_id"):
@@ -68,15 +75,46 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", "start_word", "n_words", "first_doc_id", "first_start_word")
 
 
-def _passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _hot_grams(docs: DataFrame, length: int, gram: int, hot: int) -> np.ndarray:
+    """The grams that occur in ``hot`` places or more, in order."""
+
+    def count(batches):
+        held, size = [], 0
+        for b in batches:
+            for data in byte_views(b.column(1)):
+                h, _, _ = words(data)
+                if len(h) >= length:
+                    held.append(Grams(h).every(gram))
+                    size += len(held[-1])
+                if size >= 4 * _FLUSH:
+                    yield _told(held, min(TOLD, hot))
+                    held, size = [], 0
+        if held:
+            yield _told(held, min(TOLD, hot))
+
+    counted = docs.mapInArrow(lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= hot)
+    return np.sort(counted.orderBy(F.desc("n"), "gram").limit(HOTTEST).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _told(held: list[np.ndarray], least: int) -> pa.RecordBatch:
+    g = np.concatenate(held)
+    g.sort()
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    n = np.diff(np.r_[first, len(g)])
+    often = n >= least
+    return pa.RecordBatch.from_arrays([pa.array(signed(g[first[often]])), pa.array(n[often].astype(np.int64))], names=["gram", "n"])
+
+
+def _passages(docs: DataFrame, length: int, gram: int, hot: int = HOT) -> DataFrame:
     n_buckets = buckets_for(docs, 4 << 20)
+    known = docs.sparkSession.sparkContext.broadcast(_hot_grams(docs, length, gram, hot))  # at most HOTTEST * 8 bytes
 
     def anchors(batches):
         held, size = [], 0
         for b in batches:
             for doc, data in zip(b.column(0).to_numpy(zero_copy_only=False), byte_views(b.column(1))):
                 h, _, _ = words(data)
-                owner, context, first, runs = owners(h, length, gram)
+                owner, context, first, runs = owners(h, length, gram, known.value)
                 if len(first):
                     rows = np.empty(len(first), _ANCHOR)
                     rows["owner"], rows["context"], rows["doc_id"], rows["at"], rows["runs"] = signed(owner), signed(context), doc, first, runs
@@ -88,14 +126,27 @@ def _passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield _packed(np.concatenate(held), n_buckets)
 
+    def unpack(batches):
+        for b in batches:
+            for x in b.column(0):
+                rows = np.frombuffer(x.as_buffer(), _ANCHOR)
+                names = ("owner", "context", "doc_id", "at", "runs")
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[k])) for k in names], names=names)
+
     def group(key, table):
         rows = np.concatenate([np.frombuffer(x.as_buffer(), _ANCHOR) for c in table.column("rows").chunks for x in c])
         out = pa.Table.from_batches([_grouped(rows)])
         trim()
         return out
 
-    packed = docs.mapInArrow(lean(anchors), "bucket int, rows binary")
-    grouped = saved(packed.groupBy("bucket").applyInArrow(group, _GROUPED))
+    packed = saved(docs.mapInArrow(lean(anchors), "bucket int, rows binary"))
+    grouped = saved(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(group, _GROUPED))
+    swept(docs.sparkSession)  # the anchors that were shuffled
+    firsts = grouped.where("NOT is_copy").select("owner", "context", "shared", F.col("doc_id").alias("first_doc"), F.col("at").alias("first_at"))
+    again = packed.where("bucket < 0").select("rows").mapInArrow(unpack, "owner long, context long, doc_id long, at int, runs int")
+    again = checked_join(again, firsts, ["owner", "context"]).where("doc_id <> first_doc OR at <> first_at")
+    columns = ["shared", "doc_id", "at", "runs", "first_doc", "first_at"]
+    copies = saved(grouped.where("is_copy").select(*columns).unionByName(again.select(*columns)).distinct())
 
     wanted = grouped.where("shared AND NOT is_copy").select("doc_id", F.struct("owner", "at", "runs").alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("contexts"))
     ids = saved(grouped.where("shared AND NOT is_copy").select("doc_id").distinct())
@@ -123,7 +174,6 @@ def _passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     # a first context keeps what is new in it; a copy of it has all from elsewhere: from where the first context has it, or from that context
     own = pieces.where("first_doc <> doc_id OR first_start <> at + offset").select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "runs", "first_doc", "first_start")
-    copies = grouped.where("is_copy")
     plain = copies.where("NOT shared").select("doc_id", F.col("at").alias("start"), "runs", "first_doc", F.col("first_at").alias("first_start"))
     p = pieces.select(F.col("doc_id").alias("first_doc"), F.col("at").alias("first_at"), "offset", F.col("runs").alias("piece_runs"), F.col("first_doc").alias("src_doc"), F.col("first_start").alias("src_start"))
     through = copies.where("shared").select("doc_id", "at", "first_doc", "first_at").join(p, ["first_doc", "first_at"]).select("doc_id", (F.col("at") + F.col("offset")).alias("start"), F.col("piece_runs").alias("runs"), F.col("src_doc").alias("first_doc"), F.col("src_start").alias("first_start"))
@@ -137,35 +187,40 @@ def _passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _packed(rows: np.ndarray, n: int) -> pa.RecordBatch:
+    """The first of each context to its owner's bucket, with how many there are; the others to none."""
+    rows = rows[np.lexsort((rows["at"], rows["doc_id"], rows["context"], rows["owner"]))]
+    first = np.flatnonzero(np.r_[True, (rows["owner"][1:] != rows["owner"][:-1]) | (rows["context"][1:] != rows["context"][:-1])])
+    others = np.ones(len(rows), bool)
+    others[first] = False
+    others, times = rows[others], np.diff(np.r_[first, len(rows)])
+    rows = rows[first]
+    rows["n"] = times
     bucket = ((rows["owner"].view(np.uint64) >> np.uint64(11)) % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     ends = np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], True]) + 1
     starts = np.r_[0, ends[:-1]]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["bucket", "rows"])
+    parts = range(0, len(others), 65_536)
+    blobs = [rows[a:b].tobytes() for a, b in zip(starts, ends)] + [others[k : k + 65_536].tobytes() for k in parts]
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[bucket[starts], np.full(len(parts), -1)], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
 
 def _grouped(rows: np.ndarray) -> pa.RecordBatch:
     """Of one bucket's anchors, those whose owner occurs more than once; copies point to the first of their context."""
-    order = np.argsort(rows["owner"], kind="stable")
-    o = rows["owner"][order]
-    again = np.zeros(len(o), bool)
-    again[1:] = o[1:] == o[:-1]
-    again[:-1] |= again[1:].copy()
-    rows = rows[order[again]]
     rows = rows[np.lexsort((rows["at"], rows["doc_id"], rows["context"], rows["owner"]))]
     o, c = rows["owner"], rows["context"]
     new_owner = np.r_[True, o[1:] != o[:-1]][: len(rows)]
     new = new_owner | np.r_[True, c[1:] != c[:-1]][: len(rows)]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(rows) else np.zeros(0, np.int64)
-    contexts = np.bincount(np.cumsum(new_owner) - 1, weights=new) if len(rows) else np.zeros(0)
-    shared = contexts[np.cumsum(new_owner) - 1] > 1 if len(rows) else np.zeros(0, bool)
+    own, which = np.cumsum(new_owner) - 1, np.cumsum(new) - 1
+    first = np.flatnonzero(new)[which] if len(rows) else which
+    shared = np.bincount(own, weights=new)[own] > 1 if len(rows) else np.zeros(0, bool)
+    several = np.bincount(which, weights=rows["n"])[which] > 1 if len(rows) else np.zeros(0, bool)
     itself = (rows["doc_id"] == rows["doc_id"][first]) & (rows["at"] == rows["at"][first]) & ~new  # a repeated row
-    keep = ~itself & (shared | ~new)
+    keep = ~itself & (shared | several)
     rows, first, shared, new = rows[keep], rows[first[keep]], shared[keep], new[keep]
     return pa.RecordBatch.from_arrays(
-        [pa.array(shared), pa.array(~new), *(pa.array(np.ascontiguousarray(rows[k])) for k in ("owner", "doc_id", "at", "runs")), pa.array(np.ascontiguousarray(first["doc_id"])), pa.array(np.ascontiguousarray(first["at"]))],
-        names=["shared", "is_copy", "owner", "doc_id", "at", "runs", "first_doc", "first_at"],
+        [pa.array(shared), pa.array(~new), *(pa.array(np.ascontiguousarray(rows[k])) for k in ("owner", "context", "doc_id", "at", "runs")), pa.array(np.ascontiguousarray(first["doc_id"])), pa.array(np.ascontiguousarray(first["at"]))],
+        names=["shared", "is_copy", "owner", "context", "doc_id", "at", "runs", "first_doc", "first_at"],
     )
 
 

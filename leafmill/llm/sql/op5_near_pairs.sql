@@ -7,6 +7,6 @@ o AS (SELECT a.d AS a, b.d AS b, count(*) AS c, any_value(a.n) AS na, any_value(
 e AS (SELECT a, b, docs FROM o JOIN f ON f.d = b WHERE c / (na + nb - c) >= 0.6 - 1e-12),
 r AS (SELECT d, d AS c FROM f UNION SELECT e.b, r.c FROM r JOIN e ON r.d = e.a),
 k AS (SELECT d, min(c) AS c FROM r GROUP BY d),
-n AS (SELECT a AS d, sum(docs) AS n FROM e GROUP BY a)
-SELECT doc_id, c AS class_id, (coalesce(n, 0) + docs - 1)::BIGINT AS n_links FROM s JOIN f USING (s) JOIN k USING (d) LEFT JOIN n USING (d)
+l AS (SELECT a AS d, sum(docs) AS near FROM e GROUP BY a)
+SELECT doc_id, c AS class_id, (coalesce(near, 0) + docs - 1)::BIGINT AS n_links FROM s JOIN f USING (s) JOIN k USING (d) LEFT JOIN l USING (d)
 UNION ALL SELECT DISTINCT doc_id, doc_id, 0::BIGINT FROM documents WHERE doc_id IS NOT NULL AND (text IS NULL OR NOT regexp_matches(text, '[^ \t\n\r\f\v]'))

@@ -64,11 +64,15 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram", [(50, 16), (12, 4)])
-def test_repeated_passages(spark, length, gram):
+@pytest.mark.parametrize("length,gram,hot", [(50, 16, 2000), (12, 4, 2000), (50, 16, 2), (12, 4, 3), (12, 4, 8)])
+def test_repeated_passages(spark, length, gram, hot):
     texts = corpus()
+    if hot < 2000:  # a passage that many share, between words of their own
+        rng = random.Random(12)
+        shared = [rng.choice(VOCABULARY) for _ in range(55)]
+        texts += [(400 + k, " ".join([f"a{k}x{j}" for j in range(20)] + shared + [f"b{k}x{j}" for j in range(20)])) for k in range(40)]
     got = set()
-    for r in repeats.repeated_passages(frame(spark, texts), length=length, gram=gram).collect():
+    for r in repeats.repeated_passages(frame(spark, texts).repartition(3), length=length, gram=gram, hot=hot).collect():
         for k in range(r.n_words - length + 1):
             got.add((r.doc_id, r.start_word + k, r.first_doc_id, r.first_start_word + k))
     assert got == brute_repeats(texts, length)
