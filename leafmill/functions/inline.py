@@ -47,7 +47,7 @@ def escape_text(text: str, start: bool) -> str:
     head = r"(?m)^" if start else r"(?m)(?<=\n)"
     out = re.sub(head + r"([#\-+>=|])", r"\\\1", out)
     out = re.sub(head + r"(\d{1,9})([.)])", r"\1\\\2", out)
-    if start and out[:1] in " \t":
+    if start and out and out[0] in " \t":
         out = ("&#32;" if out[0] == " " else "&#9;") + out[1:]
     return out
 
@@ -132,6 +132,16 @@ def inline_markdown(spans: Column | str) -> Column:
     return F.pandas_udf(_rendered, "string")(F.col(spans) if isinstance(spans, str) else spans)
 
 
+def _rendered_mid(batch: pd.Series) -> pd.Series:
+    return batch.map(lambda s: None if s is None else render(tree(s), " "))
+
+
+def heading_markdown(spans: Column | str) -> Column:
+    """The same of spans that follow a heading's marks, on one line."""
+    c = F.pandas_udf(_rendered_mid, "string")(F.col(spans) if isinstance(spans, str) else spans)
+    return F.regexp_replace(F.regexp_replace(c, r"[\r\n]+", " "), r"(^|[ \t])(#+[ \t]*)$", r"$1\\$2")
+
+
 def inline_text(spans: Column | str, notes: bool = False) -> Column:
     """The text of an array of spans, inside the JVM; with ``notes``, references as they are shown."""
     c = F.col(spans) if isinstance(spans, str) else spans

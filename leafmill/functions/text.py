@@ -48,6 +48,30 @@ def normalize_title(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(x)), r"[^\p{IsAlphabetic}\p{N}]+", " "))
 
 
+def normal_title(title: str) -> str:
+    """``normalize_title`` of one string."""
+    return " ".join("".join(c if c.isalnum() else " " for c in title.lower()).split())
+
+
+def title_mask(lines: list[str], titles: list[str], longest: int = 3) -> list[bool]:
+    """Which lines of a page print its titles again: each title, in turn, claims the first run of up to ``longest`` lines that no other has claimed, that none of is without letters and
+    digits, and that together are the title."""
+    claimed, norm = [False] * len(lines), [normal_title(x) for x in lines]
+    for want in filter(None, map(normal_title, titles)):
+        for start in range(len(lines)):
+            joined = ""
+            for i in range(start, min(start + longest, len(lines))):
+                if claimed[i] or not norm[i]:
+                    break
+                joined = f"{joined} {norm[i]}" if joined else norm[i]
+                if joined == want:
+                    break
+            if joined == want:
+                claimed[start : i + 1] = [True] * (i + 1 - start)
+                break
+    return claimed
+
+
 def _lower(x: Column) -> Column:
     return F.lower(F.translate(x, "Σ", "σ"))  # letter by letter: no final sigma
 
@@ -58,6 +82,24 @@ def anchor_slug(x: Column | str) -> Column:
     return F.coalesce(F.nullif(F.replace(kept, F.lit(" "), F.lit("-")), F.lit("")), F.when(_c(x).isNotNull(), F.lit("section")))
 
 
+def anchor_of(title: str) -> str:
+    """``anchor_slug`` of one title."""
+    folded = re.sub(r"[\r\n]+", " ", title).strip()
+    lower = "".join("σ" if c == "Σ" else c.lower() for c in folded)
+    return "".join("-" if c == " " else c for c in lower if c in "- " or _is_word(c)) or "section"
+
+
+def anchors_of(titles: list[str]) -> list[str]:
+    """The anchors of a file's headings, in order."""
+    seen: dict[str, int] = {}
+    out = []
+    for base in map(anchor_of, titles):
+        n = seen.get(base, 0)
+        seen[base] = n + 1
+        out.append(f"{base}-{n}" if n else base)
+    return out
+
+
 def _is_word(c: str) -> bool:
     k = unicodedata.category(c)
     return c.isalpha() or k[0] == "M" or k in ("Nd", "Nl", "Pc") or k == "So" and "Ⓐ" <= c <= "ⓩ"
@@ -199,6 +241,27 @@ def escape_flow(x: Column | str) -> Column:
     return F.regexp_replace(out, "^\t", "&#9;")
 
 
+def escape_mid(x: Column | str) -> Column:
+    """Text that stands within a line, so that it stays text."""
+    return F.regexp_replace(F.regexp_replace(_c(x), r"([\\`*_\[\]<~$])", r"\\$1"), r"&(?=#\d+;|#[xX][0-9a-fA-F]+;|[A-Za-z0-9]+;)", "\\\\&")
+
+
+def label(x: Column | str) -> Column:
+    """A link's label or an image's text, on one line."""
+    return fold_newlines(escape_mid(x))
+
+
+def title_line(x: Column | str, level: Column) -> Column:
+    """A file's title as its first heading, of a level from 1 to 6."""
+    return F.concat(F.repeat(F.lit("#"), F.least(F.greatest(level, F.lit(1)), F.lit(6))), F.lit(" "), atx_closing(escape_mid(fold_newlines(x))))
+
+
+def html_table(rows: Column) -> Column:
+    """A table with merged cells: HTML, whose first row is the header."""
+    line = lambda tag: lambda cells: F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), html_text(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>\n"))
+    return F.concat(F.lit("<table>\n"), line("th")(F.get(rows, F.lit(0))), F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line("td")), ""), F.lit("</table>\n"))
+
+
 def escape_cell(x: Column | str) -> Column:
     """Text of a table's cell."""
     out = F.regexp_replace(_c(x), r"([\\`*_\[\]<~$|])", r"\\$1")

@@ -6,28 +6,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_title
+from ..functions.text import normalize_title, title_mask, trim_unicode
 
 
-def group_lines(runs: DataFrame) -> DataFrame:
-    """``runs`` (doc_id, page, seq, x, y, size, text) with ``line`` from 1: from the top down, and from left to right, a run joins the line while its y differs from that of
-    the line's first run by at most half its own size, 2 at least. The state is one number a line, so a page folds inside the JVM."""
-    page = runs.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "seq", "y", "size", "text"))).alias("runs"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("y"), F.array().cast("array<int>").alias("out"))
+def _line_numbers(ys: pd.Series, sizes: pd.Series) -> pd.Series:
+    def fold(y, size) -> list[int]:
+        n, first, out = 0, None, []
+        for a, b in zip(y.tolist(), size.tolist()):
+            if first is None or abs(first - a) > max(0.5 * b, 2.0):
+                n, first = n + 1, a
+            out.append(n)
+        return out
+
+    return pd.Series([fold(y, s) for y, s in zip(ys, sizes)])
 
-    def step(acc, r):
-        same = acc["y"].isNotNull() & (F.abs(acc["y"] - r["y"]) <= F.greatest(r["size"] * 0.5, F.lit(2.0)))
-        n = F.when(same, acc["n"]).otherwise(acc["n"] + 1)
-        return F.struct(n.alias("n"), F.when(same, acc["y"]).otherwise(r["y"].cast("double")).alias("y"), F.concat(acc["out"], F.array(n)).alias("out"))
 
-    lines = F.aggregate("runs", start, step)["out"]
-    z = page.select("doc_id", "page", F.explode(F.arrays_zip(F.col("runs").alias("r"), lines.alias("line"))).alias("z"))
+def group_lines(runs: DataFrame) -> DataFrame:
+    """``runs`` (doc_id, page, seq, x, y, size, text) with ``line`` from 1: from the top down, and from left to right, a run joins the line while its y differs from that of
+    the line's first run by at most half its own size, 2 at least. A page is folded in one pass over two arrays of numbers."""
+    page = runs.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "seq", "y", "size", "text"))).alias("r"))
+    folded = page.withColumn("line", F.pandas_udf(_line_numbers, "array<int>")(F.col("r.y").cast("array<double>"), F.col("r.size").cast("array<double>")))
+    z = folded.select("doc_id", "page", F.explode(F.arrays_zip("r", "line")).alias("z"))
     return z.select("doc_id", "page", F.col("z.line").alias("line"), F.col("z.r.seq").alias("seq"), F.col("z.r.x").alias("x"), F.col("z.r.y").alias("y"), F.col("z.r.size").alias("size"), F.col("z.r.text").alias("text"))
 
 
 def lines(grouped: DataFrame) -> DataFrame:
-    """(doc_id, page, line, x, y, size, text) of ``group_lines``: the leftmost x, the first run's y, the largest size, the texts in a row."""
-    return grouped.groupBy("doc_id", "page", "line").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("size").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "seq", "text"))), lambda r: r["text"]), " ").alias("text"))
+    """(doc_id, page, line, x, y, size, text) of ``group_lines``: the leftmost x, the first run's y, the largest size, and the runs' texts from the top down and from left to right, trimmed,
+    with a space before each that doesn't begin with one. Lines of no text go."""
+    runs = F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "seq", "text")))
+    piece = lambda r: F.concat(F.when(F.startswith(r["text"], F.lit(" ")), F.lit("")).otherwise(F.lit(" ")), trim_unicode(r["text"]))
+    text = trim_unicode(F.array_join(F.transform(runs, piece), ""))
+    return grouped.groupBy("doc_id", "page", "line").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("size").alias("size"), text.alias("text")).where("text <> ''")
 
 
 def body_size(lines_: DataFrame, size: str = "size") -> DataFrame:
@@ -88,24 +97,34 @@ def recognised_lines(words: DataFrame) -> DataFrame:
 
 
 def recognition_outcome(lines_: DataFrame, force_text: bool = False, min_chars: int = 8, min_conf: float = 60.0) -> DataFrame:
-    """(doc_id, page, chars, conf, outcome) of recognised lines: ``text`` if there is enough of it and it is sure enough, or forced and there is any; ``note`` if forced and there is none; else ``fallback``."""
+    """(doc_id, page, chars, conf, outcome) of recognised lines: ``text`` if they have ``min_chars`` characters and, unless it is forced, are sure enough; else ``note`` if it is forced, and
+    ``fallback`` if not."""
     solid = F.trim("text") != ""
     x = lines_.groupBy("doc_id", "page").agg(F.sum(F.length(F.trim("text"))).alias("chars"), F.avg(F.when(solid, F.col("conf"))).alias("conf"))
+    enough = F.col("chars") >= min_chars
     if force_text:
-        return x.withColumn("outcome", F.when(F.col("chars") > 0, "text").otherwise("note"))
-    return x.withColumn("outcome", F.when((F.col("chars") >= min_chars) & (F.col("conf") >= min_conf), "text").otherwise("fallback"))
+        return x.withColumn("outcome", F.when(enough, "text").otherwise("note"))
+    return x.withColumn("outcome", F.when(enough & (F.coalesce("conf", F.lit(0.0)) >= min_conf), "text").otherwise("fallback"))
+
+
+def recognised_page_lines(lines_: DataFrame, upward: bool = True) -> DataFrame:
+    """Recognised lines as a page's own, (doc_id, page, line, x, y, size, text): ``upward`` where a page's y grows to the top, as in PDF, so the tops are negated; else with ``para_start``,
+    which recognition doesn't tell, as of zones."""
+    order = Window.partitionBy("doc_id", "page").orderBy("block", "par", "line")
+    x = lines_.select("doc_id", "page", F.row_number().over(order).alias("line"), F.col("left").alias("x"), (-F.col("top") if upward else F.col("top")).alias("y"), (F.col("bottom") - F.col("top")).alias("size"), "text")
+    return x if upward else x.withColumn("para_start", F.lit(False))
 
 
 def printed_titles(lines_: DataFrame, titles: DataFrame) -> DataFrame:
     """``lines_`` (doc_id, page, line, text) with ``printed``: each title of (doc_id, page, seq, title), in turn, claims the page's first one, two or three consecutive lines that no
-    other has claimed and that together, compared as titles are, equal it. Where a page has one title, which is most, this is decided by windows and joins; the claims of several
-    depend on each other, and their pages are folded one by one."""
+    other has claimed and that together, compared as titles are, equal it; a line without letters and digits is no part of any. Where a page has one title, which is most, this is
+    decided by windows and joins; the claims of several depend on each other, and their pages are folded one by one."""
     many = titles.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("seq", normalize_title("title").alias("t")))).alias("ts"))
     single = many.where("size(ts) = 1").select("doc_id", "page", F.col("ts")[0]["t"].alias("t")).where("t <> ''")
     w = Window.partitionBy("doc_id", "page").orderBy("line")
-    x = lines_.withColumn("n1", normalize_title("text"))
-    x = x.withColumn("b", F.lead("text", 1).over(w)).withColumn("c", F.lead("text", 2).over(w))
-    x = x.withColumn("n2", normalize_title(F.concat("text", F.lit(" "), "b"))).withColumn("n3", normalize_title(F.concat("text", F.lit(" "), "b", F.lit(" "), "c"))).withColumn("pos", F.row_number().over(w))
+    x = lines_.withColumn("n1", F.nullif(normalize_title("text"), F.lit("")))
+    x = x.withColumn("b", F.lead("n1", 1).over(w)).withColumn("c", F.lead("n1", 2).over(w))
+    x = x.withColumn("n2", F.concat("n1", F.lit(" "), "b")).withColumn("n3", F.concat("n1", F.lit(" "), "b", F.lit(" "), "c")).withColumn("pos", F.row_number().over(w))
     m = x.join(single, ["doc_id", "page"]).withColumn("run", F.when(F.col("n1") == F.col("t"), 1).when(F.col("n2") == F.col("t"), 2).when(F.col("n3") == F.col("t"), 3)).where("run IS NOT NULL")
     first = m.groupBy("doc_id", "page").agg(F.min(F.struct("pos", "run")).alias("f")).select("doc_id", "page", F.col("f.pos").alias("at"), F.col("f.run").alias("run"))
     one = x.join(first, ["doc_id", "page"], "left").withColumn("printed", F.coalesce((F.col("pos") >= F.col("at")) & (F.col("pos") < F.col("at") + F.col("run")), F.lit(False)))
@@ -117,19 +136,9 @@ def printed_titles(lines_: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def _claims(columns: list[str]):
-    import re
-
-    def norm(s: str) -> str:
-        return re.sub(r"[\W_]+", " ", s.lower()).strip()
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line").reset_index(drop=True)
-        mask, texts = [False] * len(pdf), pdf["text"].tolist()
-        for t in pdf["ts"][0]:
-            spot = next(((i, k) for i in range(len(texts)) for k in (1, 2, 3) if t and i + k <= len(texts) and not any(mask[i : i + k]) and norm(" ".join(texts[i : i + k])) == t), None)
-            if spot:
-                mask[spot[0] : sum(spot)] = [True] * spot[1]
-        return pdf[columns].assign(printed=mask)
+        return pdf[columns].assign(printed=title_mask(pdf["text"].tolist(), list(pdf["ts"][0])))
 
     return run
 
@@ -158,8 +167,9 @@ def zone_lines(zones: DataFrame) -> DataFrame:
 
 def outline_levels(bookmarks: DataFrame) -> DataFrame:
     """(doc_id, page, node_path, level, title) of bookmarks (doc_id, node_path, title, url): the level is the depth, 6 at most; the page that of a ``#N`` address, 0 for any other;
-    a blank title drops its whole subtree."""
+    a blank title drops its whole subtree: a bookmark's ancestors are exploded and equi-joined."""
     blank = bookmarks.where("trim(title) = ''").select("doc_id", F.col("node_path").alias("above"))
-    dead = bookmarks.join(blank, "doc_id").where(F.slice("node_path", F.lit(1), F.size("above")) == F.col("above")).select("doc_id", "node_path")
+    up = bookmarks.select("doc_id", "node_path", F.explode(F.transform(F.sequence(F.lit(1), F.size("node_path")), lambda k: F.slice("node_path", F.lit(1), k))).alias("above"))
+    dead = up.join(blank, ["doc_id", "above"]).select("doc_id", "node_path").distinct()
     page = F.coalesce(F.expr("try_cast(regexp_extract(trim(url), '^#([0-9]+)$', 1) AS int)"), F.lit(0))
     return bookmarks.join(dead, ["doc_id", "node_path"], "left_anti").select("doc_id", page.alias("page"), "node_path", F.least(F.size("node_path"), F.lit(6)).alias("level"), F.trim("title").alias("title"))

@@ -6,49 +6,102 @@ import os
 import shutil
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.inline import inline_markdown
-from ..functions.text import code_block, comment_note, gfm_table, math_block
+from ..functions.inline import heading_markdown, inline_markdown
+from ..functions.text import code_block, comment_note, dest_path, footnote_body, gfm_table, html_table, label, math_block, title_line
 from ..sources import containers as C
+from ..storage import saved
 from . import batch, structure
 
 
 def rendered(blocks: DataFrame) -> DataFrame:
-    """``blocks`` of ``containers.block_rows`` with ``markdown``: each kind in its form; headings have none, they are the files' titles or their own lines."""
+    """``blocks`` of ``containers.block_rows`` with ``markdown``: each kind in its form; an item without its mark."""
     line = inline_markdown("spans")
-    marker = F.concat(F.repeat(F.lit("   "), F.coalesce("depth", F.lit(0))), F.when(F.col("ordered"), F.lit("1. ")).otherwise(F.lit("- ")))
-    figure = F.concat(F.lit("!["), F.coalesce("text", F.lit("")), F.lit("](_assets/"), F.coalesce("asset", F.lit("missing")), F.lit(")"), F.when(F.trim("caption") != "", F.concat(F.lit("\n\n*"), "caption", F.lit("*"))).otherwise(F.lit("")))
-    table = gfm_table(F.col("rows")[0], F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))))
+    caption = F.when(F.trim("caption") != "", F.col("caption")).otherwise(F.coalesce("text", F.lit("")))
+    figure = F.concat(F.lit("!["), label(caption), F.lit("](_assets/"), F.coalesce(dest_path("asset"), F.lit("missing")), F.lit(")"))
+    table = F.when(F.col("has_merged"), html_table(F.col("rows"))).otherwise(gfm_table(F.get("rows", F.lit(0)), F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))))
     body = (
-        F.when(F.col("kind") == "item", F.concat(marker, line)).when(F.col("kind") == "code", code_block("text", F.coalesce("lang", F.lit("")))).when(F.col("kind") == "math", math_block("text"))
+        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), heading_markdown("spans"))).when(F.col("kind") == "code", code_block("text", F.coalesce("lang", F.lit("")))).when(F.col("kind") == "math", math_block("text"))
         .when(F.col("kind") == "figure", figure).when(F.col("kind") == "table", table).when(F.col("kind") == "raw", comment_note("text")).otherwise(line)
     )
-    return blocks.withColumn("markdown", F.when(F.col("note").isNotNull(), F.concat(F.lit("[^"), "note", F.lit("]: "), line)).otherwise(body))
+    return blocks.withColumn("markdown", F.when(F.col("note").isNotNull(), F.concat(F.lit("[^"), "note", F.lit("]: "), footnote_body(line))).otherwise(F.rtrim(body)))
+
+
+def list_markdown(items: list[tuple[int | None, bool, str]]) -> str:
+    """Items (depth, ordered, text) that follow each other: each under the mark of the nearest one before that is less deep, ordered ones counted within their list, further lines
+    indented by their mark's width."""
+    out: list[str] = []
+    open_: list[list] = []  # of each depth: ordered, how many so far, width of the last mark
+    for depth, ordered, text in items:
+        depth = min(max(int(depth or 0), 0), len(open_))
+        del open_[depth + 1 :]
+        if depth == len(open_) or open_[depth][0] != ordered:
+            open_[depth:] = [[ordered, 0, 0]]
+        own = open_[depth]
+        own[1] += 1
+        mark = f"{own[1]}. " if ordered else "- "
+        own[2] = len(mark)
+        indent = " " * sum(x[2] for x in open_[:depth])
+        first, *rest = (text or "").rstrip().split("\n")
+        out += [indent + mark + first, *(indent + " " * own[2] + x if x.strip() else x for x in rest)]
+    return "\n".join(out)
+
+
+def body_markdown(blocks) -> str:
+    """A file's blocks (ord, kind, depth, ordered, markdown), in order, a blank line between them; items that follow each other are one list."""
+    out, items = [], []
+    for b in [*blocks, None]:
+        if b is not None and b["kind"] == "item":
+            if items and not b["depth"] and bool(b["ordered"]) != items[0][1]:  # another list
+                out.append(list_markdown(items))
+                items = []
+            items.append((b["depth"], bool(b["ordered"]), b["markdown"]))
+            continue
+        if items:
+            out.append(list_markdown(items))
+            items = []
+        if b is not None:
+            out.append(b["markdown"] or "")
+    return "\n\n".join(out)
+
+
+def _bodies(files: pd.Series) -> pd.Series:
+    return files.map(lambda blocks: body_markdown([{k: None if v != v else v for k, v in b.items()} for b in blocks]))
+
+
+def resolved(body: DataFrame, tree: DataFrame, files: DataFrame, headings: DataFrame) -> DataFrame:
+    """Placed blocks whose links to headings, ``#n``, lead to their anchors, from file to file; a link to none keeps its text alone. ``headings`` is (doc_id, ord, n)."""
+    named = structure.anchor_map(files.join(tree.select("doc_id", "section", "heading"), ["doc_id", "section"], "left"), body.where("kind = 'heading'").select("doc_id", "section", "ord", "text"))
+    targets = named.join(headings, ["doc_id", "ord"]).select("doc_id", F.col("n").alias("target"), "to_path", "anchor")
+    x = body.select("doc_id", "ord", "section", F.posexplode("spans").alias("i", "s")).where(F.col("s.kind") == "link").withColumn("target", F.regexp_extract("s.target", "^#([0-9]+)$", 1)).where("target <> ''")
+    links = x.select("doc_id", "ord", "section", "i", F.col("target").cast("long").alias("target")).join(files.select("doc_id", "section", "path"), ["doc_id", "section"])
+    hrefs = structure.resolve_refs(links, targets).where("href IS NOT NULL").groupBy("doc_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("i", "href"))).alias("hrefs"))
+    ours = lambda s: (s["kind"] == "link") & s["target"].rlike("^#[0-9]+$")
+    led = F.transform("spans", lambda s, i: F.struct(s["depth"].alias("depth"), s["kind"].alias("kind"), s["text"].alias("text"), F.when(ours(s), F.try_element_at("hrefs", i)).otherwise(s["target"]).alias("target")))
+    return body.join(hrefs, ["doc_id", "ord"], "left").withColumn("spans", led).drop("hrefs")
 
 
 def site(parsed: DataFrame, min_tokens: int = structure.MIN_TOKENS, max_tokens: int = structure.MAX_TOKENS) -> DataFrame:
-    """(doc_id, path, markdown): the files of every document that was parsed. Small sections stand in their parent's file under their own headings; what comes before the first heading is in
-    index.md, with the list of the top sections."""
-    blocks = rendered(C.block_rows(parsed)).withColumn("page_from", F.lit(None).cast("long")).withColumn("page_to", F.lit(None).cast("long"))
+    """(doc_id, path, markdown): the files of every document that was parsed. Small sections stand in their parent's file under their own headings, large texts in parts of their own; what
+    comes before the first heading is in index.md, with the list of the top sections."""
+    blocks = structure.bounded(C.block_rows(parsed)).withColumn("page_from", F.col("page").cast("long")).withColumn("page_to", F.col("page").cast("long"))
     blocks = blocks.withColumn("level", F.when(F.col("kind") == "heading", F.greatest(F.lit(1), F.least(F.coalesce("level", F.lit(6)), F.lit(6)))))
-    folded = structure.fold_sections(blocks)
-    merged = structure.merge_small(structure.sections(folded), min_tokens, max_tokens)
-    tree = merged.where("alive").drop("into", "alive")
-    files = structure.navigation(structure.assign_paths(tree))
-    place = merged.select("doc_id", "section", "into", "level")
-    body = folded.join(place.withColumnRenamed("level", "section_level"), ["doc_id", "section"], "left").withColumn("into", F.coalesce("into", F.lit(0)))
-    own_title = (F.col("kind") == "heading") & (F.col("into") == F.col("ord"))
-    text = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "markdown")).otherwise(F.col("markdown"))
-    joined = body.where(~own_title).groupBy("doc_id", F.col("into").alias("section")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("body"))
-    heads = structure.toc(structure.frontmatter(files))
-    title = F.concat(F.repeat(F.lit("#"), F.least(F.size("breadcrumb") + 1, F.lit(6))), F.lit(" "), "title", F.lit("\n\n"))
-    pages = heads.join(joined, ["doc_id", "section"], "left").select("doc_id", "path", F.concat("yaml", F.lit("\n"), title, F.coalesce(F.concat("toc", F.lit("\n\n")), F.lit("")), F.coalesce(F.concat("body", F.lit("\n")), F.lit(""))).alias("markdown"))
-    top = files.where("parent = 0").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(")")).alias("l")))), lambda x: x["l"]), "\n").alias("toc"))
-    root = parsed.where("status = 'ok'").select("doc_id", "title").join(top, "doc_id", "left").join(joined.where("section = 0").drop("section"), "doc_id", "left")
-    index = root.select("doc_id", F.lit("index.md").alias("path"), F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit("\n\n"), F.coalesce(F.concat("toc", F.lit("\n\n")), F.lit("")), F.coalesce(F.concat("body", F.lit("\n")), F.lit(""))).alias("markdown"))
-    return pages.unionByName(index)
+    folded = saved(structure.fold_sections(blocks))
+    headings = folded.where("kind = 'heading'").select("doc_id", F.col("ord").cast("long").alias("ord"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).cast("long").alias("n"))
+    tree, places = structure.balanced(folded, min_tokens, max_tokens)
+    tree, body = saved(tree), folded.drop("section").join(places, ["doc_id", "ord"])
+    files = structure.rooted(structure.assign_paths(tree.drop("heading")), parsed.where("status = 'ok'").select("doc_id", "title"))
+    pages = structure.section_pages(folded).withColumn("section", F.col("section") * structure.SCALE)
+    files = files.withColumn("_pages_of", F.col("section") - F.pmod("section", F.lit(structure.SCALE))).join(pages.withColumnRenamed("section", "_pages_of"), ["doc_id", "_pages_of"], "left").drop("_pages_of")
+    files = saved(files)
+    shown = rendered(resolved(body, tree, files, headings))
+    joined = shown.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("ord", "kind", "depth", "ordered", "markdown"))).alias("blocks")).select("doc_id", "section", F.pandas_udf(_bodies, "string")("blocks").alias("body"))
+    heads = structure.toc(structure.frontmatter(structure.navigation(files)))
+    text = F.concat("yaml", F.lit("\n"), title_line("title", F.size("breadcrumb")), F.lit("\n\n"), F.coalesce(F.concat("toc", F.lit("\n\n")), F.lit("")), F.coalesce(F.concat("body", F.lit("\n")), F.lit("")))
+    return heads.join(joined, ["doc_id", "section"], "left").select("doc_id", "path", text.alias("markdown"))
 
 
 def _refuse(root: str, force: bool) -> None:
@@ -88,7 +141,7 @@ def write_trees(files: DataFrame, assets: DataFrame, root: str, force: bool = Fa
     shutil.rmtree(old, ignore_errors=True)
 
 
-def convert(spark: SparkSession, source: str, target: str, force: bool = False) -> int:
+def convert(spark: SparkSession, source: str, target: str, force: bool = False, min_tokens: int = structure.MIN_TOKENS, max_tokens: int = structure.MAX_TOKENS) -> int:
     """Convert every supported file under ``source`` into a tree under ``target`` and write the page that lists them. Gives the batch's exit code: 0 all well, 3 some, 2 all unsupported or
     protected, 1 else. Inputs that would write to one folder, or into each other's, end it before anything is read."""
     _refuse(target, force)
@@ -102,7 +155,7 @@ def convert(spark: SparkSession, source: str, target: str, force: bool = False)
     where = named.select("doc_id", "dir", "input")
     parsed = C.documents(inputs).cache()
     try:
-        files = site(parsed).join(where.select("doc_id", "dir"), "doc_id").cache()
+        files = site(parsed, min_tokens, max_tokens).join(where.select("doc_id", "dir"), "doc_id").cache()
         assets = parsed.select("doc_id", F.explode("assets").alias("a")).select("doc_id", "a.filename", "a.bytes").join(where.select("doc_id", "dir"), "doc_id")
         write_trees(files, assets, target, force)
         counts = files.groupBy("doc_id").agg(F.count("*").alias("files"))

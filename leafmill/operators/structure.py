@@ -7,10 +7,12 @@ leave the partition of its id for the windows. Nothing is collected.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import anchor_slug, ascii_path_slug, numbered, path_slug, yaml_scalar
+from ..functions.text import anchor_slug, ascii_path_slug, label, numbered, path_slug, yaml_scalar
+from ..storage import saved
 
 LEVELS = range(1, 7)
 MAX_TOKENS, MIN_TOKENS = 2000, 200
@@ -77,18 +79,47 @@ def merge_small(tree: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int =
     return x.select("doc_id", "section", "parent", "parent_level", "level", "title", "body_tokens", "into", "alive")
 
 
+def _parts(weights: pd.Series, most: pd.Series) -> pd.Series:
+    def fold(w, limit: int) -> list[int]:
+        part, held, out = 1, 0, []
+        for k, x in enumerate(w.tolist()):
+            if k and held and held + x > limit:
+                part, held = part + 1, 0
+            held += x
+            out.append(part)
+        return out
+
+    return pd.Series([fold(w, m) for w, m in zip(weights, most)])
+
+
 def split_parts(items: DataFrame, keys: list[str], order: str, weight: str, most: int = MAX_TOKENS) -> DataFrame:
-    """``items`` with ``part`` from 1: within each group of ``keys``, in ``order``, a new part starts where the current one isn't empty and would exceed ``most``."""
+    """``items`` with ``part`` from 1: within each group of ``keys``, in ``order``, a new part starts where the current one isn't empty and would exceed ``most``. A group's weights are
+    folded in one pass, as an array; nothing else of it travels."""
     packed = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(weight).cast("long").alias("w")))).alias("s"))
-    start = F.struct(F.lit(1).alias("p"), F.lit(0).cast("long").alias("c"), F.array().cast("array<int>").alias("out"))
+    numbered_ = packed.select(*keys, F.col("s.o").alias("o"), F.pandas_udf(_parts, "array<int>")(F.col("s.w"), F.lit(most)).alias("part"))
+    parts = numbered_.select(*keys, F.explode(F.arrays_zip("o", "part")).alias("z")).select(*keys, F.col("z.o").alias(order), F.col("z.part").alias("part"))
+    return items.join(parts, [*keys, order])
 
-    def step(acc, x):
-        new = (acc["c"] > 0) & (acc["c"] + x["w"] > most)
-        p = F.when(new, acc["p"] + 1).otherwise(acc["p"])
-        return F.struct(p.alias("p"), F.when(new, x["w"]).otherwise(acc["c"] + x["w"]).alias("c"), F.concat(acc["out"], F.array(p)).alias("out"))
 
-    parts = packed.select(*keys, F.explode(F.arrays_zip(F.col("s.o").alias("o"), F.aggregate("s", start, step)["out"].alias("part"))).alias("z")).select(*keys, F.col("z.o").alias(order), F.col("z.part").alias("part"))
-    return items.join(parts, [*keys, order])
+#: A section's number among those of a document's files: the ord of its heading, and below it the number of a part of its text.
+SCALE = 1 << 20
+
+
+def balanced(folded: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(tree, places) of ``fold_sections``: small sections merged into their parents, and what is over ``max_tokens`` of a section's own text, also of that before the first heading, cut into
+    children of its own, ``Part 1`` and on, that stand before its others. ``tree`` is (doc_id, section, parent, parent_level, level, title, heading) for ``assign_paths``, ``heading`` the ord of
+    a section's heading; ``places`` is (doc_id, ord, section), the section in whose file each block stands, but for the headings that are titles."""
+    merged = saved(merge_small(sections(folded), min_tokens, max_tokens))
+    weighed = folded.select("doc_id", "ord", "section", "kind", tokens().alias("tokens")).join(merged.select("doc_id", "section", "into"), ["doc_id", "section"], "left")
+    weighed = weighed.withColumn("node", F.coalesce("into", F.lit(0))).where(~((F.col("kind") == "heading") & (F.coalesce("into", F.lit(-1)) == F.col("ord"))))
+    weighed = weighed.select("doc_id", "node", "ord", "tokens", F.sum("tokens").over(Window.partitionBy("doc_id", "node")).alias("all"))
+    cut = split_parts(weighed.where(F.col("all") > max_tokens).select("doc_id", "node", "ord", "tokens"), ["doc_id", "node"], "ord", "tokens", max_tokens)
+    whole = weighed.where(F.col("all") <= max_tokens).withColumn("part", F.lit(0))
+    placed = saved(whole.select("doc_id", "node", "ord", "part").unionByName(cut.select("doc_id", "node", "ord", "part")))
+    alive = merged.where("alive").select("doc_id", (F.col("section") * SCALE).alias("section"), (F.col("parent") * SCALE).alias("parent"), "parent_level", "level", "title", F.col("section").alias("heading"))
+    parts = placed.where("part > 0").select("doc_id", "node", "part").distinct().join(merged.select("doc_id", F.col("section").alias("node"), F.col("level").alias("up")), ["doc_id", "node"], "left")
+    made = parts.select("doc_id", (F.col("node") * SCALE + F.col("part")).alias("section"), (F.col("node") * SCALE).alias("parent"), F.col("up").alias("parent_level"), (F.coalesce("up", F.lit(0)) + 1).alias("level"), F.concat(F.lit("Part "), F.col("part").cast("string")).alias("title"), F.lit(None).cast(merged.schema["section"].dataType).alias("heading"))
+    return alive.unionByName(made), placed.select("doc_id", "ord", (F.col("node") * SCALE + F.col("part")).alias("section"))
 
 
 def assign_paths(tree: DataFrame, ascii_titles: bool = False) -> DataFrame:
@@ -102,7 +133,7 @@ def assign_paths(tree: DataFrame, ascii_titles: bool = False) -> DataFrame:
     x = x.withColumn("file", F.concat("name", F.when(F.col("has"), F.lit("/index.md")).otherwise(F.lit(".md"))))
     root = F.struct(F.concat("name", F.lit("/")).alias("dir"), F.array("ordinal").alias("ordinal_path"), F.array("title").alias("breadcrumb"))
     x = x.withColumn("at", F.when(F.col("parent") == 0, root)).withColumn("up_dir", F.lit("")).withColumn("below", F.expr("cast(array() AS array<struct<ordinal:int,title:string,file:string>>)"))
-    for level in LEVELS[:-1]:  # parents of this level hand their place down and gather their children
+    for level in LEVELS:  # parents of this level hand their place down and gather their children
         kid = F.coalesce(F.col("parent_level") == level, F.lit(False))
         family = Window.partitionBy("doc_id", F.when(kid, F.col("parent")).otherwise(F.col("section")))
         x = x.select("*", kid.alias("kid"), F.first(F.when(~kid, F.col("at")), ignorenulls=True).over(family).alias("up"), F.collect_list(F.when(kid, F.struct("ordinal", "title", "file"))).over(family).alias("mine"))
@@ -113,6 +144,20 @@ def assign_paths(tree: DataFrame, ascii_titles: bool = False) -> DataFrame:
     return x.select("doc_id", "section", "parent", "level", "title", "ordinal", "at.ordinal_path", "at.breadcrumb", F.concat("up_dir", "file").alias("path"), F.concat("up_dir", F.lit("index.md")).alias("parent_path"), kids.alias("kids"))
 
 
+def rooted(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """``assign_paths`` with the file of each of ``documents`` (doc_id, title) itself, ``index.md``, as section 0: it is the first in reading order and the parent of the top sections, and
+    every breadcrumb begins with the document's title."""
+    named = documents.select("doc_id", F.coalesce("title", F.lit("")).alias("document"))
+    top = files.where("parent = 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "title", "path"))).alias("kids"))
+    kind = {f.name: f.dataType for f in files.schema}
+    none = lambda c: F.lit(None).cast(kind[c])
+    root = named.join(top, "doc_id", "left").select(
+        "doc_id", F.lit(0).cast(kind["section"]).alias("section"), none("parent").alias("parent"), F.lit(0).cast(kind["level"]).alias("level"), F.col("document").alias("title"), F.lit(0).cast(kind["ordinal"]).alias("ordinal"), F.array().cast(kind["ordinal_path"]).alias("ordinal_path"),
+        F.array("document").alias("breadcrumb"), F.lit("index.md").alias("path"), none("parent_path").alias("parent_path"), F.coalesce("kids", F.array().cast(kind["kids"])).alias("kids"),
+    )
+    below = files.join(named, "doc_id").withColumn("breadcrumb", F.concat(F.array("document"), "breadcrumb")).drop("document")
+    return below.select(*files.columns).unionByName(root)
+
 def anchors(headings: DataFrame, file: list[str], order: str, title: str = "text") -> DataFrame:
     """``headings`` with ``anchor``: the n-th of one base in a file, in order, is numbered n - 1; what others are called isn't looked at."""
     base = anchor_slug(title)
@@ -120,6 +165,27 @@ def anchors(headings: DataFrame, file: list[str], order: str, title: str = "text
     return headings.withColumn("base", base).withColumn("anchor", numbered(F.col("base"), n)).drop("base")
 
 
+def anchor_map(files: DataFrame, inner: DataFrame) -> DataFrame:
+    """(doc_id, ord, to_path, anchor): where each heading can be linked to. A file's first anchor is that of its title, which stands for its section's heading; then come the headings that
+    stand in it, in order. ``files`` is (doc_id, section, path, title, heading), ``heading`` null where no heading is behind the title; ``inner`` is (doc_id, section, ord, text)."""
+    titles = files.select("doc_id", "path", F.lit(-1).cast("long").alias("at"), F.col("heading").cast("long").alias("ord"), "title")
+    below = inner.join(files.select("doc_id", "section", "path"), ["doc_id", "section"]).select("doc_id", "path", F.col("ord").cast("long").alias("at"), F.col("ord").cast("long").alias("ord"), F.col("text").alias("title"))
+    return anchors(titles.unionByName(below), ["doc_id", "path"], "at", "title").where("ord IS NOT NULL").select("doc_id", "ord", F.col("path").alias("to_path"), "anchor")
+
+
+#: How deep blocks and inline text may nest.
+BLOCK_DEPTH, INLINE_DEPTH = 128, 256
+
+
+def bounded(blocks: DataFrame) -> DataFrame:
+    """``blocks`` without what nests too deep: an item of ``BLOCK_DEPTH`` or more becomes a note, spans of ``INLINE_DEPTH`` or more go."""
+    deep = F.coalesce(F.col("depth") >= BLOCK_DEPTH, F.lit(False))
+    none = F.array().cast(blocks.schema["spans"].dataType)
+    x = blocks.withColumn("spans", F.when(deep, none).otherwise(F.filter("spans", lambda s: s["depth"] < INLINE_DEPTH)))
+    x = x.withColumn("text", F.when(deep, F.lit("nesting truncated at the block depth bound")).otherwise(F.col("text")))
+    return x.withColumn("kind", F.when(deep, F.lit("raw")).otherwise(F.col("kind"))).withColumn("depth", F.when(deep, F.lit(None)).otherwise(F.col("depth")).cast("int"))
+
+
 def relativize(source: Column | str, target: Column | str) -> Column:
     """The link from one file of a tree to another, or to an anchor in it."""
     source, target = (F.col(x) if isinstance(x, str) else x for x in (source, target))
@@ -145,19 +211,20 @@ def navigation(files: DataFrame) -> DataFrame:
 
 
 def contents(files: DataFrame) -> DataFrame:
-    """(doc_id, section, toc): the list of links to the children that a file with children begins with."""
+    """(doc_id, section, toc): the list of links to the children that a file with children begins with; their titles are labels."""
     return toc(files).where("toc IS NOT NULL").select("doc_id", "section", "toc")
 
 
 def toc(files: DataFrame) -> DataFrame:
     """``files`` with ``toc``, null for a file without children."""
-    line = lambda k: F.concat(F.lit("- ["), k["title"], F.lit("]("), relativize(F.col("path"), k["path"]), F.lit(")"))
+    line = lambda k: F.concat(F.lit("- ["), label(k["title"]), F.lit("]("), relativize(F.col("path"), k["path"]), F.lit(")"))
     return files.withColumn("toc", F.when(F.size("kids") > 0, F.array_join(F.transform("kids", line), "\n")))
 
 
 def frontmatter(files: DataFrame) -> DataFrame:
-    """``navigation`` with ``yaml``: the head of each file, absent values left out."""
+    """``navigation`` with ``yaml``: the head of each file, absent values left out; with its pages if there are ``page_from`` and ``page_to``."""
     optional = lambda key, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(key + ": "), yaml_scalar(c), F.lit("\n"))).otherwise(F.lit(""))
     kids = F.when(F.size("children") > 0, F.concat(F.lit("children:\n"), F.array_join(F.transform("children", lambda c: F.concat(F.lit("  - "), yaml_scalar(c), F.lit("\n"))), ""))).otherwise(F.lit(""))
-    text = F.concat(F.lit("---\n"), F.lit("title: "), yaml_scalar("title"), F.lit("\n"), F.lit("breadcrumb: "), yaml_scalar(F.array_join("breadcrumb", " > ")), F.lit("\n"), optional("parent", "parent_link"), optional("prev", "prev"), optional("next", "next"), kids, F.lit("---\n"))
+    pages = F.when(F.col("page_from").isNotNull(), F.format_string("source_pages: %d-%d\n", "page_from", "page_to")).otherwise(F.lit("")) if "page_from" in files.columns else F.lit("")
+    text = F.concat(F.lit("---\n"), F.lit("title: "), yaml_scalar("title"), F.lit("\n"), F.lit("breadcrumb: "), yaml_scalar(F.array_join("breadcrumb", " > ")), F.lit("\n"), optional("parent", "parent_link"), optional("prev", "prev"), optional("next", "next"), kids, pages, F.lit("---\n"))
     return files.withColumn("yaml", text)

@@ -30,6 +30,11 @@ tree AS (SELECT doc_id, section, parent, level, title, ordinal, [ordinal] AS ord
 
 
 
+#: The same with each region's own file, and its title before every breadcrumb.
+SITE = FILES + """, site AS (SELECT doc_id, section, parent, level, title, ordinal, ordinal_path, list_prepend('Atlas ' || doc_id, breadcrumb) AS breadcrumb, path FROM tree
+  UNION ALL SELECT r_regionkey::BIGINT, 0, NULL, 0, 'Atlas ' || r_regionkey, 0, [], ['Atlas ' || r_regionkey], 'index.md' FROM region)"""
+
+
 def relative_sql(source: str, target: str) -> str:
     """The SQL expression for ``structure.relativize`` of two paths without anchors."""
     a, b = f"string_split({source}, '/')", f"string_split({target}, '/')"
@@ -54,3 +59,8 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(part(owner, "n_regionkey", F.col("n_nationkey"), key, 1, "para", None, story, key % 97 + 1, key % 97 + 1 + key % 3))
     )
     return x.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "c", "k")).cast("long")).drop("n", "c", "k")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, title)."""
+    return table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("Atlas "), F.col("r_regionkey").cast("string")).alias("title"))

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..catalog import register, table
 from ..functions import containers as R
 from ..functions.inline import inline_markdown, inline_text
+from ..operators import library
 from ..sources import containers as C
 from ..sources import markup, math
+from . import atlas
 
 
 def _zip(entries: dict[str, str]) -> bytes:
@@ -55,13 +57,63 @@ def mobi(title: str, turns: list[tuple[str, str]]) -> bytes:
     head = struct.pack(">HHIHHHH", 1, 0, len(body), len(texts), 4096, 0, 0) + b"MOBI" + struct.pack(">IIIII", 232, 2, 65001, 1, 6)
     head = head.ljust(84, b"\0") + struct.pack(">II", 256, len(name)) + b"\0" * 16 + struct.pack(">I", 0)
     head = head.ljust(256, b"\0") + name
-    records, at, table_ = [head, *texts], 78 + 8 * (len(texts) + 1) + 2, b""
+    return _palm(title, [head, *texts])
+
+
+def _palm(title: str, records: list[bytes]) -> bytes:
+    at, table_ = 78 + 8 * len(records) + 2, b""
     for k, r in enumerate(records):
         table_ += struct.pack(">II", at, k)
         at += len(r)
     return title.encode()[:31].ljust(32, b"\0") + b"\0" * 28 + b"BOOKMOBI" + b"\0" * 8 + struct.pack(">H", len(records)) + table_ + b"\0\0" + b"".join(records)
 
 
+def _number(x: int) -> bytes:
+    out = [x & 0x7F | 0x80]
+    while x := x >> 7:
+        out.insert(0, x & 0x7F)
+    return bytes(out)
+
+
+def _index(entries: list[tuple[bytes, bytes, list[int]]], tags: bytes) -> list[bytes]:
+    """The records of an index of (name, control byte, numbers)."""
+    chunks = [entries[k : k + 500] for k in range(0, len(entries), 500)] or [[]]
+    out = [b"INDX" + struct.pack(">I", 192) + bytes(16) + struct.pack(">I", len(chunks)) + bytes(192 - 28) + b"TAGX" + struct.pack(">II", 12 + len(tags), 1) + tags]
+    for chunk in chunks:
+        body, places = b"", []
+        for name, control, numbers in chunk:
+            places.append(192 + len(body))
+            body += bytes([len(name)]) + name + control + b"".join(map(_number, numbers))
+        out.append(b"INDX" + struct.pack(">I", 192) + bytes(12) + struct.pack(">II", 192 + len(body), len(chunk)) + bytes(192 - 28) + body + b"IDXT" + b"".join(struct.pack(">H", p) for p in places))
+    return out
+
+
+def azw3(title: str, turns: list[tuple[str, str]]) -> bytes:
+    """A book of skeletons and fragments: a part for each turn, its heading and its text in fragments of their own, and a link to the next part's heading by position."""
+    raw, skel, frag = b"", [], []
+    for k, (a, b) in enumerate(turns):
+        after = f"kindle:pos:fid:{_base32(2 * ((k + 1) % len(turns)), 4)}:off:{_base32(0, 10)}"
+        frame, pieces = b"<html><body></body></html>", [f"<h2>{escape(a)}</h2>".encode(), f'<p>{escape(b)} <a href="{after}">next</a></p>'.encode()]
+        start = len(raw)
+        skel.append((b"SKEL%010d" % k, b"\x05", [2, start, len(frame)]))
+        frag += [(b"%010d" % (start + 12), b"\x08", [0, len(x)]) for x in pieces]
+        raw += frame + b"".join(pieces)
+    texts, name = [raw[k : k + 4096] for k in range(0, len(raw), 4096)], title.encode()
+    frags = _index(frag, bytes([2, 1, 1, 0, 3, 1, 2, 0, 4, 1, 4, 0, 6, 2, 8, 0, 0, 0, 0, 1]))
+    skels = _index(skel, bytes([1, 1, 3, 0, 6, 2, 12, 0, 0, 0, 0, 1]))
+    head = struct.pack(">HHIHHHH", 1, 0, len(raw), len(texts), 4096, 0, 0) + b"MOBI" + struct.pack(">IIIII", 264, 2, 65001, 1, 8)
+    head = head.ljust(84, b"\0") + struct.pack(">II", 280, len(name)) + b"\0" * 16 + struct.pack(">I", 0)
+    head = head.ljust(248, b"\0") + struct.pack(">II", 1 + len(texts), 1 + len(texts) + len(frags))
+    return _palm(title, [head.ljust(280, b"\0") + name, *texts, *frags, *skels])
+
+
+def _base32(x: int, width: int) -> str:
+    out = ""
+    while x:
+        out, x = "0123456789ABCDEFGHIJKLMNOPQRSTUV"[x % 32] + out, x // 32
+    return out.rjust(width, "0")
+
+
 def pdf(title: str, turns: list[tuple[str, str]]) -> bytes:
     """A page for each turn: a large line and small ones."""
     out, objects = io.BytesIO(b"%PDF-1.4\n"), []
@@ -79,6 +131,30 @@ def pdf(title: str, turns: list[tuple[str, str]]) -> bytes:
     return out.getvalue()
 
 
+def djvu(title: str, turns: list[tuple[str, str]]) -> bytes:
+    """A page for each turn, with its text as zones: a tall line, and the text's lines in a paragraph."""
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return name + struct.pack(">I", len(data)) + data + b"\0" * (len(data) & 1)
+
+    def zone(kind: int, h: int, start: int, length: int, children: list[bytes], y: int = 0) -> bytes:
+        return bytes([kind]) + struct.pack(">5H", *(v + 0x8000 for v in (0, y, 600, h, start))) + length.to_bytes(3, "big") + len(children).to_bytes(3, "big") + b"".join(children)
+
+    made = b""
+    for a, b in turns:
+        texts = [a, *(" ".join(b.split()[k : k + 12]) for k in range(0, len(b.split()), 12))]
+        data, paras = b"", []
+        raw = [t.encode() for t in texts]
+        heads = zone(4, 40, 0, len(raw[0]), [zone(5, 40, 0, len(raw[0]), [])])
+        rest = [zone(5, 20, 0, len(r), []) for r in raw[1:]]
+        paras = [heads] + ([zone(4, 20 * len(rest), 0, sum(map(len, raw[1:])), rest)] if rest else [])
+        data = b"".join(raw)
+        layer = len(data).to_bytes(3, "big") + data + b"\1" + zone(1, 800, 0, len(data), paras)
+        made += chunk(b"FORM", b"DJVU" + chunk(b"INFO", bytes(10)) + chunk(b"TXTa", layer))
+    body = b"DJVM" + chunk(b"DIRM", b"\x81" + struct.pack(">H", len(turns))) + made
+    return b"AT&TFORM" + struct.pack(">I", len(body)) + body
+
+
 def files(conversations: DataFrame, make, extension: str) -> DataFrame:
     """(doc_id, path, content): a file for each conversation."""
     books = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
@@ -95,10 +171,68 @@ def _converted(make, extension):
     return lambda s, d: C.block_rows(C.documents(files(table(s, d, "conversations"), make, extension))).select("doc_id", "ord", "kind", "text")
 
 
+def atlas_epub(title: str, nations: list[tuple[str, list[tuple[int, str]]]]) -> bytes:
+    """A book of a file for each nation, whose headings link to each other."""
+    pages = {}
+    for k, (nation, customers) in enumerate(nations):
+        after = (k + 1) % len(nations)
+        body = f'<h1 id="n">{escape(nation)}</h1><p>Next is <a href="n{after}.xhtml#n">{escape(nations[after][0])}</a>, not <a href="gone.xhtml#n">a lost one</a>.</p>'
+        for i, (key, name) in enumerate(customers):
+            back = f' and <a href="#c{customers[i - 1][0]}">the one before</a>' if i else ""
+            body += f'<h2 id="c{key}">{escape(name)}</h2><p>Of <a href="#n">this nation</a>{back}.</p>'
+        pages[f"OPS/n{k}.xhtml"] = f'<html xmlns="http://www.w3.org/1999/xhtml"><body>{body}</body></html>'
+    manifest = "".join(f'<item id="n{k}" href="n{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(len(nations)))
+    spine = "".join(f'<itemref idref="n{k}"/>' for k in range(len(nations)))
+    opf = f'<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{escape(title)}</dc:title></metadata><manifest>{manifest}</manifest><spine>{spine}</spine></package>'
+    return _zip({"mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>', "OPS/book.opf": opf} | pages)
+
+
+def site_links(s, d):
+    """Regions written as books, read back, structured and rendered: the links between headings that stand in the Markdown."""
+    c, n = table(s, d, "customer"), table(s, d, "nation")
+    own = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("customers"))
+    books = n.join(own, "n_nationkey", "left").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "customers"))).alias("nations"))
+
+    def run(batches):
+        for pdf_ in batches:
+            made = [atlas_epub(f"Book {r}", [(x["n_name"], [(y["c_custkey"], y["c_name"]) for y in (x["customers"] if x["customers"] is not None else [])]) for x in nations]) for r, nations in zip(pdf_["n_regionkey"], pdf_["nations"])]
+            yield pd.DataFrame({"doc_id": pdf_["n_regionkey"], "path": [f"in/{r}.epub" for r in pdf_["n_regionkey"]], "content": made})
+
+    parsed = C.documents(books.mapInPandas(run, "doc_id long, path string, content binary"))
+    files = library.site(parsed, 0, 1 << 40)
+    links = files.select("doc_id", F.col("path").alias("source"), F.explode(F.regexp_extract_all("markdown", F.lit(r"\]\(([^()\s]*#[^()\s]*)\)"), F.lit(1))).alias("link"))
+    return links.groupBy("doc_id", "source", "link").agg(F.count("*").alias("n"))
+
+
+register(
+    "site_links",
+    site_links,
+    f"""WITH o AS (SELECT n_regionkey::BIGINT AS doc_id, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, count(*) OVER (PARTITION BY n_regionkey) AS total, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) AS has FROM nation),
+a AS (SELECT *, printf('%02d', k) || '-' || lower(n_name) AS dir, printf('%02d', k) || '-' || lower(n_name) || CASE WHEN has THEN '/index.md' ELSE '.md' END AS path FROM o),
+c AS (SELECT a.doc_id, a.path AS up, lower(a.n_name) AS up_anchor, a.dir || '/' || printf('%02d', i) || '-' || replace(lower(c_name), '#', '-') || '.md' AS path, replace(lower(c_name), '#', '') AS anchor, i, n_nationkey FROM a JOIN (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer) ON c_nationkey = n_nationkey),
+l AS (SELECT x.doc_id, x.path AS source, y.path AS target, lower(y.n_name) AS anchor FROM a x JOIN a y ON x.doc_id = y.doc_id AND y.k = x.k % x.total + 1
+  UNION ALL SELECT doc_id, path, up, up_anchor FROM c
+  UNION ALL SELECT x.doc_id, x.path, y.path, y.anchor FROM c x JOIN c y ON x.n_nationkey = y.n_nationkey AND y.i = x.i - 1)
+SELECT doc_id, source, {atlas.relative_sql('source', 'target')} || '#' || anchor AS link, count(*) AS n FROM l GROUP BY ALL""",
+)
+
 _TWO = r"""SELECT conv_id AS doc_id, (2 * n - 1 + k)::INTEGER AS ord, ['heading', 'para'][k + 1] AS kind, CASE k WHEN 0 THEN 'Turn ' || turn || ' by ' || role ELSE {} END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) CROSS JOIN range(0, 2) r(k)"""
 register("epb_convert", _converted(epub, "epub"), _TWO.format(r"trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))"))
 register("ppt_convert", _converted(pptx, "pptx"), _TWO.format("text"))
 register("mob_convert", _converted(mobi, "mobi"), _TWO.format(r"trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))"))
+register("djv_convert", _converted(djvu, "djvu"), r"""SELECT conv_id AS doc_id, (2 * n - 1 + k)::INTEGER AS ord, ['heading', 'para'][k + 1] AS kind, CASE k WHEN 0 THEN 'Turn ' || turn || ' by ' || role ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) CROSS JOIN range(0, 2) r(k)""")
+_CLEAN = r"trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))"
+register("mob_azw3_convert", _converted(azw3, "azw3"), _TWO.format(f"trim({_CLEAN} || ' next')"))
+
+
+def azw3_links(s, d):
+    """The number of the heading that each part's link leads to."""
+    b = C.block_rows(C.documents(files(table(s, d, "conversations"), azw3, "azw3"))).where("kind = 'para'")
+    return b.select("doc_id", "ord", F.explode("spans").alias("s")).where("s.kind = 'link'").select("doc_id", "ord", F.col("s.target").alias("target"))
+
+
+register("mob_azw3_links", azw3_links, "SELECT conv_id AS doc_id, (2 * n)::INTEGER AS ord, '#' || (n % total) AS target FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)")
 register(
     "pdf_convert",
     _converted(pdf, "pdf"),
@@ -144,7 +278,7 @@ register("wrt_inline_markdown", inline)
 
 
 def formulas(s, d):
-    p = table(s, d, "part").select("p_partkey", F.format_string("<math><mfrac><mi>%s</mi><msqrt><mn>%d</mn></msqrt></mfrac></math>", F.substring("p_name", 1, 1), "p_size").alias("xml"))
+    p = table(s, d, "part").select("p_partkey", F.format_string("<math><mfrac><mi>%s</mi><msqrt><mn>%d</mn></msqrt></mfrac></math>", F.col("p_name"), "p_size").alias("xml"))
 
     def latex(batch: pd.Series) -> pd.Series:
         return batch.map(lambda x: math.mathml_latex(x)[0])
@@ -156,7 +290,7 @@ register("mth_mathml_latex", formulas, "SELECT p_partkey, '\\frac{' || substr(p_
 
 
 def omml(s, d):
-    p = table(s, d, "part").select("p_partkey", F.format_string("<oMath><sSup><e><r><t>%s</t></r></e><sup><r><t>%d</t></r></sup></sSup></oMath>", F.substring("p_name", 1, 1), "p_size").alias("xml"))
+    p = table(s, d, "part").select("p_partkey", F.format_string("<oMath><sSup><e><r><t>%s</t></r></e><sup><r><t>%d</t></r></sup></sSup></oMath>", F.col("p_name"), "p_size").alias("xml"))
 
     def latex(batch: pd.Series) -> pd.Series:
         return batch.map(lambda x: math.omml_latex(x)[0])

@@ -8,11 +8,11 @@ from ..catalog import register, table
 from ..operators import layout as L
 
 #: An order is a page of the document o (its key modulo 50), a line item a run.
-_RUNS = """runs AS (SELECT l_orderkey % 50 AS doc_id, l_orderkey AS page, l_linenumber::BIGINT AS seq, (l_partkey % 100)::DOUBLE AS x, (700 - 12 * (l_suppkey % 8))::DOUBLE + (l_partkey % 5) AS y, CASE WHEN l_quantity > 48 THEN 24 WHEN l_quantity > 46 THEN 18 WHEN l_quantity > 44 THEN 14 WHEN l_quantity > 42 THEN 10 ELSE 12 END::DOUBLE AS size, 'part ' || l_partkey AS text FROM lineitem),
+_RUNS = """runs AS (SELECT l_orderkey % 50 AS doc_id, l_orderkey AS page, l_linenumber::BIGINT AS seq, (l_partkey % 100)::DOUBLE AS x, (700 - 12 * (l_suppkey % 8))::DOUBLE + (l_partkey % 5) AS y, CASE WHEN l_quantity > 48 THEN 24 WHEN l_quantity > 46 THEN 18 WHEN l_quantity > 44 THEN 14 WHEN l_quantity > 42 THEN 10 ELSE 12 END::DOUBLE AS size, CASE l_linenumber WHEN 5 THEN ' part ' || l_partkey WHEN 6 THEN '  ' ELSE 'part ' || l_partkey END AS text FROM lineitem),
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, seq) AS r FROM runs),
 g AS (SELECT doc_id, page, r, seq, x, y, size, text, y AS first_y, 1::BIGINT AS line FROM s WHERE r = 1
   UNION ALL SELECT s.doc_id, s.page, s.r, s.seq, s.x, s.y, s.size, s.text, CASE WHEN abs(g.first_y - s.y) <= greatest(s.size * 0.5, 2) THEN g.first_y ELSE s.y END, CASE WHEN abs(g.first_y - s.y) <= greatest(s.size * 0.5, 2) THEN g.line ELSE g.line + 1 END FROM g JOIN s ON s.doc_id = g.doc_id AND s.page = g.page AND s.r = g.r + 1)"""
-_LINES = _RUNS + """, lines AS (SELECT doc_id, page, line, min(x) AS x, max(y) AS y, max(size) AS size, string_agg(text, ' ' ORDER BY x, seq, text) AS text FROM g GROUP BY ALL),
+_LINES = _RUNS + """, lines AS (SELECT doc_id, page, line, min(x) AS x, max(y) AS y, max(size) AS size, trim(string_agg(CASE WHEN text[1] = ' ' THEN '' ELSE ' ' END || trim(text), '' ORDER BY r)) AS text FROM g GROUP BY ALL HAVING trim(string_agg(text, '')) <> ''),
 body AS (SELECT doc_id, arg_min(b, (-n, b)) AS body FROM (SELECT doc_id, round(size)::BIGINT AS b, count(*) AS n FROM lines GROUP BY ALL) GROUP BY doc_id)"""
 
 
@@ -21,7 +21,7 @@ def runs(s, d):
     size = F.when(q > 48, 24.0).when(q > 46, 18.0).when(q > 44, 14.0).when(q > 42, 10.0).otherwise(12.0)
     return table(s, d, "lineitem").select(
         (F.col("l_orderkey") % 50).alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("seq"), (F.col("l_partkey") % 100).cast("double").alias("x"),
-        ((700 - 12 * (F.col("l_suppkey") % 8)) + (F.col("l_partkey") % 5)).cast("double").alias("y"), size.alias("size"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"),
+        ((700 - 12 * (F.col("l_suppkey") % 8)) + (F.col("l_partkey") % 5)).cast("double").alias("y"), size.alias("size"), F.when(F.col("l_linenumber") == 6, "  ").otherwise(F.concat(F.when(F.col("l_linenumber") == 5, " ").otherwise(""), F.lit("part "), F.col("l_partkey").cast("string"))).alias("text"),
     )
 
 
@@ -73,22 +73,27 @@ def words(s, d):
 _OCR = _WORDS + """, l AS (SELECT doc_id, page, block, par, line, min("left") AS "left", min(top) AS top, max("left" + width) AS "right", max(top + height) AS bottom, avg(conf) AS conf, string_agg(text, ' ' ORDER BY word, text) AS text FROM w WHERE conf >= 0 AND trim(text) <> '' GROUP BY doc_id, page, block, par, line)"""
 register("ocr_lines", lambda s, d: L.recognised_lines(words(s, d)).withColumn("conf", F.round("conf", 6)), f'WITH {_OCR} SELECT doc_id, page, block, par, line, "left", top, "right", bottom, round(conf, 6) AS conf, text FROM l')
 register("ocr_outcome", lambda s, d: L.recognition_outcome(L.recognised_lines(words(s, d)).withColumn("conf", F.round("conf", 6))).withColumn("conf", F.round("conf", 5)), f"WITH {_OCR}, o AS (SELECT doc_id, page, sum(len(trim(text)))::BIGINT AS chars, avg(round(conf, 6)) AS c FROM l GROUP BY ALL) SELECT doc_id, page, chars, round(c, 5) AS conf, CASE WHEN chars >= 8 AND c >= 60 THEN 'text' ELSE 'fallback' END AS outcome FROM o")
+register("ocr_outcome_forced", lambda s, d: L.recognition_outcome(L.recognised_lines(words(s, d)), force_text=True).drop("conf"), f"WITH {_OCR}, o AS (SELECT doc_id, page, sum(len(trim(text)))::BIGINT AS chars FROM l GROUP BY ALL) SELECT doc_id, page, chars, CASE WHEN chars >= 8 THEN 'text' ELSE 'note' END AS outcome FROM o")
+register("ocr_page_lines", lambda s, d: L.recognised_page_lines(L.recognised_lines(words(s, d))).withColumn("line", F.col("line").cast("long")), f'WITH {_OCR} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY block, par, line) AS line, "left" AS x, -top AS y, bottom - top AS size, text FROM l')
 
 
 def printed(s, d):
     docs = table(s, d, "documents")
     lines = docs.select("doc_id", F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
-    titles = docs.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("seq"), F.concat(F.lit("*"), F.element_at(F.split("text", "\n"), F.least(F.lit(2), F.size(F.split("text", "\n")))), F.lit("!")).alias("title"))
+    lines = lines.withColumn("text", F.when(F.col("line") % 5 == 0, "***").otherwise(F.col("text")))
+    second = F.element_at(F.split("text", "\n"), F.least(F.lit(2), F.size(F.split("text", "\n"))))
+    titles = docs.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("seq"), F.concat(F.lit("*"), second, F.lit("!")).alias("title"))
     return L.printed_titles(lines, titles).select("doc_id", "line", "printed")
 
 
 register(
     "dup_printed_titles",
     printed,
-    r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), l AS (SELECT doc_id, unnest(range(0, len(x))) AS line, unnest(x) AS t FROM x),
+    r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), l AS (SELECT doc_id, unnest(range(0, len(x))) AS line, unnest(x) AS t0 FROM x),
 n AS (SELECT doc_id, trim(regexp_replace(lower(x[least(2, len(x))]), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM x),
-c AS (SELECT l.*, lead(t, 1) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
-m AS (SELECT c.doc_id, line, CASE WHEN trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', ' ', 'g')) = title THEN 1 WHEN trim(regexp_replace(lower(t || ' ' || t2), '[^\p{L}\p{N}]+', ' ', 'g')) = title THEN 2 WHEN trim(regexp_replace(lower(t || ' ' || t2 || ' ' || t3), '[^\p{L}\p{N}]+', ' ', 'g')) = title THEN 3 END AS run FROM c JOIN n USING (doc_id) WHERE title <> ''),
+y AS (SELECT doc_id, line, nullif(trim(regexp_replace(lower(CASE WHEN line % 5 = 0 THEN '***' ELSE t0 END), '[^\p{L}\p{N}]+', ' ', 'g')), '') AS t FROM l),
+c AS (SELECT y.*, lead(t, 1) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+m AS (SELECT c.doc_id, line, CASE WHEN t = title THEN 1 WHEN t || ' ' || t2 = title THEN 2 WHEN t || ' ' || t2 || ' ' || t3 = title THEN 3 END AS run FROM c JOIN n USING (doc_id) WHERE title <> ''),
 f AS (SELECT doc_id, min((line, run)) AS f FROM m WHERE run IS NOT NULL GROUP BY doc_id)
 SELECT l.doc_id, line, coalesce(line >= f[1] AND line < f[1] + f[2], false) AS printed FROM l LEFT JOIN f USING (doc_id)""",
 )

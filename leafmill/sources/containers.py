@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.guards import RATIO, TOTAL
+from . import kindle
+from .djvu import parse_djvu
 from .markup import BLOCK, NAMES, block, blocks
 from .math import omml_latex
 from .pdf import parse_pdf
@@ -120,7 +122,7 @@ def parse_epub(data: bytes, path: str):
         if page is None:
             continue
         heading = None
-        for b in blocks(page.decode("utf-8", "replace")):
+        for b in blocks(page.decode("utf-8", "replace"), xml=True):
             b["file"] = full
             if b["kind"] == "heading":
                 heading = b
@@ -178,8 +180,8 @@ def _relocate(out):
     return result
 
 
-def _assets(out, read):
-    """The figures' bytes, each once; a figure without becomes its caption or a note."""
+def _assets(out, read, suffix=lambda data: ""):
+    """The figures' bytes, each once, under the name that the figure then has; a figure without becomes its caption or a note."""
     assets, known = [], {}
     for b in out:
         if b["kind"] != "figure":
@@ -187,9 +189,10 @@ def _assets(out, read):
         key = b["asset"] or ""
         if key not in known:
             data = read(b)
-            known[key] = safe_name(key, len(assets)) if data else None
+            known[key] = safe_name(key, len(assets)) + suffix(data) if data else None
             if data:
                 assets.append({"key": key, "filename": known[key], "bytes": data})
+        b["asset"] = known[key]
         if known[key] is None:
             caption = (b["caption"] or "").strip()
             b |= {"kind": "para", "text": caption, "spans": [{"depth": 0, "kind": "text", "text": caption, "target": None}]} if caption else {"kind": "raw", "text": f"image unavailable: {key}", "spans": []}
@@ -337,10 +340,6 @@ def _trailing(data: bytes, flags: int) -> bytes:
     return data
 
 
-def base32(text: str) -> int | None:
-    return int(text, 32) if re.fullmatch("[0-9A-Va-v]+", text) else None
-
-
 def _image_kind(data: bytes) -> str | None:
     for head, kind in ((b"\x89PNG", "png"), (b"\xff\xd8", "jpg"), (b"GIF8", "gif"), (b"BM", "bmp")):
         if data.startswith(head):
@@ -363,53 +362,88 @@ def parse_mobi(data: bytes, path: str):
     u32 = lambda at: struct.unpack(">I", head[at : at + 4])[0] if len(head) >= at + 4 else 0
     if u16(12):
         raise Rejected("DRM-protected content is not supported")
-    if u16(0) not in (1, 2):
+    kind, flags = u16(0), u16(242) if u32(20) >= 228 else 0
+    if kind not in (1, 2, 17480):
         raise Rejected("malformed input: compression")
-    flags = u16(242) if u32(20) >= 228 else 0
-    total, parts = 0, []
-    for r in records[1 : 1 + u16(8)]:
-        r = _trailing(r, flags)
-        parts.append(palmdoc(r) if u16(0) == 2 else r)
-        total += len(parts[-1])
-        if total > TOTAL:
-            raise Rejected("input rejected: decompression bomb")
-    raw = b"".join(parts)[: u32(4) or None]
-    encoding = u32(28)
-    marks = sorted({int(x) for x in re.findall(rb"filepos=[\"']?0*(\d+)", raw)} - {0}, reverse=True)
-    for at in marks:
-        k = raw.find(b"<", at)
-        if 0 <= at <= len(raw) and k >= 0:
-            raw = raw[:k] + b'<a id="fp%d"></a>' % at + raw[k:]
-    text = raw.decode("cp1252", "replace") if encoding == 1252 else raw.decode("utf-8", "replace")
-    text = re.sub(r"filepos=[\"']?0*(\d+)[\"']?", r'href="#fp\1"', text)
-    text = re.sub(r"<p(?: [^>]*)?>(<img[^>]*/?>)</p>", r"\1", text)
-    first = u32(108)
-    text = re.sub(r"recindex=[\"']?0*(\d+)[\"']?", r'src="\1"', text)
-    text = re.sub(r"src=\"kindle:embed:([0-9A-Va-v]+)[^\"]*\"", lambda m: f'src="{int(m[1], 32)}"', text)
-    out = blocks(text)
-    for b in out:
-        b["file"] = "book"
-    heading, where, top = None, {}, {}
-    for b in out:
-        if b["kind"] == "heading":
-            heading = b
-            top.setdefault("book", b)
-        for i in b["ids"]:
-            where["book", i] = heading
-    _fix_links(out, where, top, {})
+    try:
+        unpack = {1: bytes, 2: palmdoc}.get(kind) or _huffman(records, u32(112), u32(116))
+        total, parts = 0, []
+        for r in records[1 : 1 + u16(8)]:
+            parts.append(unpack(_trailing(r, flags)))
+            total += len(parts[-1])
+            if total > TOTAL or total > RATIO * max(1, len(data)):
+                raise Rejected("input rejected: decompression bomb")
+        raw = b"".join(parts)[: u32(4) or None]
+        version, none = u32(36), (0, 0xFFFFFFFF)
+        first = u32(108)
+        if version >= 8 and u32(248) not in none and u32(252) not in none:
+            out = _kf8(raw, records, u32(248), u32(252))
+        else:
+            out = _mobi6(raw, u32(28) == 1252)
+    except kindle.Damaged as e:
+        raise Rejected(f"malformed input: {e}") from e
 
     def read(b):
         k = first + int(b["asset"]) - 1 if (b["asset"] or "").isdigit() and int(b["asset"]) else -1
         return records[k] if 0 < k < len(records) and _image_kind(records[k]) else None
 
-    assets = _assets(out, read)
-    for a in assets:
-        a["filename"] += "." + (_image_kind(a["bytes"]) or "bin")
+    assets = _assets(out, read, lambda x: "." + (_image_kind(x) or "bin"))
     name = head[u32(84) : u32(84) + min(u32(88), 1024)].decode("utf-8", "replace").strip() if u32(88) else ""
     title = _exth(head).get(503, "").strip() or name or posixpath.splitext(posixpath.basename(path))[0]
     return {"title": title, "authors": [x for x in [_exth(head).get(100)] if x], "language": _exth(head).get(524), "source_format": "azw3" if u32(36) >= 8 else "mobi"}, out, assets
 
 
+def _huffman(records: list[bytes], first: int, count: int):
+    if not 0 < first < len(records) or not 1 < count <= 4096:
+        raise kindle.Damaged("huffman: no table")
+    coder = kindle.Huffman(records[first], records[first + 1 : first + count])
+    return lambda data: coder.decoded(data, TOTAL)
+
+
+def _book_blocks(parts: list[tuple[str, str]]) -> list[dict]:
+    """The blocks of the parts (name, HTML) of a book, their links led to headings."""
+    out, where, top = [], {}, {}
+    for name, html in parts:
+        heading = None
+        html = re.sub(r"<p(?: [^>]*)?>(<img[^>]*/?>)</p>", r"\1", html)
+        for b in blocks(html):
+            b["file"] = name
+            if b["kind"] == "heading":
+                heading = b
+                top.setdefault(name, b)
+            for i in b["ids"]:
+                where[name, i] = heading
+            out.append(b)
+    _fix_links(out, where, top, {})
+    return out
+
+
+def _mobi6(raw: bytes, western: bool) -> list[dict]:
+    marks = [int(x) for x in re.findall(rb"filepos=[\"']?0*(\d{1,18})", raw)]
+    raw = kindle.marked(raw, marks, "leafmill-fp-")
+    text = kindle.cp1252(raw) if western else raw.decode("utf-8", "replace")
+    text = re.sub(r"filepos=[\"']?0*(\d+)[\"']?", lambda m: f'href="#leafmill-fp-{int(m[1])}"', text)
+    return _book_blocks([("book", re.sub(r"recindex=[\"']?0*(\d+)[\"']?", r'src="\1"', text))])
+
+
+def _kf8(raw: bytes, records: list[bytes], frag_index: int, skel_index: int) -> list[dict]:
+    skels, frags = kindle.skeletons(kindle.read_index(records, skel_index)), kindle.fragments(kindle.read_index(records, frag_index))
+    if not skels:
+        raise kindle.Damaged("kf8: empty skeleton table")
+    parts, where = kindle.assembled(raw, skels, frags)
+    marks, targets = {}, {}
+    for address in kindle.positions(parts):
+        if (place := kindle.resolved_position(address, where)) is not None:
+            marks.setdefault(place[0], []).append(place[1])
+            targets[address] = f"part{place[0]:04d}.xhtml#leafmill-kp-{place[1]}"
+    out = []
+    for k, part in enumerate(parts):
+        text = kindle.marked(part, marks.get(k, []), "leafmill-kp-").decode("utf-8", "replace")
+        text = re.sub(r"kindle:pos:fid:[^\"'<> \t\n]*", lambda m: targets.get(m[0], "#leafmill-unresolved"), text)
+        out.append((f"part{k:04d}.xhtml", re.sub(r"src=([\"'])kindle:embed:([0-9A-Va-v]+)[^\"']*\1", lambda m: f'src="{int(m[2], 32)}"', text)))
+    return _book_blocks(out)
+
+
 def _exth(head: bytes) -> dict[int, str]:
     at, out = head.find(b"EXTH"), {}
     if at < 0 or len(head) < at + 12:
@@ -449,23 +483,26 @@ def detect(data: bytes, path: str) -> str | None:
     return {"azw3": "mobi", "djv": "djvu"}.get(hint, hint if hint in ("epub", "pptx", "mobi", "pdf", "djvu") else None)
 
 
-PARSERS = {"epub": parse_epub, "pptx": parse_pptx, "mobi": parse_mobi, "pdf": parse_pdf}
+PARSERS = {"epub": parse_epub, "pptx": parse_pptx, "mobi": parse_mobi, "pdf": parse_pdf, "djvu": parse_djvu}
 
 
 def register_adapter(name: str, parser) -> None:
-    """Let ``parser`` (bytes, path) -> (metadata, blocks, assets) read the format ``name``."""
+    """Let ``parser`` (bytes, path) -> (metadata, blocks, assets) read the format ``name``: files that ``detect`` takes for it, or else those with its extension. It travels to the workers
+    with every query that is made from then on."""
     PARSERS[name] = parser
 
 
-def parse(data: bytes | None, path: str):
+def parse(data: bytes | None, path: str, parsers: dict | None = None):
     """(status, error, metadata, blocks, assets) of one file; never raises."""
+    parsers = PARSERS if parsers is None else parsers
     try:
-        kind = detect(data or b"", path or "")
+        kind, hint = detect(data or b"", path or ""), (path or "").rpartition(".")[2].lower()
+        kind = hint if kind is None and hint in parsers else kind
         if kind is None:
             raise Rejected("unsupported or unrecognized format")
-        if kind not in PARSERS:
+        if kind not in parsers:
             raise Rejected("unsupported format")
-        meta, out, assets = PARSERS[kind](data or b"", path or "")
+        meta, out, assets = parsers[kind](data or b"", path or "")
         for k, b in enumerate(out, 1):
             b["ord"] = k
         return "ok", None, meta, out, assets
@@ -482,11 +519,13 @@ def documents(files: DataFrame, id_col: str = "doc_id", path_col: str = "path",
     """A row for each file: its metadata, ``blocks`` and ``assets``; or, if it couldn't be converted, why not. Null content is an unrecognized format."""
     schema = f"{_DOC}, blocks array<struct<{', '.join(x.replace(' ', ':', 1) for x in BLOCK.split(', '))}>>, assets array<struct<key:string,filename:string,bytes:binary>>"
 
+    parsers = dict(PARSERS)
+
     def run(batches):
         for pdf in batches:
             rows = []
             for doc, path, data in zip(pdf["doc_id"], pdf["path"], pdf["content"]):
-                status, error, meta, out, assets = parse(data, path or "")
+                status, error, meta, out, assets = parse(data, path or "", parsers)
                 rows.append((doc, path, status, error, meta.get("title"), meta.get("authors", []), meta.get("language"), meta.get("source_format"), [{k: b[k] for k in NAMES} for b in out], assets))
             yield pd.DataFrame(rows, columns=["doc_id", "path", "status", "error", "title", "authors", "language", "source_format", "blocks", "assets"])
 
@@ -498,7 +537,13 @@ def block_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
 
 
+def name_filter() -> str:
+    """The pattern of the supported files' names, and of those that adapters were registered for, whatever the case of their extensions."""
+    names = sorted({"epub", "pptx", "mobi", "azw3", "pdf", "djvu", "djv", *PARSERS})
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in names) + "}"
+
+
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(doc_id, path, content) of the supported files under ``paths``; the names are filtered before a byte is read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{epub,pptx,mobi,azw3,pdf,djvu,djv}").load(list(paths))
+    """(doc_id, path, content) of the supported files under ``paths``, folders or files; the names are filtered before a byte is read."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name_filter()).load(list(paths))
     return df.select(F.xxhash64("path").alias("doc_id"), "path", "content")

@@ -7,13 +7,15 @@ with the text. Blocks come out flat and in order; inline text as spans.
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 from .math import mathml_latex
 
-BLOCK = "ord int, kind string, level int, text string, spans array<struct<depth:int,kind:string,text:string,target:string>>, lang string, ordered boolean, depth int, rows array<array<string>>, has_merged boolean, asset string, caption string, note string, ids array<string>"
+BLOCK = "ord int, kind string, level int, text string, spans array<struct<depth:int,kind:string,text:string,target:string>>, lang string, ordered boolean, depth int, rows array<array<string>>, has_merged boolean, asset string, caption string, note string, ids array<string>, page int"
 NAMES = [x.split()[0] for x in BLOCK.split(", ")]
 INLINE = {"em", "i", "strong", "b", "a", "code", "br", "sub", "sup", "small", "u", "s", "span", "img", "math"}
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 _KIND = {"em": "emph", "i": "emph", "strong": "strong", "b": "strong", "code": "code"}
 _WS = re.compile(r"[ \t\n\r\f]+")
 DEPTH = 64
@@ -24,8 +26,8 @@ def block(kind: str, **more) -> dict:
 
 
 class Blocks(HTMLParser):
-    def __init__(self, skip: tuple[str, ...] = ("script", "style", "head")):
-        super().__init__(convert_charrefs=True)
+    def __init__(self, skip: tuple[str, ...] = ("script", "style", "head"), xml: bool = False):
+        super().__init__(convert_charrefs=not xml)
         self.out: list[dict] = []
         self.skip, self.skipping = skip, 0
         self.spans: list[dict] = []
@@ -161,9 +163,10 @@ class Blocks(HTMLParser):
                 self.math = None
                 if self.display:
                     self.close_block()
+                if not complete:  # the note stands before the block with what was left of the equation
+                    self.out.append(block("raw", text="equation partially converted"))
+                if self.display:
                     self.out.append(block("math", text=latex))
-                    if not complete:
-                        self.out.append(block("raw", text="equation partially converted"))
                 else:
                     self.spans.append({"depth": len(self.open), "kind": "math", "text": latex, "target": None})
             return
@@ -205,6 +208,12 @@ class Blocks(HTMLParser):
             self.open = []
             self.close_block()
 
+    def handle_entityref(self, name: str) -> None:
+        self.handle_data(_NAMED.get(name, f"&{name};"))
+
+    def handle_charref(self, name: str) -> None:
+        self.handle_data(unescape(f"&#{name};"))
+
     def handle_data(self, data: str) -> None:
         if self.skipping:
             return
@@ -227,9 +236,9 @@ class Blocks(HTMLParser):
                 self.spans.append({"depth": min(len(self.open), DEPTH), "kind": "text", "text": text, "target": None})
 
 
-def blocks(html: str) -> list[dict]:
-    """The blocks of a page, numbered from 1. Never raises."""
-    p = Blocks()
+def blocks(html: str, xml: bool = False) -> list[dict]:
+    """The blocks of a page, numbered from 1; in ``xml``, named characters other than its five stay as they are written. Never raises."""
+    p = Blocks(xml=xml)
     p.feed(html)
     p.close()
     p.row = None

@@ -12,7 +12,7 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 def incoming(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
     """A streaming (doc_id, path, content) of the supported files that appear under ``folder``."""
-    x = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{epub,pptx,mobi,azw3,pdf,djvu,djv}").option("maxFilesPerTrigger", per_batch).load(folder)
+    x = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", C.name_filter()).option("maxFilesPerTrigger", per_batch).load(folder)
     return x.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
