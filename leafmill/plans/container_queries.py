@@ -286,7 +286,7 @@ def formulas(s, d):
     return p.select("p_partkey", F.pandas_udf(latex, "string")("xml").alias("latex"))
 
 
-register("mth_mathml_latex", formulas, "SELECT p_partkey, '\\frac{' || substr(p_name, 1, 1) || '}{\\sqrt{' || p_size || '}}' AS latex FROM part".replace("\\\\", "\\"))
+register("mth_mathml_latex", formulas, "SELECT p_partkey, '\\frac{' || p_name || '}{\\sqrt{' || p_size || '}}' AS latex FROM part".replace("\\\\", "\\"))
 
 
 def omml(s, d):
@@ -298,7 +298,7 @@ def omml(s, d):
     return p.select("p_partkey", F.pandas_udf(latex, "string")("xml").alias("latex"))
 
 
-register("mth_omml_latex", omml, "SELECT p_partkey, '{' || substr(p_name, 1, 1) || '}^{' || p_size || '}' AS latex FROM part")
+register("mth_omml_latex", omml, "SELECT p_partkey, '{' || p_name || '}^{' || p_size || '}' AS latex FROM part")
 
 
 # ---------------------------------------------------------------- small rules

@@ -38,7 +38,11 @@ SELECT e.user_id AS doc_id, event_id AS pos, CASE WHEN event_id % 11 <> 0 AND ev
 
 def _refs(s, d):
     e = F.col("event_id")
-    return table(s, d, "events").where("event_id % 5 = 1").select(F.col("user_id").alias("doc_id"), e.alias("ord"), (e % 3).alias("seq"), (e % 40).alias("note_id"))
+    return table(s, d, "events").select(F.col("user_id").alias("doc_id"), e.alias("ord"), (e % 3).alias("seq"), (e % 40 + F.when(e % 5 == 1, 0).otherwise(100)).alias("note_id"))
+
+
+#: Four of five references are to notes that no node is.
+_NOTE = "(event_id % 40 + CASE WHEN event_id % 5 = 1 THEN 0 ELSE 100 END)"
 
 
 def relocate(s, d):
@@ -50,7 +54,7 @@ def relocate(s, d):
 register(
     "epb_relocate_footnotes",
     relocate,
-    """WITH f AS (SELECT user_id AS doc_id, event_id % 40 AS note_id, min((event_id, event_id % 3)) AS r FROM events WHERE event_id % 5 = 1 GROUP BY ALL),
+    f"""WITH f AS (SELECT user_id AS doc_id, {_NOTE} AS note_id, min((event_id, event_id % 3)) AS r FROM events GROUP BY ALL),
 n AS (SELECT user_id AS doc_id, event_id AS ord, CASE WHEN event_id % 6 = 0 THEN event_id % 40 END AS note_id FROM events)
 SELECT n.doc_id, ord, row_number() OVER (PARTITION BY n.doc_id ORDER BY coalesce(r[1], ord), CASE WHEN r IS NULL THEN 0 ELSE 1 END, coalesce(r[2], 0), ord) AS place FROM n LEFT JOIN f USING (doc_id, note_id)""",
 )
@@ -68,8 +72,8 @@ register(
     """WITH f AS (SELECT user_id AS doc_id, event_id AS ord, 'img/' || event_type || event_id % 5 || '.png' AS key, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS caption FROM events), a AS (SELECT DISTINCT doc_id, key FROM f WHERE ord % 4 = 0)
 SELECT f.doc_id, ord, CASE WHEN a.key IS NOT NULL THEN 'figure' WHEN caption <> '' THEN 'para' ELSE 'raw' END AS kind, CASE WHEN a.key IS NOT NULL OR caption <> '' THEN caption ELSE 'image unavailable: ' || f.key END AS text FROM f LEFT JOIN a USING (doc_id, key)""",
 )
-register("epb_distinct_note_refs", lambda s, d: K.distinct_note_refs(_refs(s, d).withColumn("ord", F.floor(F.col("ord") / 50)).withColumn("seq", F.col("seq") + F.col("note_id") * 3)).withColumn("n", F.col("n").cast("long")), "SELECT doc_id, ord, note_id, seq, row_number() OVER (PARTITION BY doc_id, ord ORDER BY seq) AS n FROM (SELECT user_id AS doc_id, event_id // 50 AS ord, event_id % 40 AS note_id, min(event_id % 3 + event_id % 40 * 3) AS seq FROM events WHERE event_id % 5 = 1 GROUP BY ALL)")
-register("epb_spine", lambda s, d: K.spine(table(s, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 40).alias("id")), table(s, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 40).alias("id"), F.col("c_name").alias("href"))), "SELECT o_custkey AS doc_id, o_orderkey AS seq, o_custkey % 40 AS id, c_name AS href FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 > 0")
+register("epb_distinct_note_refs", lambda s, d: K.distinct_note_refs(_refs(s, d).withColumn("ord", F.floor(F.col("ord") / 50)).withColumn("seq", F.col("seq") + F.col("note_id") * 3)).withColumn("n", F.col("n").cast("long")), f"SELECT doc_id, ord, note_id, seq, row_number() OVER (PARTITION BY doc_id, ord ORDER BY seq) AS n FROM (SELECT user_id AS doc_id, event_id // 50 AS ord, {_NOTE} AS note_id, min(event_id % 3 + {_NOTE} * 3) AS seq FROM events GROUP BY ALL)")
+register("epb_spine", lambda s, d: K.spine(table(s, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 40).alias("id")), table(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 40 + F.when(F.col("c_custkey") % 7 == 0, 1000).otherwise(0)).alias("id"), F.col("c_name").alias("href"))), "SELECT o_custkey AS doc_id, o_orderkey AS seq, o_custkey % 40 AS id, c_name AS href FROM orders JOIN (SELECT *, c_custkey % 40 + CASE WHEN c_custkey % 7 = 0 THEN 1000 ELSE 0 END AS own FROM customer) ON o_custkey = c_custkey AND o_custkey % 40 = own")
 register(
     "ppt_relationship_targets",
     lambda s, d: K.relationship_targets(table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("ppt/slides").alias("base"), F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.concat(F.lit("rId"), F.col("p_partkey").cast("string"))).alias("id"), F.concat(F.repeat(F.lit("../"), (F.col("p_partkey") % 4).cast("int")), F.lit("media/"), "p_brand").alias("target"), (F.col("p_partkey") % 5 == 0).alias("external"))).select("doc_id", "id", "path"),

@@ -47,7 +47,9 @@ _over_lines("wrt_fence_length", lambda c: X.fence_length(F.translate(c, "e", "`"
 _over_lines("wrt_code_span", lambda c: X.code_span(F.translate(c, "e", "`")), r"""CASE WHEN t = '' THEN '` `' ELSE repeat('`', (coalesce(list_max(list_transform(regexp_extract_all(replace(t, 'e', '`'), '`+'), lambda r: len(r))), 0) + 1)::INTEGER) ||
  CASE WHEN regexp_full_match(t, ' *') THEN '' WHEN contains(replace(t, 'e', '`'), '`') OR t[1] = ' ' OR t[-1] = ' ' THEN ' ' ELSE '' END || replace(regexp_replace(t, '[\r\n]+', ' ', 'g'), 'e', '`') || CASE WHEN regexp_full_match(t, ' *') THEN '' WHEN contains(replace(t, 'e', '`'), '`') OR t[1] = ' ' OR t[-1] = ' ' THEN ' ' ELSE '' END ||
  repeat('`', (coalesce(list_max(list_transform(regexp_extract_all(replace(t, 'e', '`'), '`+'), lambda r: len(r))), 0) + 1)::INTEGER) END""")
-_over_lines("wrt_math_span", lambda c: X.math_span(F.regexp_replace(c, r"[$`]", "")), r"'$' || regexp_replace(t, '[$`]', '', 'g') || '$'")
+_FENCE = "repeat('`', (coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda r: len(r))), 0) + 1)::INTEGER)"
+_SPACE = "CASE WHEN regexp_full_match(t, ' *') THEN '' WHEN contains(t, '`') OR t[1] = ' ' OR t[-1] = ' ' THEN ' ' ELSE '' END"
+_over_lines("wrt_math_span", X.math_span, rf"""CASE WHEN regexp_matches(t, '[$\r\n]') THEN {_FENCE} || {_SPACE} || regexp_replace(t, '[\r\n]+', ' ', 'g') || {_SPACE} || {_FENCE} ELSE '$' || t || '$' END""")
 _over_lines("wrt_comment_note", lambda c: X.comment_note(F.translate(c, "e", "-")), r"'<!-- ' || regexp_replace(regexp_replace(regexp_replace(replace(t, 'e', '-'), '--', '- -', 'g'), '--', '- -', 'g'), '-$', '- ') || ' -->'")
 _over_lines("wrt_atx_closing", lambda c: X.atx_closing(F.regexp_replace(c, r"\.$", " ##")), r"regexp_replace(regexp_replace(t, '\.$', ' ##'), '(^|[ \t])(#+[ \t]*)$', '\1\\\2')")
 _over_lines("wrt_footnote_body", lambda c: X.footnote_body(F.concat(c, F.lit("\n"), c, F.lit("\n"))), r"t || chr(10) || CASE WHEN regexp_matches(t, '\S') THEN '    ' ELSE '' END || t || chr(10)")
@@ -95,4 +97,8 @@ register(
     lambda s, d: _hrefs(s, d).select("page_id", "k", G.resolve_rel(F.lit("text/part"), F.concat(F.repeat(F.lit("../"), (F.col("k") % 4).cast("int")), F.lit("./"), "href")).alias("out")),
     f"""WITH {_HREFS} SELECT page_id, k, CASE WHEN k % 4 = 3 THEN NULL ELSE array_to_string(list_concat(['text', 'part'][1:2 - k % 4], list_filter(string_split(href, '/'), lambda p: p <> '' AND p <> '.')), '/') END AS out FROM h""",
 )
-register("grd_percent_decode", lambda s, d: table(s, d, "documents").select("doc_id", G.percent_decode(F.concat(F.regexp_replace("text", "%", ""), F.lit("%C3%A9%41+%2"))).alias("out")), "SELECT doc_id, replace(text, '%', '') || 'éA+%2' AS out FROM documents")
+register(
+    "grd_percent_decode",
+    lambda s, d: table(s, d, "documents").select("doc_id", G.percent_decode(F.concat(F.replace(F.replace("text", F.lit("%"), F.lit("%25")), F.lit("e"), F.lit("%65")), F.lit("%C3%A9%41+%2"))).alias("out")),
+    "SELECT doc_id, text || 'éA+%2' AS out FROM documents",
+)
