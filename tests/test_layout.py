@@ -18,3 +18,11 @@ def test_lines_join_runs_in_the_order_that_grouped_them(spark):
     for page in range(6):
         rows = [(r.x, r.y, r.size, r.text) for r in got if r.page == page]
         assert rows in ([(5.0, 700.0, 12.0, "p"), (6.0, 692.0, 24.0, "z a")], [(5.0, 700.0, 24.0, "p a"), (6.0, 692.0, 10.0, "z")])
+
+
+def test_blocks_hold_lines_that_some_order_of_the_runs_gives(spark):
+    body = spark.createDataFrame([(1, 12)], "doc_id long, body long")
+    got = L.page_blocks(L.lines(L.group_lines(pages(spark))), body).orderBy("page", "block").collect()
+    for page in range(6):
+        rows = [(r.kind, r.level, r.text) for r in got if r.page == page]
+        assert rows in ([("para", None, "p"), ("heading", 1, "z a")], [("heading", 1, "p a"), ("para", None, "z")])
