@@ -312,12 +312,13 @@ def _parts(expression):
 
 
 _S = lambda c: F.col(c).cast("string")
+_padded = lambda x, n: F.lpad(x, F.greatest(F.lit(n), F.length(x)), "0")  # noqa: E731  lpad alone cuts what is longer
 register("epb_package_path", _parts(lambda: R.package_path(F.concat(F.lit("<rootfile full-path='OPS/"), "p_brand", F.lit(".opf' x='y'>")))), _P.format("'OPS/' || p_brand || '.opf'"))
 register("epb_has_type", _parts(lambda: R.has_type(F.when(F.col("p_size") % 2 == 0, " a  footnote ").otherwise("footnotes"), "footnote")), _P.format("p_size % 2 = 0"))
 register("epb_is_inline", _parts(lambda: R.is_inline(F.element_at(F.array(*map(F.lit, ("EM", "div", "math", "section", "math"))), (F.col("p_partkey") % 5 + 1).cast("int")), F.when(F.col("p_partkey") % 5 == 4, "block"))), _P.format("p_partkey % 5 IN (0, 2)"))
 register("ppt_rels_path", _parts(lambda: R.rels_path(F.concat(F.lit("ppt/slides/"), "p_brand", F.lit(".xml")))), _P.format("'ppt/slides/_rels/' || p_brand || '.xml.rels'"))
 register("mob_base32", _parts(lambda: R.base32(F.conv(_S("p_partkey"), 10, 32))), _P.format("p_partkey"))
-register("mob_positions", _parts(lambda: F.concat_ws(":", R.position_of(F.concat(F.lit("kindle:pos:fid:"), F.lpad(F.conv(_S("p_partkey"), 10, 32), 4, "0"), F.lit(":off:"), F.lpad(F.conv(_S("p_size"), 10, 32), 10, "0"))).getField("fragment").cast("string"), R.position_of(F.concat(F.lit("kindle:pos:fid:1:off:"), F.conv(_S("p_size"), 10, 32))).getField("offset").cast("string"))), _P.format("p_partkey || ':' || p_size"))
+register("mob_positions", _parts(lambda: F.concat_ws(":", R.position_of(F.concat(F.lit("kindle:pos:fid:"), _padded(F.conv(_S("p_partkey"), 10, 32), 4), F.lit(":off:"), _padded(F.conv(_S("p_size"), 10, 32), 10))).getField("fragment").cast("string"), R.position_of(F.concat(F.lit("kindle:pos:fid:1:off:"), F.conv(_S("p_size"), 10, 32))).getField("offset").cast("string"))), _P.format("p_partkey || ':' || p_size"))
 register("mob_position_links", _parts(lambda: F.array_join(R.position_links(F.concat(F.lit("<a href='kindle:pos:fid:0001:off:"), _S("p_size"), F.lit("'>x</a><a href=\"kindle:pos:fid:0002:off:0\">y</a><a href='kindle:pos:fid:0001:off:"), _S("p_size"), F.lit("'>"))), " ")), _P.format("'kindle:pos:fid:0001:off:' || p_size || ' kindle:pos:fid:0002:off:0'"))
 register("mob_byte_positions", _parts(lambda: F.array_join(R.byte_positions(F.concat(F.lit("<a filepos="), _S("p_partkey"), F.lit("><a filepos='0000000001'><a filepos=\"1\">"))).cast("array<string>"), " ")), _P.format("CASE WHEN p_partkey = 1 THEN '1' ELSE least(p_partkey, 1) || ' ' || greatest(p_partkey, 1) END"))
 register("mob_resource_number", _parts(lambda: R.resource_number(F.concat(F.when(F.col("p_size") % 2 == 0, "kindle:embed:").otherwise("x:"), F.conv(_S("p_partkey"), 10, 32), F.lit("?mime=image/jpg")))), _P.format("CASE WHEN p_size % 2 = 0 AND p_partkey > 0 THEN p_partkey END"))
