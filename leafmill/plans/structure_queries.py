@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..operators import structure as S
+from ..storage import saved
 from . import atlas
 
 MIN, MAX = 40, 120
@@ -15,7 +15,7 @@ _LABEL = r"regexp_replace({}, '([\\`*_\[\]<~$])', '\\\1', 'g')"
 
 
 def _files(spark, d):
-    return S.assign_paths(S.sections(S.fold_sections(atlas.blocks(spark, d))), ascii_titles=True)
+    return saved(S.assign_paths(S.sections(saved(S.fold_sections(atlas.blocks(spark, d)))), ascii_titles=True))
 
 
 def _site(spark, d):
@@ -71,7 +71,7 @@ SELECT doc_id, ord, t, part FROM p""",
 
 def balanced(spark, d):
     """Every block with the file that it stands in, and every file, where sections are merged and texts cut into parts."""
-    folded = S.fold_sections(atlas.blocks(spark, d))
+    folded = saved(S.fold_sections(atlas.blocks(spark, d)))
     _, places = S.balanced(folded, MIN, PARTS)
     return places.select("doc_id", "ord", (F.col("section") / S.SCALE).cast("long").alias("section"), F.pmod("section", F.lit(S.SCALE)).cast("long").alias("part"))
 
@@ -107,8 +107,9 @@ register("core_anchor_numbers", anchor_dedup, "SELECT user_id, event_id, a || CA
 
 
 def resolve_refs(spark, d):
-    files = _files(spark, d).where("level = 3").select("doc_id", F.regexp_extract("title", "([0-9]+)$", 1).cast("long").alias("target"), F.col("path").alias("to_path"), S.anchor_slug("title").alias("anchor"))
-    at = _files(spark, d).where("level = 2").select("doc_id", "title", "path")
+    tree = _files(spark, d)
+    files = tree.where("level = 3").select("doc_id", F.regexp_extract("title", "([0-9]+)$", 1).cast("long").alias("target"), F.col("path").alias("to_path"), S.anchor_slug("title").alias("anchor"))
+    at = tree.where("level = 2").select("doc_id", "title", "path")
     c, n, o = (table(spark, d, t) for t in ("customer", "nation", "orders"))
     links = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("o_orderkey").alias("ord"), F.col("n_name").alias("title"), F.when(F.col("o_orderkey") % 7 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("target"), F.col("c_name").alias("text")).join(at, ["doc_id", "title"]).drop("title")
     return S.resolve_refs(links, files).select("ord", "path", "text", "href")
@@ -126,8 +127,7 @@ SELECT ord, path, text, CASE WHEN to_path IS NOT NULL THEN {atlas.relative_sql("
 def relativize(spark, d):
     """Every file with itself, its parent, its children, the files before and after it, and its region's: a number of pairs in proportion to the files."""
     f = _files(spark, d).select("doc_id", "section", "parent", "level", "path", "ordinal_path")
-    reading = Window.partitionBy("doc_id").orderBy("ordinal_path")
-    near = f.withColumn("before", F.lag("path").over(reading)).withColumn("after", F.lead("path").over(reading)).withColumn("target", F.explode(F.array("path", "before", "after"))).where("target IS NOT NULL").select("doc_id", F.col("path").alias("source"), "target")
+    near = S.reading_order(f).withColumn("target", F.explode(F.array("path", "before", "after"))).where("target IS NOT NULL").select("doc_id", F.col("path").alias("source"), "target")
     up = f.select("doc_id", F.col("parent").alias("section"), F.col("path").alias("source")).join(f.select("doc_id", "section", F.col("path").alias("target")), ["doc_id", "section"]).drop("section")
     down = up.select("doc_id", F.col("target").alias("source"), F.col("source").alias("target"))
     region = f.select("doc_id", F.col("path").alias("source")).join(f.where("level = 1").select("doc_id", F.col("path").alias("target")), "doc_id")
@@ -161,8 +161,9 @@ def site(spark, d):
     """The flagship: every file of every document with its place, its links and its text."""
     from ..functions.text import escape_flow, title_line
 
-    folded = S.fold_sections(atlas.blocks(spark, d))
-    files = S.toc(S.frontmatter(S.navigation(S.rooted(S.assign_paths(S.sections(folded), ascii_titles=True), atlas.documents(spark, d)))))
+    folded = saved(S.fold_sections(atlas.blocks(spark, d)))
+    tree = saved(S.assign_paths(S.sections(folded), ascii_titles=True))
+    files = S.frontmatter(S.navigation(S.toc(S.rooted(tree, atlas.documents(spark, d)))))
     body = folded.where("kind <> 'heading'").groupBy("doc_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", escape_flow("text").alias("t")))), lambda x: x["t"]), "\n\n").alias("body"))
     x = files.join(body, ["doc_id", "section"], "left")
     text = F.concat("yaml", F.lit("\n"), title_line("title", F.size("breadcrumb")), F.lit("\n\n"), F.coalesce(F.concat("toc", F.lit("\n\n")), F.lit("")), F.coalesce(F.concat("body", F.lit("\n")), F.lit("")))
