@@ -160,7 +160,7 @@ def files(conversations: DataFrame, make, extension: str) -> DataFrame:
     books = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def run(batches):
-        for pdf_ in batches:
+        for pdf_ in C.sliced(batches):
             made = [make(f"Conversation {c}", [(f"Turn {t['turn']} by {t['role']}", t["text"]) for t in turns]) for c, turns in zip(pdf_["conv_id"], pdf_["turns"])]
             yield pd.DataFrame({"doc_id": pdf_["conv_id"], "path": [f"in/{c}.{extension}" for c in pdf_["conv_id"]], "content": made})
 
@@ -194,7 +194,7 @@ def site_links(s, d):
     books = n.join(own, "n_nationkey", "left").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "customers"))).alias("nations"))
 
     def run(batches):
-        for pdf_ in batches:
+        for pdf_ in C.sliced(batches):
             made = [atlas_epub(f"Book {r}", [(x["n_name"], [(y["c_custkey"], y["c_name"]) for y in (x["customers"] if x["customers"] is not None else [])]) for x in nations]) for r, nations in zip(pdf_["n_regionkey"], pdf_["nations"])]
             yield pd.DataFrame({"doc_id": pdf_["n_regionkey"], "path": [f"in/{r}.epub" for r in pdf_["n_regionkey"]], "content": made})
 
@@ -255,7 +255,7 @@ def html_blocks(s, d):
     schema = f"page_id long, {markup.BLOCK}"
 
     def run(batches):
-        for pdf_ in batches:
+        for pdf_ in C.sliced(batches):
             rows = [(p, *(b[k] for k in markup.NAMES)) for p, html in zip(pdf_["page_id"], pdf_["html"]) for b in markup.blocks(html or "")]
             yield pd.DataFrame(rows, columns=["page_id", *markup.NAMES])
 
