@@ -269,8 +269,9 @@ register("epb_html_blocks", html_blocks)
 def inline(s, d):
     """The words of a line as spans of every kind, by their place."""
     w = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t")).where("t <> ''").withColumn("w", F.split("t", " "))
-    kind = lambda i: F.element_at(F.array(*map(F.lit, ("text", "emph", "text", "strong", "text", "code", "text", "link"))), (i % 8 + 1).cast("int"))
-    piece = lambda x, i: F.array(F.struct(F.lit(0).alias("depth"), kind(i).alias("kind"), F.when(kind(i) == "text", F.concat(F.lit(" "), x, F.lit(" "))).otherwise("").alias("text"), F.when(kind(i) == "link", "http://x.y").alias("target")), F.struct(F.lit(1).alias("depth"), F.lit("text").alias("kind"), F.when(kind(i) == "text", "").otherwise(x).alias("text"), F.lit(None).cast("string").alias("target")))
+    kind = lambda i: F.when(i % 2 == 0, "text").when(i % 8 == 1, "emph").when(i % 8 == 3, "strong").when(i % 8 == 5, "code").otherwise("link")
+    text, link = lambda i: i % 2 == 0, lambda i: i % 8 == 7
+    piece = lambda x, i: F.array(F.struct(F.lit(0).alias("depth"), kind(i).alias("kind"), F.when(text(i), F.concat(F.lit(" "), x, F.lit(" "))).otherwise("").alias("text"), F.when(link(i), "http://x.y").alias("target")), F.struct(F.lit(1).alias("depth"), F.lit("text").alias("kind"), F.when(text(i), "").otherwise(x).alias("text"), F.lit(None).cast("string").alias("target")))
     return w.select("doc_id", "k", inline_markdown(F.flatten(F.transform("w", piece))).alias("markdown"))
 
 
